@@ -1,14 +1,57 @@
-"""The corpus pipeline: stages applied in order to ``documents``."""
+"""The corpus pipeline: stages applied in order to ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``. Models are fitted on the stage's own input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import minhash, mixing, pieces, pii, quality
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, quality.graded(labels))
+    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return quality.score(whole, model).filter("kept").select("row.*")
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    out = pii.redact(docs, *pii.train(docs))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    whole = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
+    taken = mixing.mix(whole.select("doc_id", "text", "source")).filter("taken > 0").select("doc_id", "size", "taken").dropDuplicates(["doc_id"])
+    copies = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
+    return docs.join(taken, "doc_id").withColumn("copy", copies).select(*docs.columns)
+
+
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether they restore it."""
+    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text", "source")))
+    return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("restored"))
+
 
-STAGES: list = []
+STAGES = [("quality classifier", _quality), ("MinHash near-dedup", _near_duplicates), ("PII", _personal_data), ("mixing sources", _mix), ("SentencePiece encoding", _encode)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -5,21 +5,109 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import minhash
+from lectern.llm import language, media, minhash, mixing, pieces, pii, quality, secrets, transcripts, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(secrets.random_samples(spark).unionByName(secrets.ordinary_samples(docs))))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, *pii.train(docs))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as plain transcripts, their turns recovered: one row per recovered turn."""
+    from lectern.llm.state import materialize
+
+    lines = materialize(transcripts.as_transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    labelled = lines.filter("crc32(cast(cast(id as string) as binary)) % 4 <> 2").withColumn("obs", transcripts.observed(F.col("line")))
+    turns = transcripts.parse(lines.select("id", "pos", "line"), transcripts.train(labelled))
+    return turns.select(F.col("id").alias("conv_id"), "turn", "first_pos", "role", F.length("text").alias("n_chars"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest.alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("restored"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    every = (op1_secret_scan, op2_embedding_near_dedup, op3_pii, op4_chat_formatting, op5_minhash_near_dedup, op6_language_id, op7_mix_sources, op8_media_columns, op9_quality_classifier, op10_sentencepiece)
+    return {f.__name__: f for f in every}
+
+
+OP7_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r,
+         (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight,
+         (source_size * 3)::DOUBLE AS cap
+  FROM sums),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ranked),
+spent AS (
+  SELECT *, min(CASE WHEN level * weight <= cap THEN cap / weight END) OVER () AS edge FROM levels),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN cap / weight < edge THEN cap ELSE (SELECT min_by(level, (cap / weight, r)) FROM spent WHERE level * weight <= cap) * weight END AS target
+  FROM spent),
+goals AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
+shares AS (
+  SELECT source, source_size, target, floor(rate + 1e-12) AS whole, greatest(0, rate - floor(rate + 1e-12)) AS share FROM goals),
+placed AS (
+  SELECT z.doc_id, z.size, s.source_size, s.target, s.whole, s.share, s.share * s.source_size AS words, z.source,
+         CASE WHEN s.share > 0 THEN (z.u / (1 - z.u)) / (s.share / (1 - s.share)) END AS ratio
+  FROM sized z JOIN shares s ON z.source IS NOT DISTINCT FROM s.source),
+run AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN share > 0 AND upto - size / 2.0 <= words THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_sources": OP7_SQL}
