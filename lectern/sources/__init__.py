@@ -1,0 +1,10 @@
+"""Readers of tables, images, JSON artefacts and process statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
