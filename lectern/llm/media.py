@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 SEEK_STEP = 64
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1, layer) or (MPEG-2, layer), and sampling rates.
@@ -166,7 +167,7 @@ def _is_table(data: bytes, at: int, h: tuple) -> int:
 
 
 def parse(data: bytes | None) -> dict:
-    """Columns of one stream; see ``SCHEMA``."""
+    """Columns of one stream; see ``FIELDS``."""
     out = dict(frames=0, samples=0, rate=0, layer=0, duration=0.0, crc_checked=0, crc_failed=0, truncated=0, junk_bytes=0, table_frames=None, table_bytes=None, tags={}, seek=[])
     if not data:
         return out
@@ -215,7 +216,11 @@ def payload(data: bytes) -> bytes:
     return b"".join(parts)[: int(tags["TXXX:payload"])]
 
 
-SCHEMA = T._parse_datatype_string("frames bigint, samples bigint, rate int, layer int, duration double, crc_checked bigint, crc_failed bigint, truncated int, junk_bytes bigint, table_frames bigint, table_bytes bigint, tags map<string,string>, seek array<bigint>")
+#: What ``parse`` tells, by Arrow type; Spark's follow from them.
+FIELDS = [
+    pa.field("frames", pa.int64()), pa.field("samples", pa.int64()), pa.field("rate", pa.int32()), pa.field("layer", pa.int32()), pa.field("duration", pa.float64()), pa.field("crc_checked", pa.int64()), pa.field("crc_failed", pa.int64()),
+    pa.field("truncated", pa.int32()), pa.field("junk_bytes", pa.int64()), pa.field("table_frames", pa.int64()), pa.field("table_bytes", pa.int64()), pa.field("tags", pa.map_(pa.string(), pa.string())), pa.field("seek", pa.list_(pa.int64())),
+]
 
 
 def parse_column(df: DataFrame, content: str = "content", into: str = "audio") -> DataFrame:
@@ -226,11 +231,10 @@ def parse_column(df: DataFrame, content: str = "content", into: str = "audio") -
             rows = [parse(x) for x in batch.column(at).to_pylist()]
             for r in rows:
                 r["tags"] = list(r["tags"].items())
-            fields = [pa.field("frames", pa.int64()), pa.field("samples", pa.int64()), pa.field("rate", pa.int32()), pa.field("layer", pa.int32()), pa.field("duration", pa.float64()), pa.field("crc_checked", pa.int64()), pa.field("crc_failed", pa.int64()), pa.field("truncated", pa.int32()), pa.field("junk_bytes", pa.int64()), pa.field("table_frames", pa.int64()), pa.field("table_bytes", pa.int64()), pa.field("tags", pa.map_(pa.string(), pa.string())), pa.field("seek", pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.struct(fields))], names=[*names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.struct(FIELDS))], names=[*names, into])
 
     names, at = df.columns, df.columns.index(content)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, SCHEMA)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StructType([T.StructField(f.name, from_arrow_type(f.type)) for f in FIELDS]))]))
 
 
 def compose_column(df: DataFrame, data: str = "data", into: str = "content") -> DataFrame:
