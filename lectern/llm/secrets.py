@@ -47,7 +47,7 @@ def ordinary_samples(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
     words = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w"))
     words = words.distinct()
-    forms = F.array("w", F.upper("w"), F.lower("w"), F.concat(F.lower("w"), F.lit("_"), F.reverse(F.substring(F.lower("w"), 1, 3))), F.concat(F.lower("w"), F.lit("_id=1")), F.concat(F.lower("w"), F.lit("-"), F.lower("w")), F.concat(F.lower("w"), F.lit("/"), F.lower("w")), F.concat(F.initcap("w"), F.initcap("w"), F.lit("2")), F.concat(F.lit("==--__"), "w"))
+    forms = F.array("w", F.upper("w"), F.lower("w"), F.concat(F.lower("w"), F.lit("_"), F.reverse(F.substring(F.lower("w"), 1, 3))), F.concat(F.lower("w"), F.lit("_id=1")), F.concat(F.lower("w"), F.lit("-"), F.lower("w")), F.concat(F.lower("w"), F.lit("/"), F.lower("w")), F.concat(F.initcap("w"), F.initcap("w"), F.lit("2")), F.concat(F.lit("==--__"), "w"), F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64("w"), F.lit(1_700_000_000))), "yyyy-MM-dd'T'HH-mm-ss-SSS"), F.concat(F.lit("000"), F.pmod(F.xxhash64("w"), F.lit(100_000)).cast("string"), F.lit("000000")))
     return words.select(F.explode(forms).alias("value"), F.lit(False).alias("is_random"))
 
 
