@@ -233,6 +233,7 @@ def parse_column(df: DataFrame, content: str = "content", into: str = "audio") -
                 r["tags"] = list(r["tags"].items())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.struct(FIELDS))], names=[*names, into])
 
+    df = df.drop(into)
     names, at = df.columns, df.columns.index(content)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StructType([T.StructField(f.name, from_arrow_type(f.type)) for f in FIELDS]))]))
 
@@ -245,6 +246,7 @@ def compose_column(df: DataFrame, data: str = "data", into: str = "content") ->
             made = [compose(x or b"") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*names, into])
 
+    df = df.drop(into)
     names, at = df.columns, df.columns.index(data)
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
 

@@ -12,7 +12,8 @@ document is scored, in whole, by vectorised passes over Arrow batches.
 Defined cases: null and empty texts have no words, an empty text's score is the
 thresholds' alone and it is not ``kept``; ratings without a document and null
 grades are ignored; with no ratings every text keeps the prior 0.5 and is kept;
-repeated rows score alike; other columns are carried along.
+repeated rows score alike; other columns are carried along, those with the new
+columns' names are replaced.
 """
 
 from __future__ import annotations
@@ -108,11 +109,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, good: int = GOOD, keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` with expected_grade, p_good (of a grade >= ``good``) and kept."""
+    new = ["expected_grade", "p_good", "kept"]
+    docs = docs.drop(*new)
     names = docs.columns
     at = names.index("text")
-    new = ["expected_grade", "p_good", "kept"]
-    if set(new) & set(names):
-        raise ValueError(f"columns {new} must be free")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

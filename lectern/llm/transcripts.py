@@ -14,7 +14,7 @@ between its own best boundary states. So a transcript that holds a third of all
 puts no more than ``BLOCK`` lines, or one matrix per ``BLOCK`` lines, in a task, and
 the path is the one Viterbi would find on the whole.
 
-Defined cases: null text is one empty line; an unmarked transcript is decoded
+Defined cases: rows without an id belong to no transcript and are left out; null text is one empty line; an unmarked transcript is decoded
 from its other features; equal scores go to the first state; repeated rows (the same
 id and place) are ordered by their text; an empty table gives no rows.
 """
@@ -211,7 +211,7 @@ def number_lines(rows: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    sized = rows.withColumn("n", F.size(F.split("text", "\n"))).withColumn("k", F.floor(F.coalesce("place", F.lit(0)) / 1024))
+    sized = rows.filter("id is not null").withColumn("n", F.size(F.split("text", "\n"))).withColumn("k", F.floor(F.coalesce("place", F.lit(0)) / 1024))
     sums = sized.groupBy("id", "k").agg(F.sum("n").alias("s"))
     before = sums.select("id", "k", (F.sum("s").over(Window.partitionBy("id").orderBy("k")) - F.col("s")).alias("before"))
     order = Window.partitionBy("id", "k").orderBy("place", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -16,7 +16,7 @@ per class and a spanning forest of its links, never the pairs themselves.
 The work is the pairs within labels, as asked; no pair is left out.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold null
-or non-finite components, link with nothing; vectors of unequal length do not
+or non-finite components, link with nothing, nor do rows without a vec_id (kept, component null); vectors of unequal length do not
 link; repeated rows count as separate vectors; an empty table gives no rows.
 """
 
@@ -122,7 +122,7 @@ def _tile(threshold: float):
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding, label); see the module's text."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sound = "label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    sound = "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     classes = rows.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
     classes = materialize(classes, "vector-classes")
     blocks = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -134,5 +134,6 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blo
     known = classes.select("label", "embedding", "rep", "many").join(links, "rep", "left").join(groups, "rep", "left")
     known = known.select("label", "embedding", (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.join(known, ["label", "embedding"], "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    known_id = F.col("vec_id").isNotNull()
+    component, links = F.when(known_id, F.coalesce("c", "vec_id")), F.when(known_id, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
+    return out.select("vec_id", links.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
