@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import boxes, decoding, records, scoring
+from lectern.plans import boxes, decoding, records, runs, scoring
 
-MODULES = (scoring, decoding, records, boxes)
+MODULES = (scoring, decoding, records, boxes, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
