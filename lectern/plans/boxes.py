@@ -190,7 +190,7 @@ SELECT p_partkey, w, h, (ceil(w / 32) * 32)::INT AS padded_w, (ceil(w / 32) * 32
     megapixel_budget: f"""WITH p AS ({_PART}), c AS (SELECT p_partkey, pw, ph, unnest(range(1, 2561)) AS canvas FROM p),
 r AS (SELECT *, least(greatest(pw, ph), canvas)::DOUBLE / greatest(pw, ph) AS k FROM c)
 SELECT p_partkey, max(CASE WHEN ceil(greatest(1, floor(pw * k)) / 32) * 32 * ceil(greatest(1, floor(ph * k)) / 32) * 32 <= 500000 THEN canvas ELSE 1 END)::INT AS canvas FROM r GROUP BY p_partkey""",
-    component_stats: f"SELECT image_id, (gy * 10 + gx + 1) AS label, 36 AS area, (6 + 12 * gx)::INT AS min_x, (11 + 12 * gx)::INT AS max_x, (6 + 12 * gy)::INT AS min_y, (11 + 12 * gy)::INT AS max_y, 0.9::DOUBLE AS max_region, 4 AS radius FROM ({_GRID}) WHERE 6 + 12 * gy < 96",
+    component_stats: f"SELECT image_id, (gy * 10 + gx + 1) AS label, 36::BIGINT AS area, (6 + 12 * gx)::INT AS min_x, (11 + 12 * gx)::INT AS max_x, (6 + 12 * gy)::INT AS min_y, (11 + 12 * gy)::INT AS max_y, 0.9::DOUBLE AS max_region, 4 AS radius FROM ({_GRID}) WHERE 6 + 12 * gy < 96",
     component_boxes: None,
     dilate_rows: """WITH e AS (SELECT user_id AS image_id, event_id % 7 AS y, event_id % 500 AS x, max((value > 50)::INT) AS set FROM events GROUP BY ALL)
 SELECT *, max(set) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS hit FROM e""",

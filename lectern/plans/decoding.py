@@ -79,8 +79,8 @@ s AS (SELECT crop_id, t, class, exp(v) / sum(exp(v)) OVER (PARTITION BY crop_id,
 _ROUND = "SELECT crop_id, text, round(confidence, 6) AS confidence FROM "
 
 QUERIES = {
-    softmax_rows: _ROWS + "SELECT crop_id, t, class, round(p, 6) AS p FROM s",
-    ctc_argmax: _ROWS + "SELECT crop_id, t, class, round(p, 6) AS p FROM s QUALIFY row_number() OVER (PARTITION BY crop_id, t ORDER BY p DESC, class) = 1",
+    softmax_rows: _ROWS + "SELECT crop_id, t::INT AS t, class::INT AS class, round(p, 6) AS p FROM s",
+    ctc_argmax: _ROWS + "SELECT crop_id, t::INT AS t, class::INT AS class, round(p, 6) AS p FROM s QUALIFY row_number() OVER (PARTITION BY crop_id, t ORDER BY p DESC, class) = 1",
     ctc_greedy_decode: _ROUND + _greedy(),
     ctc_ignore_allowlist: _ROUND + _greedy(ignore="class IN (2, 4, 6)"),
     ctc_ignore_blocklist: _ROUND + _greedy(ignore="class IN (2, 6)"),

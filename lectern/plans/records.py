@@ -206,7 +206,7 @@ WITH d AS (SELECT event_type, ts::DATE AS day, avg(value) AS v FROM events GROUP
 j AS (SELECT a.event_type, a.day::VARCHAR AS day, round(a.v - b.v, 6) AS delta FROM d a LEFT JOIN d b ON a.event_type = b.event_type AND a.day = b.day + 1)
 SELECT *, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE '-' END AS way FROM j""",
     record_assembly: """
-SELECT d.doc_id, d.lang, l.quality, l.toxic, length(b.text) AS item_chars, CASE WHEN l.doc_id IS NULL THEN 'no label' WHEN b.item_id IS NULL THEN 'no item' END AS skipped
+SELECT d.doc_id, d.lang, l.quality, l.toxic, length(b.text)::INT AS item_chars, CASE WHEN l.doc_id IS NULL THEN 'no label' WHEN b.item_id IS NULL THEN 'no item' END AS skipped
 FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN benchmark b ON b.item_id = d.doc_id""",
     last_wins_merge: "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     outer_merge: """

@@ -58,7 +58,7 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    synthetic_boxes: "SELECT 200 AS n_boxes, -2.0::DOUBLE AS x0, 199 * 45.0 + 40 + 2 AS x1, 8.0::DOUBLE AS y0, 32.0::DOUBLE AS y1",
+    synthetic_boxes: "SELECT 200::BIGINT AS n_boxes, -2.0::DOUBLE AS x0, (199 * 45 + 42)::DOUBLE AS x1, 8.0::DOUBLE AS y0, 32.0::DOUBLE AS y1",
     synthetic_logits: """
 WITH p AS (SELECT t.range AS t, c.range AS class, exp(-abs(c.range - t.range % 10) * 0.5) AS e FROM range(25) t, range(10) c),
 b AS (SELECT t, t % 10 AS class, max(e) / sum(e) AS p FROM p GROUP BY t)
