@@ -65,9 +65,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], grades: np.ndarray, grades_n: int = GRADES, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of texts and their grades."""
+    return fit_features(*features(pa.array(texts, pa.string())), grades, grades_n, steps, l2)
+
+
+def fit_features(owner: np.ndarray, bucket: np.ndarray, weight: np.ndarray, shapes: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the mean negative log-likelihood of the cumulative links."""
-    owner, bucket, weight, shapes = features(pa.array(texts, pa.string()))
-    n, y = len(texts), grades.astype(int)
+    n, y = len(grades), grades.astype(int)
     w, raw = np.zeros(BUCKETS + SHAPES), np.concatenate([[-1.0], np.zeros(grades_n - 2)])
     state = [np.zeros(len(w) + len(raw)), np.zeros(len(w) + len(raw))]
     for step in range(1, steps + 1):
@@ -96,10 +100,27 @@ def train(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, grade
     chosen = ratings.filter(f"grade between 0 and {grades_n - 1} and doc_id is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     # max_rated rows of two numbers: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_rated).collect()
+    rated = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                owner, bucket, weight, shapes = features(part.column(1))
+                cells, at = np.unique(owner * BUCKETS + bucket, return_inverse=True)
+                sums = np.bincount(at, weight, len(cells))
+                ends = np.searchsorted(cells, np.arange(part.num_rows + 1) * BUCKETS)
+                parts = [[x[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (cells % BUCKETS, sums)]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(shapes.tolist(), pa.list_(pa.float64())), pa.array(parts[0], pa.list_(pa.int32())), pa.array(parts[1], pa.list_(pa.float64()))], names=["doc_id", "grade", "shapes", "buckets", "weights"])
+
+    # a row has at most BUCKETS entries however long its text is
+    kept = rated.mapInArrow(run, "doc_id bigint, grade int, shapes array<double>, buckets array<int>, weights array<double>")
+    rows = sorted(kept.orderBy("doc_id", "buckets").limit(max_rated).collect(), key=lambda r: (r["doc_id"], r["buckets"]))
     if not rows:
         return None
-    return fit([r["text"] for r in rows], np.array([r["grade"] for r in rows]), grades_n)
+    owner = np.repeat(np.arange(len(rows)), [len(r["buckets"]) for r in rows])
+    bucket, weight = (np.concatenate([np.array(r[c], kind) for r in rows]) for c, kind in (("buckets", np.int64), ("weights", np.float64)))
+    return fit_features(owner, bucket, weight, np.array([r["shapes"] for r in rows]), np.array([r["grade"] for r in rows]), grades_n)
 
 
 def graded(labels: DataFrame) -> DataFrame:
