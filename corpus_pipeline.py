@@ -42,8 +42,8 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they restore it."""
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text", "source")))
-    return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("restored"))
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), restored="restored")
+    return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "restored")
 
 
 STAGES = [("quality classifier", _quality), ("MinHash near-dedup", _near_duplicates), ("PII", _personal_data), ("mixing sources", _mix), ("SentencePiece encoding", _encode)]

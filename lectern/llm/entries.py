@@ -62,9 +62,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), digest.alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("restored"))
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), restored="restored")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "restored")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

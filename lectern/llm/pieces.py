@@ -18,7 +18,7 @@ normalised. A character outside the vocabulary costs 10 more than the worst
 score and becomes its UTF-8 bytes, so decoding restores every text exactly.
 
 Defined cases: a null text gives null ids and decodes to null; an empty text
-gives no ids; other columns are kept; rows are independent of each other.
+gives no ids; other columns are kept, one that has the new column's name is replaced; rows are independent of each other.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMORY = 400_000
+MEMORY = 150_000
+#: Rows of a result batch.
+ROWS = 200
 ZIPF = 200
 CHUNK = 256
 
@@ -59,18 +62,36 @@ class Pieces:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         spans = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cut = re.compile(".+", re.S) if spans else re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in joined else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.single = {p for p in self.ids if len(p) == 1}
-        self.root: dict = {}  # prefix tree; "" holds (score, id) of the piece that ends there
-        for piece, told_of in self.ids.items():
+        self.root: dict[str, tuple] = {}  # prefix tree: character -> (children, score, id), id -1 where no piece ends
+        for piece, (score, i) in self.ids.items():
             node = self.root
-            for char in piece:
-                node = node.setdefault(char, {})
-            node[""] = told_of
-        self.memory: dict[str, tuple[int, ...]] = {}
+            for char in piece[:-1]:
+                node = node.setdefault(char, ({}, 0.0, -1))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({},))[0], score, i)
+        plain = {i: self.pieces[i].replace(MARK, " ").encode() for _, i in self.ids.values()}
+        self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else plain.get(i, b"") for i in range(len(self.pieces))]
+        self.memory: dict[str, array] = {}
+
+    def _extend(self, window: str, best: list[float], back: list[int], which: list[int], at: int, stop: int) -> None:
+        """Extend the starts ``at`` to ``stop`` of the window by every piece that begins there."""
+        root, unknown, size = self.root, self.unknown, len(window)
+        for start in range(at, stop):
+            so_far, node, end = best[start], root, start
+            while end < size:
+                found = node.get(window[end])
+                if found is None:
+                    break
+                node, score, i = found
+                end += 1
+                if i >= 0 and so_far + score > best[end]:
+                    best[end], back[end], which[end] = so_far + score, start, i
+            if window[start] not in root or root[window[start]][2] < 0:
+                if so_far + unknown > best[start + 1]:
+                    best[start + 1], back[start + 1], which[start + 1] = so_far + unknown, start, -1
 
     def stream(self, chunks: Iterable[str]) -> Iterator[int]:
         """Ids of a text given in chunks, each as soon as it is certain."""
-        longest, unknown, root = self.longest, self.unknown, self.root
+        longest = self.longest
         window, at = "", 0  # what is retained, and how far starts in it are extended
         best, back, which = [0.0], [-1], [-1]  # at each position of the window: score, start of the last piece, its id
         for chunk in itertools.chain(chunks, (None,)):
@@ -81,18 +102,7 @@ class Pieces:
                 which += [-1] * len(chunk)
             # a start is extended when all characters a piece may need are there
             stop = len(window) if chunk is None else max(at, len(window) - longest + 1)
-            for start in range(at, stop):
-                so_far, node, end = best[start], root, start
-                if so_far + unknown > best[start + 1] and window[start] not in self.single:
-                    best[start + 1], back[start + 1], which[start + 1] = so_far + unknown, start, -1
-                for char in window[start : start + longest]:
-                    node = node.get(char)
-                    if node is None:
-                        break
-                    end += 1
-                    hit = node.get("")
-                    if hit is not None and so_far + hit[0] > best[end]:
-                        best[end], back[end], which[end] = so_far + hit[0], start, hit[1]
+            self._extend(window, best, back, which, at, stop)
             at = stop
             # paths that can still win end here, or beyond with a piece that starts before
             ends = {at, *(e for e in range(at + 1, min(at + longest, len(best))) if 0 <= back[e] < at)}
@@ -116,29 +126,34 @@ class Pieces:
             end = start
         return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
+    def _between(self, part: str) -> array:
+        """Ids of what stands between two boundaries: one window if it is short, else streamed."""
+        n = len(part)
+        if n > CHUNK:
+            return array("i", self.stream(part[k : k + CHUNK] for k in range(0, n, CHUNK)))
+        best, back, which = [0.0] + [-math.inf] * n, [-1] * (n + 1), [-1] * (n + 1)
+        self._extend(part, best, back, which, 0, n)
+        return array("i", self._path(part, back, which, n))
+
+    def encode(self, text: str) -> array:
         """Ids of one text."""
-        out: list[int] = []
+        out = array("i")
         memory = self.memory
-        for found in self.cut.finditer(MARK + text.replace(" ", MARK)) if text else ():
-            part = found[0]
-            ids = memory.get(part)
-            if ids is None:
-                ids = tuple(self.stream(part[k : k + CHUNK] for k in range(0, len(part), CHUNK)))
-                if len(part) <= 64 and len(memory) < MEMORY:
-                    memory[part] = ids
-            out.extend(ids)
+        for k, plain in enumerate(text.split(MARK) if text else ()):
+            if k:  # a marker in the text itself is spelt in bytes
+                out.extend(self.byte_ids[b] for b in MARK.encode())
+            for part in self.cut.findall(("" if k else MARK) + plain.replace(" ", MARK)):
+                ids = memory.get(part)
+                if ids is None:
+                    ids = self._between(part)
+                    if len(part) <= 64 and len(memory) < MEMORY:
+                        memory[part] = ids
+                out.extend(ids)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids."""
-        out = bytearray()
-        for i in ids:
-            if i in self.bytes:
-                out.append(self.bytes[i])
-            elif self.pieces[i] in self.ids:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -147,30 +162,50 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column ``ids`` (array<int>) of the piece ids of ``text``."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids", restored: str = "") -> DataFrame:
+    """``docs`` with a column ``ids`` (array<int>) of the piece ids of ``text``.
+
+    With ``restored``, a boolean column of that name says whether decoding the ids gives the text back.
+    """
+    new = [ids, *([restored] if restored else [])]
+    docs = docs.drop(*new)
     model, names = _model(vocabulary), docs.columns  # half a megabyte, travels with the plan
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            got = [None if t is None else pieces.encode(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*names, ids])
-
-    return docs.mapInArrow(run, _with(docs, ids, "array<int>"))
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                values, ends, whole, missing = array("i"), array("i", [0]), [], []
+                for t in part.column(at):
+                    t = t.as_py()
+                    one = array("i") if t is None else pieces.encode(t)
+                    values.extend(one)
+                    ends.append(len(values))
+                    missing.append(t is None)
+                    if restored:
+                        whole.append(t is None or pieces.decode(one) == t)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=pa.array(missing))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(whole)] if restored else [])], names=[*names, *new])
+
+    out = _with(docs, ids, "array<int>")
+    return docs.mapInArrow(run, out.add(restored, "boolean") if restored else out)
 
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with a column ``text`` (string) restored from ``ids``."""
+    rows = rows.drop(text)
     model, names = _model(vocabulary), rows.columns
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            got = [None if x is None else pieces.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*names, text])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                got = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], names=[*names, text])
 
     return rows.mapInArrow(run, _with(rows, text, "string"))
 
@@ -178,6 +213,4 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text
 def _with(df: DataFrame, name: str, kind: str):
     from pyspark.sql import types as T
 
-    if name in df.columns:
-        raise ValueError(f"column {name} is there already")
     return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind), True)])
