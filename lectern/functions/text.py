@@ -87,7 +87,7 @@ def ratio_claim(value: Column, least: float = 1.15) -> Column:
 
 def signed_delta(value: Column) -> Column:
     """``+0.125``, or a dash without a value."""
-    return F.coalesce(F.format_string("%+.3f", value), F.lit("-")) if value is not None else F.lit("-")
+    return F.when(value.isNull(), "-").otherwise(F.format_string("%+.3f", value))
 
 
 def host_identity(value: Column) -> Column:
