@@ -10,18 +10,23 @@
    probability 0.75, so ``k = 48`` values are shared 36 times on average and
    fewer than 20 times with probability 2e-7.
 3. Longer lists are *hot* (a boilerplate line, a large group of near copies).
-   A pair that the cold lists could miss must share more than
-   ``20 - 8`` hot values, so only classes with that many hot values take part:
-   first each is compared with a few list leaders, then whatever is in another
-   component than its list's largest is compared with that list's other
-   components. No list is cut, no candidate is dropped.
+   A pair that the cold lists miss shares at least 20 retained values and no
+   cold one, so only classes with 20 hot values take part. Each is first
+   compared with the leaders of a few of its lists (the class with the most hot
+   values: the least edited copy). What is then still in different components
+   goes through an exact prefix filter over the full sets of these classes,
+   rarest shingles first: a linked pair must share one of the first
+   ``n - ceil(0.75 n) + 1``, early enough for the rest to suffice. A class and a
+   large component that meet there are compared as a whole, in tiles of two
+   blocks, which give one link a class instead of every pair. No list is cut, no
+   candidate is dropped.
 4. Candidates are verified on the full sets, read again from the texts: first
    the union sketch estimates the similarity, then exact Jaccard decides. One
    pair per class is verified first, and only pairs that still cross
    components follow.
 
 Defined cases: null or word-free texts have no shingles, link with nothing and
-are kept; a repeated doc_id stands for one document per distinct text; other
+are kept, as are rows without a doc_id (their component is null); a repeated doc_id stands for one document per distinct text; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -39,6 +44,10 @@ from lectern.llm.state import materialize, small_side
 from lectern.llm.textkernel import overlap, shingle_sets, splitmix
 
 K, LIST_LIMIT, PERCENT, WIDTH = 48, 64, 75, 5
+#: Retained values shared by a pair at the threshold (fewer with probability 2e-7), and cold ones asked of a candidate without hot ones.
+SHARED, ASKED = 20, 8
+#: Classes that make a component large, and classes in a block of a tile.
+LARGE, BLOCK = 32, 256
 #: Share of the union sketch below which a pair at 0.75 falls with probability under 1e-7.
 ESTIMATE_FLOOR = 0.4
 
@@ -66,12 +75,7 @@ def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
 def _floor(n: Column) -> Column:
     """Retained values that a linked pair shares, whose smaller set has ``n`` shingles."""
-    return F.least(F.lit(20), F.ceil(n * 0.75)).cast("int")
-
-
-def _needed(n: Column) -> Column:
-    """Shared cold values that make a candidate."""
-    return F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(n * 0.3))).cast("int")
+    return F.least(F.lit(SHARED), F.ceil(n * 0.75)).cast("int")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -103,36 +107,106 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, width: in
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _cold(index: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
-    """Candidates from lists of up to ``limit`` classes: pairs that share enough of them."""
+def _cold(index: DataFrame, hot: DataFrame, heated: DataFrame | None, limit: int) -> DataFrame:
+    """Candidates from lists of up to ``limit`` classes: pairs that share enough of them.
+
+    A pair shares ``_floor`` retained values, of which at most the smaller number of hot values (``heated``) is hot.
+    """
     lists = index.join(hot, "v", "left_anti").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("l")).filter("size(l) > 1")
     pairs = lists.select("l", F.posexplode("l").alias("i", "x")).select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
     pairs = _sized(pairs.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")))
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("na", "nb")).alias("m"))
-    return counted.filter(F.col("shared") >= _needed(F.col("m"))).select("a", "b")
+    strong = F.col("shared") >= F.least(F.lit(ASKED), _floor(F.col("m")))
+    if heated is None:
+        return counted.filter(strong).select("a", "b")
+    for end in ("a", "b"):
+        counted = counted.join(heated.select(F.col("rep").alias(end), F.col("h").alias(f"h{end}")), end, "left")
+    return counted.filter(strong | F.coalesce(F.col("shared") + F.col("ha") >= _floor(F.col("m")), F.lit(False)) & F.coalesce(F.col("shared") + F.col("hb") >= _floor(F.col("m")), F.lit(False))).select("a", "b")
+
+
+def _prefixes(texts: DataFrame, tied: DataFrame) -> DataFrame:
+    """Rows (v, rep, n, i): of each class the rarest shingles, one of which is shared with every similar class, and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingle_sets(part.column(1), WIDTH)
+                sizes = np.array([len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["rep", "n", "v"])
 
+    own = texts.join(small_side(tied.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    rows = own.select("doc_id", "text").mapInArrow(run, "rep bigint, n bigint, v bigint")
+    seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ordered = rows.join(seen, "v", "left").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v"))).alias("l"))
+    first = F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 0.75) + 1).cast("int"))
+    return ordered.select("rep", "n", F.posexplode(first).alias("i", "x")).filter("x.c > 1").select("x.v", "rep", "n", (F.col("i") + 1).alias("i"))
 
-def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT) -> DataFrame:
+
+def _against_large(rows: DataFrame, sizes: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of prefix rows (v, rep, n, i, c) and the large components (c, members) of others.
+
+    A class and a component that meet in a list are compared as a whole: the component's classes and those to be
+    compared are dealt to blocks of ``BLOCK``, a tile holds one block of each, and gives one link per class at most.
+    """
+    there = rows.join(small_side(sizes), "c").groupBy("v", "c").agg(F.max(F.col("n") - F.col("i")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("longest"))
+    # as for single pairs: what follows a common shingle must suffice, for the best case of the component
+    fits = f"c <> rc and {100 + PERCENT} * (1 + least(rest, rn - ri)) >= {PERCENT} * (least + rn) and 100 * longest >= {PERCENT} * rn and 100 * rn >= {PERCENT} * least"
+    asked = rows.select("v", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"), F.col("c").alias("rc")).join(there, "v").filter(fits)
+    asked = materialize(asked.groupBy("r", "c").agg(F.first("rn").alias("rn")).select("r", "c"), "asked")
+    blocks = sizes.join(asked.groupBy("c").agg(F.count(F.lit(1)).alias("asking")), "c").select("c", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("ab"))
+    blocks = small_side(materialize(blocks, "blocks"))
+    place = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
+    one = asked.join(blocks, "c").select("c", place("r", "ab").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), F.lit(True).alias("asks"), F.col("r").alias("doc_id"))
+    members = groups.join(rows.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select(F.col("component").alias("c"), "node")
+    two = members.join(blocks, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("i"), place("node", "mb").alias("j"), F.lit(False).alias("asks"), F.col("node").alias("doc_id"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        ids, sets = table.column("doc_id").to_numpy(), shingle_sets(table.column("text"), WIDTH)
+        held = [k for k in range(len(sets)) if not asks[k]]
+        sizes_held = np.array([len(sets[k]) for k in held])
+        every = np.concatenate([sets[k] for k in held]) if held else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        values, owner = every[order], np.repeat(np.arange(len(held)), sizes_held)[order]
+        found: list[tuple[int, int]] = []
+        for k in np.flatnonzero(asks) if held else ():
+            low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+            many = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            shared = np.bincount(owner[at], minlength=len(held))
+            hits = np.flatnonzero((100 * shared >= PERCENT * (len(sets[k]) + sizes_held - shared)) & (shared > 0))
+            if len(hits):
+                a, b = int(ids[k]), int(ids[held[hits[0]]])
+                found.append((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    both = one.unionByName(two).join(texts, "doc_id")
+    return both.groupBy("c", "i", "j").applyInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, large: int = LARGE) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per document; see the module's text."""
     sigs = materialize(sketches(docs, k), "sketches")
-    full = sigs.filter("n_shingles > 0")
+    full = sigs.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     index = classes.select(F.explode("sketch").alias("v"), "rep", F.col("n_shingles").cast("int").alias("n"))
     hot = materialize(index.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > list_limit).select("v"), "hot")
     some_hot = bool(hot.take(1))
     hot_side = small_side(hot)
-    cold = materialize(_cold(index, hot_side, list_limit), "cold")
-    first = cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
+    heated = None
     if some_hot:
-        tied = index.join(hot_side, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list("v")).alias("hv"))
         m = F.ceil(F.col("n") * 0.75)
-        tied = materialize(tied.filter(F.size("hv") > _floor(m) - _needed(m)), "tied")
-        led = tied.select("rep", "n", F.explode(F.slice("hv", 1, 3)).alias("v"))
-        leaders = led.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep", "v").alias("h"), F.col("rep").alias("lead"), F.col("n").alias("ln"))).alias("s")).select("v", "s.lead", "s.ln")
+        heated = index.join(hot_side, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list("v")).alias("hv")).withColumn("h", F.size("hv"))
+        heated = materialize(heated.filter(F.col("h") > _floor(m) - ASKED), "heated")
+        tied = heated.filter(F.col("h") >= _floor(m))
+    cold = materialize(_cold(index, hot_side, small_side(heated.select("rep", "h")) if some_hot else None, list_limit), "cold")
+    first = cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    if some_hot:
+        led = tied.select("rep", "n", "h", F.explode(F.slice("hv", 1, 2)).alias("v"))
+        leaders = led.groupBy("v").agg(F.max(F.struct("h", F.xxhash64("rep").alias("x"), F.col("rep").alias("lead"), F.col("n").alias("ln"))).alias("s")).select("v", "s.lead", "s.ln")
         starts = led.join(leaders, "v").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.col("n").alias("na"), F.col("ln").alias("nb"))
-        first = first.unionByName(_sized(starts).select("a", "b")).distinct()
-        first = materialize(first, "first")
+        first = materialize(first.unionByName(_sized(starts).select("a", "b")).distinct(), "first")
 
     wanted = cold.select(F.col("a").alias("doc_id")).unionByName(cold.select(F.col("b").alias("doc_id")))
     if some_hot:
@@ -144,27 +218,40 @@ def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT) -
     links = materialize(verify(first, texts), "links")
     groups = materialize(connected_components(links), "groups")
 
-    def apart(pairs: DataFrame) -> DataFrame:
+    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
         ends = pairs
         for end in ("a", "b"):
             ends = ends.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
         return ends.filter("ca <> cb").select("a", "b")
 
-    rest = apart(cold)
+    rest = apart(cold, groups)
     if some_hot:
-        rows = tied.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("c"), F.explode("hv").alias("v"))
+        rows = _prefixes(texts, tied).join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "i", F.coalesce("component", "rep").alias("c"), "v")
         rows = materialize(rows, "rows")
+        sizes = groups.join(small_side(tied.select(F.col("rep").alias("node"))), "node", "left_semi").groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= large)
+        sizes = materialize(sizes, "large")
+        links = materialize(links.unionByName(_against_large(rows, sizes, groups, texts)), "links")
+        # what is left of the lists: pairs of small components
+        rows = rows.join(small_side(sizes), "c", "left").withColumn("large", F.col("members").isNotNull()).drop("members")
         most = rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("s")).groupBy("v").agg(F.max(F.struct("s", "c")).alias("top")).select("v", F.col("top.c").alias("top"))
-        aside = rows.join(most, "v").filter("c <> top").select("v", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("c").alias("rc"))
-        cross = aside.join(rows, "v").filter(f"c <> rc and 100 * least(n, rn) >= {PERCENT} * greatest(n, rn)")
-        cross = cross.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.least("n", "rn").alias("m"), "v").groupBy("a", "b").agg(F.count_distinct("v").alias("shared"), F.min("m").alias("m"))
-        cross = cross.filter(F.col("shared") > _floor(F.col("m")) - _needed(F.col("m"))).select("a", "b")
-        rest = rest.unionByName(cross).distinct()
-    more = verify(materialize(rest, "rest"), texts)
+        rows = rows.filter("not large")
+        aside = rows.join(most, "v").filter("c <> top").select("v", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"), F.col("c").alias("rc"))
+        # from a common shingle on, two classes cannot share more than what follows in either
+        cross = aside.join(rows, "v").filter(f"c <> rc and {100 + PERCENT} * (1 + least(n - i, rn - ri)) >= {PERCENT} * (n + rn)")
+        ends = [F.when(F.col("rep") < F.col("r"), F.struct(F.col(x).alias("id"), F.col(y).alias("n"), F.col(z).alias("i"))).otherwise(F.struct(F.col(p).alias("id"), F.col(q).alias("n"), F.col(w).alias("i"))) for x, y, z, p, q, w in (("rep", "n", "i", "r", "rn", "ri"), ("r", "rn", "ri", "rep", "n", "i"))]
+        cross = cross.select("v", ends[0].alias("x"), ends[1].alias("y")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        cross = cross.agg(F.count_distinct("v").alias("shared"), F.max("x.i").alias("i"), F.max("y.i").alias("j")).withColumn("most", F.col("shared") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")))
+        cross = materialize(cross.filter(f"{100 + PERCENT} * most >= {PERCENT} * (na + nb)").select("a", "b", "shared"), "cross")
+        # each class with its likeliest partner first: most of the others then are within one component
+        likely = cross.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).unionByName(cross.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")).distinct()
+        links = materialize(links.unionByName(verify(likely, texts)), "links")
+        groups = materialize(connected_components(links), "groups")
+        rest = materialize(apart(rest.unionByName(cross.select("a", "b")).distinct(), groups), "rest")
+    more = verify(rest, texts)
     groups = connected_components(links.unionByName(more))
 
     reps = classes.select("f1", "f2", "n_shingles", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

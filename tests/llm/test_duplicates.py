@@ -58,14 +58,14 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("limit", [64, 8])
-def test_near_duplicates_match_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "large"), [(64, 32), (8, 4)])
+def test_near_duplicates_match_brute_force(spark, limit, large):
     texts = corpus()
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     want = components(range(len(texts)), links)
     docs = spark.createDataFrame([(i, t, i, "c") for i, t in enumerate(texts)], "doc_id bigint, text string, rep int, v string")
-    got = {r.doc_id: r for r in minhash.near_duplicates(docs, list_limit=limit).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, list_limit=limit, large=large).collect()}
     assert len(got) == len(texts)
     for i, s in enumerate(sets):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), want[i], want[i] == i)
