@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lectern.llm.state import materialize
 
 
+#: Edges up to which a round runs in one task (16 bytes each).
+SMALL = 100_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
@@ -39,7 +43,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
     mark = _mark(edges)
     while mark[0]:
-        edges = materialize(_star(_star(edges, True), False), name)
+        # a counted, small table is one task's work: no shuffle is worth its tasks
+        held = edges.coalesce(1) if mark[0] <= SMALL else edges
+        edges = materialize(_star(_star(held, True), False), name)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
