@@ -1,8 +1,9 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 1. Every text becomes its set of distinct five-word shingles (64-bit hashes);
-   its *sketch* is the ``k`` smallest. Equal sets are one class, represented by
-   its smallest doc_id, so copies never multiply pairs.
+   its *sketch* is the ``k`` smallest. Equal sets are one class, numbered and
+   represented by one text (smallest doc_id, then hash of the text), so copies
+   and repeated rows never multiply pairs.
 2. Inverted lists of retained values give candidates. Lists of up to
    ``list_limit`` classes are *cold*: their pairs are counted, and a pair is a
    candidate when it shares enough retained values. For a pair at the
@@ -26,7 +27,8 @@
    components follow.
 
 Defined cases: null or word-free texts have no shingles, link with nothing and
-are kept, as are rows without a doc_id (their component is null); a repeated doc_id stands for one document per distinct text; other
+are kept, as are rows without a doc_id (their component is null); a repeated doc_id stands for one document per distinct text, which links
+by its own text only; repeated rows of a kept document are kept; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -53,7 +55,7 @@ ESTIMATE_FLOOR = 0.4
 
 
 def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
-    """Rows (doc_id, n_shingles, f1, f2, sketch): f1, f2 are a 128-bit fingerprint of the set."""
+    """Rows (doc_id, n_shingles, f1, f2, sketch, h): f1, f2 are a 128-bit fingerprint of the set, h is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +68,21 @@ def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
                 ends = np.cumsum([0] + [len(s) for s in kept]).astype(np.int32)
                 values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                    names=["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), part.column(2)],
+                    names=["doc_id", "n_shingles", "f1", "f2", "sketch", "h"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>")
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>, h bigint")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, h) of ``docs``; a document is a doc_id with a text."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("h"))
+
+
+def text_hash() -> Column:
+    """The hash that tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _floor(n: Column) -> Column:
@@ -185,11 +197,24 @@ def _against_large(rows: DataFrame, sizes: DataFrame, groups: DataFrame, texts:
     return both.groupBy("c", "i", "j").applyInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, large: int = LARGE) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one per document; see the module's text."""
+def _texts(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """Rows (doc_id, text), one per class of ``picks`` (rep, doc_id, h): the class's number and its text, however often it stands in ``docs``."""
+    texts = materialize(_keyed(docs).join(small_side(picks), ["doc_id", "h"]).select(F.col("rep").alias("doc_id"), "text"), "texts")
+    again = materialize(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"), "again")
+    if not again.take(1):
+        return texts
+    side = small_side(again)
+    once = texts.join(side, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    return materialize(texts.join(side, "doc_id", "left_anti").unionByName(once), "texts")
+
+
+def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, large: int = LARGE, hashed: bool = False) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``; see the module's text. With ``hashed`` also h, the ``text_hash``."""
     sigs = materialize(sketches(docs, k), "sketches")
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
+    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "h")).alias("lead"), F.min_by("sketch", "doc_id").alias("sketch"))
+    # a doc_id with several texts is in several classes: from here to the result a class goes by its number, fixed by being written
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     index = classes.select(F.explode("sketch").alias("v"), "rep", F.col("n_shingles").cast("int").alias("n"))
     hot = materialize(index.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > list_limit).select("v"), "hot")
     some_hot = bool(hot.take(1))
@@ -208,12 +233,11 @@ def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, l
         starts = led.join(leaders, "v").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.col("n").alias("na"), F.col("ln").alias("nb"))
         first = materialize(first.unionByName(_sized(starts).select("a", "b")).distinct(), "first")
 
-    wanted = cold.select(F.col("a").alias("doc_id")).unionByName(cold.select(F.col("b").alias("doc_id")))
+    wanted = cold.select(F.col("a").alias("rep")).unionByName(cold.select(F.col("b").alias("rep")))
     if some_hot:
-        wanted = wanted.unionByName(tied.select(F.col("rep").alias("doc_id")))
-    wanted = materialize(wanted.distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small_side(wanted), "doc_id", "left_semi")
-    texts = materialize(texts, "texts")
+        wanted = wanted.unionByName(tied.select("rep"))
+    wanted = materialize(classes.select("rep", "lead.doc_id", "lead.h").join(wanted.distinct(), "rep", "left_semi"), "wanted")
+    texts = _texts(docs, wanted)
 
     links = materialize(verify(first, texts), "links")
     groups = materialize(connected_components(links), "groups")
@@ -251,7 +275,12 @@ def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, l
     more = verify(rest, texts)
     groups = connected_components(links.unionByName(more))
 
-    reps = classes.select("f1", "f2", "n_shingles", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = materialize(classes.select("f1", "f2", "n_shingles", "rep", "lead").join(groups.withColumnRenamed("node", "rep"), "rep", "left"), "named")
+    # a component goes by its smallest doc_id
+    heads = materialize(named.filter("component is not null").groupBy("component").agg(F.min("lead").alias("head")), "heads")
+    linked = named.filter("component is not null").join(small_side(heads), "component").select("f1", "f2", "n_shingles", "head")
+    reps = linked.unionByName(named.filter("component is null").select("f1", "f2", "n_shingles", F.col("lead").alias("head")))
+    out = sigs.select("doc_id", "n_shingles", "f1", "f2", "h").join(reps, ["f1", "f2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head.doc_id", "doc_id"))
+    kept = F.when(F.col("doc_id").isNull() | F.col("head").isNull(), F.lit(True)).otherwise((F.col("doc_id") == F.col("head.doc_id")) & (F.col("h") == F.col("head.h")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *(["h"] if hashed else []))

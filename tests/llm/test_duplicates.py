@@ -71,6 +71,35 @@ def test_near_duplicates_match_brute_force(spark, limit, large):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), want[i], want[i] == i)
 
 
+def test_near_duplicates_of_repeated_rows_match_brute_force(spark):
+    texts = corpus()
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = components(range(len(texts)), links)
+    docs = spark.createDataFrame([(i, t) for _ in range(2) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = minhash.near_duplicates(docs, list_limit=8, large=4).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(s), want[i], want[i] == i) for i, s in enumerate(sets) for _ in range(2))
+
+
+def test_prefixes_of_repeated_rows_are_whole(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:36] + ["x", "y"])]
+    picks = spark.createDataFrame([(i, i + 7, h) for i, h in enumerate(r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(minhash.text_hash()).collect())], "rep bigint, doc_id bigint, h bigint")
+    found = []
+    for times in (1, 2):
+        docs = spark.createDataFrame([(i + 7, t) for i, t in enumerate(texts) for _ in range(times)], "doc_id bigint, text string")
+        found.append(sorted(map(tuple, minhash._prefixes(minhash._texts(docs, picks), picks).collect())))
+    assert found[0] and found[0] == found[1]
+
+
+def test_texts_of_one_id_link_by_themselves(spark):
+    text = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a", 60)), (2, text("b", 60)), (5, text("a", 62)), (5, text("b", 62)), (5, text("b", 62)), (6, text("c", 60)), (6, text("c", 62)), (7, text("c", 64))]
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert [(d, c) for d, _, c, _ in got] == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 2), (6, 6), (6, 6), (7, 6)]
+    assert [d for d, *_, kept in got if kept] == [1, 2, 6]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     schema = "doc_id bigint, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
