@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash, mixing, pieces, pii, quality
+from lectern.llm.state import materialize, small_side
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +22,11 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest doc_id; all rows without a doc_id."""
+    # what goes has a doc_id, so rows without one meet nothing here
+    gone = minhash.near_duplicates(docs, hashed=True).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    gone = small_side(materialize(gone, "gone"))
+    return docs.join(gone, (F.col("doc_id").cast("bigint") == F.col("gone_id")) & (minhash.text_hash() == F.col("gone_h")), "left_anti")
 
 
 def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +38,10 @@ def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
     whole = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
-    taken = mixing.mix(whole.select("doc_id", "text", "source")).filter("taken > 0").select("doc_id", "size", "taken").dropDuplicates(["doc_id"])
+    # rows are carried along: neither doc_id nor text tells repeated rows apart
+    taken = mixing.mix(whole, keep=("row",)).filter("taken > 0")
     copies = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
-    return docs.join(taken, "doc_id").withColumn("copy", copies).select(*docs.columns)
+    return taken.withColumn("copy", copies).select("row.*")
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ excess is shared again by weight until none is above.
 
 Defined cases: a null text has no words; a null source is a source; documents
 without words are taken 0 times over; an empty table gives no rows; rows with
-the same doc_id and size have the same rank and are told apart by a hash of the text.
+the same doc_id and size have the same rank and are told apart by a hash of the text, then of the columns ``keep``.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, kee
     ratio = (F.col("u") / (1 - F.col("u"))) / (F.col("share") / (1 - F.col("share")))
     placed = placed.withColumn("ratio", F.when(F.col("share") > 0, ratio))
     edge = placed.filter("share > 0 and u >= low and u < low + width")
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("ratio", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("ratio", "doc_id", "h", "size", *([F.xxhash64(*keep)] if keep else [])).rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("more", ((F.col("below") + run - F.col("size") / 2) <= F.col("words")).cast("int"))
     away = placed.filter("not (share > 0 and low is not null and u >= low and u < low + width) or low is null").withColumn("more", F.expr("cast(share > 0 and (low is null or u < low) as int)"))
     out = edge.unionByName(away)

@@ -1,6 +1,7 @@
 """Stages one by one against what they promise."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -54,3 +55,45 @@ def test_copies_and_ids(staged):
     assert all(1 <= r["count"] <= 3 for r in mixed)
     last = staged[4][1].collect()
     assert len(last) == staged[3][1].count() and all(r.restored and r.n_ids == len(r.ids) for r in last)
+
+
+def odd_docs(spark):
+    """Documents with null and repeated doc_ids: equal rows, other texts and other sources under one id."""
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(None, text(f"n{k}x"), s) for k in range(30) for s in ("a", "b", None)]
+    rows += [(k, text(f"r{k}x"), s) for k in range(40) for s in ("a", "a", "b")]
+    rows += [(k, text(f"o{k}x", 10 + k), "b") for k in range(40)] + [(100, text("r0x", 41), "a"), (100, text("z"), "a"), (101, None, "a"), (None, None, "b")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+
+def test_near_dedup_keeps_null_ids_and_other_texts(spark):
+    docs = odd_docs(spark)
+    after = corpus_pipeline._near_duplicates(spark, docs, FOLDER)
+    gone = Counter(map(tuple, docs.collect())) - Counter(map(tuple, after.collect()))
+    assert after.columns == docs.columns and [(r[0], len(r[1].split()), n) for r, n in gone.items()] == [(100, 41, 1)]
+
+
+def test_mix_takes_what_the_operator_says_of_null_and_repeated_ids(spark):
+    docs = odd_docs(spark)
+    after = corpus_pipeline._mix(spark, docs, FOLDER)
+    got, again = (Counter(map(tuple, df.collect())) for df in (after, corpus_pipeline._mix(spark, docs.repartition(3), FOLDER)))
+    assert after.columns == docs.columns and got == again
+    words, want, longest = Counter(), {}, Counter()
+    for (_, text, source), n in got.items():
+        words[source] += n * len(text.split())
+    for r in corpus_pipeline.mixing.mix(docs.withColumn("told", corpus_pipeline.F.col("source")), keep=("told",)).collect():
+        want[r.told], longest[r.told] = r.target, max(longest[r.told], r.size)
+    assert all(abs(words[s] - t) <= longest[s] for s, t in want.items())
+    assert any(i is None for i, _, _ in got)
+
+
+def test_other_stages_keep_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    some = docs.filter("doc_id % 4 = 0")
+    odd = docs.unionByName(some).unionByName(some.withColumn("doc_id", corpus_pipeline.F.lit(None).cast("bigint")))
+    scored = corpus_pipeline._quality(spark, odd, FOLDER).collect()
+    times = Counter((r.text, r.source) for r in odd.collect())
+    assert all(n == times[x] for x, n in Counter((r.text, r.source) for r in scored).items())
+    assert any(r.doc_id is None for r in scored)
+    for stage in (corpus_pipeline._personal_data, corpus_pipeline._encode):
+        assert Counter(r.doc_id for r in stage(spark, odd, FOLDER).collect()) == Counter(r.doc_id for r in odd.collect())
