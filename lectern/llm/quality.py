@@ -64,30 +64,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def fit(texts: list[str | None], grades: np.ndarray, grades_n: int = GRADES, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[str | None], grades: np.ndarray, grades_n: int = GRADES, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of texts and their grades."""
     return fit_features(*features(pa.array(texts, pa.string())), grades, grades_n, steps, l2)
 
 
-def fit_features(owner: np.ndarray, bucket: np.ndarray, weight: np.ndarray, shapes: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adam on the mean negative log-likelihood of the cumulative links."""
-    n, y = len(grades), grades.astype(int)
+def loss_and_gradient(w: np.ndarray, raw: np.ndarray, owner: np.ndarray, bucket: np.ndarray, weight: np.ndarray, shapes: np.ndarray, y: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the cumulative links with a weight penalty, and its gradient by (w, raw).
+
+    ``raw`` holds the first threshold and the logarithms of the steps to the next ones, so thresholds stay ordered.
+    """
+    n, steps = len(y), np.exp(raw[1:])
+    cuts = np.concatenate([[raw[0]], raw[0] + np.cumsum(steps)])
+    z = np.bincount(owner, w[bucket] * weight, n) + shapes @ w[BUCKETS:]
+    padded = np.concatenate([[-np.inf], cuts, [np.inf]])
+    high, low = _sigmoid(padded[y + 1] - z), _sigmoid(padded[y] - z)
+    p = np.maximum(high - low, 1e-9)
+    d_high, d_low = high * (1 - high) / p / n, low * (1 - low) / p / n
+    dz = d_high - d_low  # of the negative log-likelihood by z
+    by_bucket = np.bincount(bucket, dz[owner] * weight, BUCKETS) if len(bucket) else np.zeros(BUCKETS)
+    g_cut = np.zeros(len(cuts))
+    np.add.at(g_cut, y[y < len(cuts)], -d_high[y < len(cuts)])
+    np.add.at(g_cut, y[y > 0] - 1, d_low[y > 0])
+    g_raw = np.concatenate([[g_cut.sum()], steps * np.cumsum(g_cut[::-1])[::-1][1:]])
+    return float(-np.log(p).mean() + l2 / 2 * w @ w), np.concatenate([by_bucket, shapes.T @ dz, g_raw]) + np.concatenate([l2 * w, np.zeros(len(raw))])
+
+
+def fit_features(owner: np.ndarray, bucket: np.ndarray, weight: np.ndarray, shapes: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by Adam on ``loss_and_gradient``."""
+    y = grades.astype(int)
     w, raw = np.zeros(BUCKETS + SHAPES), np.concatenate([[-1.0], np.zeros(grades_n - 2)])
     state = [np.zeros(len(w) + len(raw)), np.zeros(len(w) + len(raw))]
     for step in range(1, steps + 1):
-        cuts = np.concatenate([[raw[0]], raw[0] + np.cumsum(np.exp(raw[1:]))])
-        z = np.bincount(owner, w[bucket] * weight, n) + shapes @ w[BUCKETS:]
-        padded = np.concatenate([[-np.inf], cuts, [np.inf]])
-        high, low = _sigmoid(padded[y + 1] - z), _sigmoid(padded[y] - z)
-        p = np.maximum(high - low, 1e-9)
-        d_high, d_low = high * (1 - high) / p / n, low * (1 - low) / p / n
-        dz = d_high - d_low  # of the negative log-likelihood by z
-        grad = np.concatenate([np.bincount(bucket, dz[owner] * weight, BUCKETS) if len(bucket) else np.zeros(BUCKETS), shapes.T @ dz]) + l2 * w / 10
-        g_cut = np.zeros(grades_n - 1)
-        np.add.at(g_cut, y[y < grades_n - 1], -d_high[y < grades_n - 1])
-        np.add.at(g_cut, y[y > 0] - 1, d_low[y > 0])
-        g_raw = np.concatenate([[g_cut.sum()], np.exp(raw[1:]) * np.cumsum(g_cut[::-1])[::-1][1:]])
-        g = np.concatenate([grad, g_raw])
+        _, g = loss_and_gradient(w, raw, owner, bucket, weight, shapes, y, l2)
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = 0.05 * state[0] / (1 - 0.9**step) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
@@ -96,7 +105,11 @@ def fit_features(owner: np.ndarray, bucket: np.ndarray, weight: np.ndarray, shap
 
 
 def train(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, grades_n: int = GRADES) -> tuple[np.ndarray, np.ndarray] | None:
-    """The model fitted on rated documents: ``ratings`` has (doc_id, grade in 0..grades_n-1). None without any."""
+    """The model fitted on rated documents: ``ratings`` has (doc_id, grade in 0..grades_n-1). None without any.
+
+    Features are made where the texts are; the at most ``max_rated`` rows of them are fitted in one task,
+    and only the weights and thresholds reach the driver.
+    """
     chosen = ratings.filter(f"grade between 0 and {grades_n - 1} and doc_id is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     # max_rated rows of two numbers: a proven bound
@@ -108,19 +121,30 @@ def train(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, grade
                 part = batch.slice(start, 200)
                 owner, bucket, weight, shapes = features(part.column(1))
                 cells, at = np.unique(owner * BUCKETS + bucket, return_inverse=True)
-                sums = np.bincount(at, weight, len(cells))
-                ends = np.searchsorted(cells, np.arange(part.num_rows + 1) * BUCKETS)
-                parts = [[x[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (cells % BUCKETS, sums)]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(shapes.tolist(), pa.list_(pa.float64())), pa.array(parts[0], pa.list_(pa.int32())), pa.array(parts[1], pa.list_(pa.float64()))], names=["doc_id", "grade", "shapes", "buckets", "weights"])
+                ends = pa.array(np.searchsorted(cells, np.arange(part.num_rows + 1) * BUCKETS), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in ((cells % BUCKETS).astype(np.int32), np.bincount(at, weight, len(cells)))]
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * SHAPES, pa.int32()), pa.array(shapes.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), rows, *lists], names=["doc_id", "grade", "shapes", "buckets", "weights"])
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = {c: table.column(c).chunk(0) for c in ("shapes", "buckets", "weights")}
+        owner = np.repeat(np.arange(len(table)), np.diff(lists["buckets"].offsets.to_numpy()))
+        bucket, weight, shapes = (lists[c].flatten().to_numpy() for c in ("buckets", "weights", "shapes"))
+        # sums of features in the order of the documents, so that the fit does not depend on how rows arrived
+        ids = table.column("doc_id").to_numpy()
+        order = np.lexsort((np.bincount(owner, weight * (bucket + 1), len(table)), ids))
+        place = np.empty(len(table), int)
+        place[order] = np.arange(len(table))
+        rows = np.argsort(place[owner], kind="stable")
+        w, cuts = fit_features(place[owner][rows], bucket[rows].astype(np.int64), weight[rows], shapes.reshape(-1, SHAPES)[order], table.column("grade").to_numpy()[order], grades_n)
+        return pa.table({"w": pa.array([w.tolist()], pa.list_(pa.float64())), "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64()))})
 
     # a row has at most BUCKETS entries however long its text is
     kept = rated.mapInArrow(run, "doc_id bigint, grade int, shapes array<double>, buckets array<int>, weights array<double>")
-    rows = sorted(kept.orderBy("doc_id", "buckets").limit(max_rated).collect(), key=lambda r: (r["doc_id"], r["buckets"]))
-    if not rows:
-        return None
-    owner = np.repeat(np.arange(len(rows)), [len(r["buckets"]) for r in rows])
-    bucket, weight = (np.concatenate([np.array(r[c], kind) for r in rows]) for c, kind in (("buckets", np.int64), ("weights", np.float64)))
-    return fit_features(owner, bucket, weight, np.array([r["shapes"] for r in rows]), np.array([r["grade"] for r in rows]), grades_n)
+    kept = kept.orderBy("doc_id", "buckets").limit(max_rated)
+    found = kept.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "w array<double>, cuts array<double>").first()
+    return (np.array(found["w"]), np.array(found["cuts"])) if found else None
 
 
 def graded(labels: DataFrame) -> DataFrame:

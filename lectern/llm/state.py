@@ -3,11 +3,12 @@
 Intermediate tables are written as Parquet below ``spark.checkpoint.dir``, so a
 lost executor costs a re-read, never a recomputation from the start, and later
 stages can prune columns. The setting is read from the session; only where it
-is unset (tests, a laptop) is a private folder made for it.
+is unset and Spark is one local process (tests, a laptop) is a private folder made for it.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
