@@ -14,11 +14,13 @@ from lectern.llm.state import materialize, small_side
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Documents that the classifier keeps, each row by its own text; null and empty texts are rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, quality.graded(labels))
-    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    return quality.score(whole, model).filter("kept").select("row.*")
+    # the other columns in one, so that none can clash with the scores; the text is carried once
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    kept = quality.score(docs.select("text", rest), model).filter("kept")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; every other stage's rows are written once, and read by the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
