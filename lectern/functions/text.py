@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql.types import StringType
 
 # Characters without visible content, and the CJK ranges that expand to bigrams.
 INVISIBLE = "​‌‍﻿­"
+#: White space of every script, the separators of records included.
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 CJK = "一-鿿㐀-䶿぀-ヿ가-힣豈-﫿"
 
 
@@ -20,9 +25,29 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+@functools.lru_cache(maxsize=1)
+def _unsettled() -> str:
+    """A character class that holds all that composition can change, and a little more where it is dense: made by rule."""
+    import unicodedata
+
+    ranges: list[list[int]] = []
+    for c in itertools.chain(range(0x80, 0xD800), range(0xE000, 0x30000)):
+        if unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c) or 0x1160 <= c < 0x1200:
+            if ranges and c - ranges[-1][1] <= 48:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def composed(text: Column) -> Column:
+    """``text`` in NFKC; only texts that may change go to Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(_unsettled()), text)), text)
+
+
 def words(text: Column) -> Column:
     """Non-empty pieces between white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def cjk_bigrams(run: Column) -> Column:
@@ -36,8 +61,8 @@ def runs(token: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Scoring tokens of text that is NFKC already: lower case, bars as spaces, CJK runs as bigrams."""
-    plain = F.replace(F.lower(F.translate(text, INVISIBLE, "")), F.lit("|"), F.lit(" "))
+    """Scoring tokens: NFKC, lower case, bars as spaces, CJK runs as bigrams."""
+    plain = F.replace(F.lower(F.translate(composed(text), INVISIBLE, "")), F.lit("|"), F.lit(" "))
     split = words(plain)
     expanded = F.flatten(F.transform(split, lambda w: F.flatten(F.transform(runs(w), lambda r: F.when(r.rlike(f"^[{CJK}]"), cjk_bigrams(r)).otherwise(F.array(r))))))
     return F.when(plain.rlike(f"[{CJK}]"), expanded).otherwise(split)
@@ -45,12 +70,12 @@ def tokens(text: Column) -> Column:
 
 def char_bag(text: Column) -> Column:
     """Lower-case characters that are not white space."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)\s", ""), ""), lambda c: c != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), SPACE, ""), ""), lambda c: c != "")
 
 
 def normalize_text(text: Column) -> Column:
     """Text without light markup: line-break tags, bullets, markup characters; one space between words; lower case."""
-    for pattern in (r"(?i)<br\s*/?>", r"(?m)^\s*(?:[-+•]|\d+[.)])\s+", r"[#|*`_>]", r"\s+"):
+    for pattern in (rf"(?i)<br{SPACE}*/?>", rf"(?md)^{SPACE}*(?:[-+•]|\p{{Nd}}+[.)]){SPACE}+", r"[#|*`_>]", f"{SPACE}+"):
         text = F.regexp_replace(text, pattern, " ")
     return F.lower(F.trim(text))
 
@@ -82,7 +107,8 @@ def f1_parts(matched: Column, n_pred: Column, n_ref: Column) -> Column:
 
 def ratio_claim(value: Column, least: float = 1.15) -> Column:
     """A ratio as ``2.3x``; null when too close to parity to be a claim."""
-    return F.when(value >= least, F.format_string("%.1fx", value))
+    # as a decimal, halves are rounded up wherever it runs
+    return F.when(value >= least, F.concat(value.try_cast("decimal(24,6)").cast("decimal(24,1)").cast("string"), F.lit("x")))
 
 
 def signed_delta(value: Column) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.sides import small_side
+
 #: An extension below this share of a uniform step is not tried.
 SCORE_FLOOR = 0.5
 
@@ -23,7 +25,7 @@ def probabilities(logits: DataFrame, ignored: DataFrame | None = None) -> DataFr
     e = logits.withColumn("e", F.exp(F.col("v") - F.max("v").over(step))).withColumn("p", F.col("e") / F.sum("e").over(step)).drop("e")
     if ignored is None:
         return e
-    kept = e.join(F.broadcast(ignored.select("class").distinct().limit(100_000)), "class", "left_anti")  # a charset's classes: thousands
+    kept = e.join(small_side(ignored.select("class").distinct()), "class", "left_anti")
     return kept.withColumn("p", F.col("p") / F.sum("p").over(step))
 
 

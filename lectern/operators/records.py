@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def suppressed_percentile(value: Column, share: float, least: int) -> Column:
 
 
 def summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Median, p95, p99, mean and count of the non-null values per key; keys without values have no row."""
+    """Median, p95, p99, mean and count of the non-null values per key; keys without values have no row, and a percentile of nothing is null."""
     v = F.col(value).cast("double")
     return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(v).alias("median"), suppressed_percentile(v, 0.95, P95_LEAST).alias("p95"), suppressed_percentile(v, 0.99, P99_LEAST).alias("p99"), F.avg(v).alias("mean"), F.count(v).alias("count"))
 
@@ -25,9 +27,8 @@ def field_summary(rows: DataFrame, fields: list[str], group: str) -> DataFrame:
     """Summary of each field per group and over all (group null): fields unpivoted, one grouping-sets aggregate."""
     long = rows.select(group, *(F.col(f).cast("double") for f in fields)).unpivot([group], fields, "field", "value").filter("value is not null")
     v = F.col("value")
-    aggs = [F.median(v).alias("median"), suppressed_percentile(v, 0.95, P95_LEAST).alias("p95"), F.avg(v).alias("mean"), F.count(v).alias("count")]
-    by_group = long.groupBy("field", group).agg(*aggs)
-    return by_group.unionByName(long.groupBy("field").agg(F.lit(None).cast("string").alias(group), *aggs).select(by_group.columns))
+    sets = long.groupingSets([["field", group], ["field"]], "field", group)
+    return sets.agg(F.median(v).alias("median"), suppressed_percentile(v, 0.95, P95_LEAST).alias("p95"), F.avg(v).alias("mean"), F.count(v).alias("count"))
 
 
 def paired_ratio_median(rows: DataFrame, over: str, under: str, *keys: str) -> DataFrame:
@@ -54,32 +55,79 @@ def speedup(own_n: Column, own_s: Column, other_n: Column, other_s: Column) -> C
     return F.when((own_n > 0) & (other_n > 0) & (own_s > 0), (other_s / other_n) / (own_s / own_n))
 
 
-def gate(measured: Column, baseline: Column, same_host: Column, limit: Column, breach: Column) -> Column:
-    """Why a gate fails, in order; null when it holds."""
+def exact(value: Column) -> Column:
+    """A figure with six decimals, halves rounded up, so that comparing and printing agree everywhere; null if not finite."""
+    return value.try_cast("decimal(24,6)")
+
+
+def gate(measured: Column, baseline: Column, same_host: Column, factor: float, above: bool) -> Column:
+    """Why a gate fails, in order; null when it holds. A baseline of 0 or less cannot be held against."""
+    got, limit = exact(measured), exact(exact(baseline) * F.lit(Decimal(str(factor))))
+    breach = got > limit if above else got < limit
     return (
         F.when(baseline.isNull(), "no baseline")
-        .when(~same_host, "other host")
+        .when(~F.coalesce(same_host, F.lit(False)), "other host")
+        .when(~F.coalesce(exact(baseline) > 0, F.lit(False)), "no positive baseline")
         .when(measured.isNull(), "not measured")
-        .when(F.isnan(measured), "not finite")
-        .when(breach, F.format_string("%.6f against %.6f", measured, limit))
+        .when(got.isNull(), "not finite")
+        .when(breach, F.concat(got.cast("string"), F.lit(" against "), limit.cast("string")))
     )
 
 
 def rss_gate(measured: Column, baseline: Column, same_host: Column) -> Column:
-    limit = baseline * RSS_CEILING
-    return gate(measured, baseline, same_host, limit, measured > limit)
+    """Memory may not be above the host's own baseline by more than a tenth."""
+    return gate(measured, baseline, same_host, RSS_CEILING, True)
 
 
 def throughput_gate(measured: Column, baseline: Column, same_host: Column) -> Column:
-    limit = baseline * THROUGHPUT_FLOOR
-    return gate(measured, baseline, same_host, limit, measured < limit)
+    """Throughput may not be below the host's own baseline by more than a tenth."""
+    return gate(measured, baseline, same_host, THROUGHPUT_FLOOR, False)
+
+
+def threshold_gate(runs: DataFrame, key: str) -> DataFrame:
+    """Rows (key, gate, breach) of runs (key, throughput, peak_rss, base_throughput, base_rss, same_host): both gates' breaches."""
+    both = F.array(
+        F.struct(F.lit("throughput").alias("gate"), throughput_gate(F.col("throughput"), F.col("base_throughput"), F.col("same_host")).alias("breach")),
+        F.struct(F.lit("rss").alias("gate"), rss_gate(F.col("peak_rss"), F.col("base_rss"), F.col("same_host")).alias("breach")),
+    )
+    return runs.select(key, F.explode(F.filter(both, lambda b: b["breach"].isNotNull())).alias("b")).select(key, "b.*")
+
+
+def batch_summary(batches: DataFrame, *keys: str) -> DataFrame:
+    """``batches`` (keys, total_seconds, image_count, build_seconds, rss_mb, cpu_core_seconds) with throughput and warm seconds an image."""
+    n, total = F.col("image_count"), F.col("total_seconds")
+    return batches.select(*keys, "total_seconds", "image_count", throughput(n, total).alias("throughput"), warm_per_image(total, F.col("build_seconds"), n).alias("warm_per_image_seconds"), "build_seconds", "rss_mb", "cpu_core_seconds")
+
+
+def headline_totals(batches: DataFrame, *keys: str) -> DataFrame:
+    """Images, seconds, CPU seconds and the highest memory over the batches of an engine; batches without a time count in neither sum."""
+    timed = F.col("total_seconds").isNotNull()
+    sums = batches.groupBy(*keys).agg(F.sum(F.when(timed, F.col("image_count"))).alias("images"), F.sum("total_seconds").alias("seconds"), F.max("rss_mb").alias("peak_rss"), F.sum("cpu_core_seconds").alias("cpu_seconds"))
+    return sums.withColumn("throughput", throughput(F.col("images"), F.col("seconds")))
 
 
 def guardrails(records: DataFrame, score: str, *keys: str) -> DataFrame:
-    """Contracts: the least score asked of each scored record."""
+    """Contracts: the least score asked of each scored record; of labelled records that were not skipped, where these columns are there."""
+    for column, holds in (("group", F.col("group") == "labeled"), ("skipped", F.col("skipped").isNull())):
+        records = records.filter(holds) if column in records.columns else records
     return records.filter(F.col(score).isNotNull()).select(*keys, (F.col(score) * QUALITY_FLOOR).alias("floor"))
 
 
+def versioned(contracts: DataFrame, version: str, known: int) -> DataFrame:
+    """``contracts`` of the known schema version; any other version, or none, is an error and never a silent pass."""
+    told = F.coalesce(F.col(version).cast("string"), F.lit("none"))
+    wrong = F.raise_error(F.concat(F.lit("unsupported schema version: "), told))
+    return contracts.filter(F.when(told == str(known), F.lit(True)).otherwise(wrong.cast("boolean")))
+
+
+def leg_summary(reports: DataFrame) -> DataFrame:
+    """Rows by leg and image of ``legs``: what was asked for and registered, and median milliseconds; a dash for a leg without images."""
+    ms = lambda c: F.coalesce(exact(F.col(c)), exact(F.lit(0.0))).cast("decimal(24,1)").cast("string")
+    some = F.col("image").isNotNull()
+    stages = [F.when(some, ms(f"median.{c}")).otherwise("-").alias(c) for c in ("total_ms", "detect_ms", "recognize_ms")]
+    return reports.select(F.coalesce("leg", F.lit("?")).alias("leg"), F.coalesce("backend", F.lit("?")).alias("backend"), F.coalesce("image", F.lit("-")).alias("image"), *stages)
+
+
 def breaches(contracts: DataFrame, records: DataFrame, score: str, key: str) -> DataFrame:
     """Contracts whose record is missing, not finite or below the floor."""
     joined = contracts.join(records.select(key, F.col(score).alias("score")), key, "left")

@@ -77,8 +77,9 @@ def lis_length(values: Column) -> Column:
 
 
 def reading_order(pairs: DataFrame, hypothesis: str, reference: str, *keys: str) -> DataFrame:
-    """Rows (keys, anchors, score): order kept among tokens that occur once on both sides; null under three."""
+    """Rows (keys, anchors, score), one per key: order kept among tokens that occur once on both sides; null under three."""
     toks = {s: pairs.select(*keys, F.posexplode(t.tokens(F.col(c))).alias(s, "item")).groupBy(*keys, "item").agg(F.min(s).alias(s), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n") for s, c in (("h", hypothesis), ("r", reference))}
     met = toks["h"].join(toks["r"], [*keys, "item"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]).alias("order"))
     score = F.when(F.size("order") >= MIN_ANCHORS, lis_length(F.col("order")) / F.size("order"))
-    return met.select(*keys, F.size("order").alias("anchors"), score.alias("score"))
+    scored = met.select(*keys, F.size("order").alias("anchors"), score.alias("score"))
+    return pairs.select(*keys).distinct().join(scored, list(keys), "left").withColumn("anchors", F.coalesce("anchors", F.lit(0)))

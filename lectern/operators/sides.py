@@ -1,0 +1,14 @@
+"""Which side of a join is small enough to be sent to every task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of a few short columns is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted and small; beyond ``limit`` rows the join is left to a shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df

@@ -175,9 +175,9 @@ _SUMR = "round(median, 6) AS median, round(p95, 6) AS p95, round(p99, 6) AS p99,
 _FIELD = "round(median(value), 6) AS median, round(CASE WHEN count(value) >= 20 THEN quantile_cont(value, 0.95) END, 6) AS p95, round(avg(value), 6) AS mean, count(value) AS count"
 _HOSTS = """
 WITH m AS (SELECT n.n_nationkey, n.n_nationkey % 5 <> 0 AS same, s.v AS measured, c.v AS baseline FROM nation n
-  LEFT JOIN (SELECT s_nationkey k, round(avg(s_acctbal), 6) v FROM supplier GROUP BY 1) s ON s.k = n.n_nationkey
-  LEFT JOIN (SELECT c_nationkey k, round(avg(c_acctbal), 6) v FROM customer GROUP BY 1) c ON c.k = n.n_nationkey)
-SELECT n_nationkey, CASE WHEN baseline IS NULL THEN 'no baseline' WHEN NOT same THEN 'other host' WHEN measured IS NULL THEN 'not measured'
+  LEFT JOIN (SELECT s_nationkey k, round(avg(s_acctbal), 6)::DECIMAL(24,6) v FROM supplier GROUP BY 1) s ON s.k = n.n_nationkey
+  LEFT JOIN (SELECT c_nationkey k, round(avg(c_acctbal), 6)::DECIMAL(24,6) v FROM customer GROUP BY 1) c ON c.k = n.n_nationkey)
+SELECT n_nationkey, CASE WHEN baseline IS NULL THEN 'no baseline' WHEN NOT same THEN 'other host' WHEN baseline <= 0 THEN 'no positive baseline' WHEN measured IS NULL THEN 'not measured'
 """
 _LINES = "SELECT conv_id, turn, role, (length(text) % 1000) / 1000.0::DOUBLE AS confidence FROM conversations"
 
@@ -194,9 +194,9 @@ SELECT field, o_orderstatus, {_FIELD} FROM l GROUP BY GROUPING SETS ((field, o_o
 WITH s AS (SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') n1, sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') s1,
   count(*) FILTER (WHERE o_orderpriority = '5-LOW') n2, sum(o_totalprice * 1.5) FILTER (WHERE o_orderpriority = '5-LOW') s2 FROM orders GROUP BY o_orderstatus),
 r AS (SELECT o_orderstatus, round((s2 / n2) / (s1 / n1), 6) AS ratio FROM s)
-SELECT o_orderstatus, ratio, CASE WHEN ratio >= 1.15 THEN format('{:.1f}x', ratio) END AS claim FROM r""",
-    rss_gate: _HOSTS + "WHEN measured > baseline * 1.1 THEN format('{:.6f} against {:.6f}', measured, baseline * 1.1) END AS breach FROM m",
-    throughput_gate: _HOSTS + "WHEN measured < baseline * 0.9 THEN format('{:.6f} against {:.6f}', measured, baseline * 0.9) END AS breach FROM m",
+SELECT o_orderstatus, ratio, CASE WHEN ratio >= 1.15 THEN ratio::DECIMAL(24,6)::DECIMAL(24,1)::VARCHAR || 'x' END AS claim FROM r""",
+    rss_gate: _HOSTS + "WHEN measured > (baseline * 1.1)::DECIMAL(24,6) THEN measured::VARCHAR || ' against ' || (baseline * 1.1)::DECIMAL(24,6)::VARCHAR END AS breach FROM m",
+    throughput_gate: _HOSTS + "WHEN measured < (baseline * 0.9)::DECIMAL(24,6) THEN measured::VARCHAR || ' against ' || (baseline * 0.9)::DECIMAL(24,6)::VARCHAR END AS breach FROM m",
     guardrail_breaches: """
 WITH c AS (SELECT c_custkey, c_acctbal + 2000 AS base FROM customer),
 j AS (SELECT c_custkey, base * 0.9 AS floor, CASE WHEN c_custkey % 7 <> 0 THEN base * (1 - (c_custkey % 20) / 100.0::DOUBLE) END AS score FROM c)
