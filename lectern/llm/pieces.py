@@ -1,13 +1,18 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best segmentation maximises the sum of piece scores. The search reads one
-character at a time and keeps a window of at most the longest piece's length of
-partial results. Whenever all backpointer paths that can still win pass through
+The best segmentation maximises the sum of piece scores. The search reads its
+text in chunks and keeps a window of at most the longest piece's length of
+partial results beyond what is certain. Whenever all backpointer paths that can still win pass through
 one boundary, the ids up to it are final and leave the window, so a text of any
-length is encoded in bounded memory. No piece spans the start of a run of
+length is searched in bounded memory. No piece spans the start of a run of
 word markers or a character that no longer piece holds, so paths always
-meet there; what stands between two such boundaries is encoded once per task and remembered
-(``MEMORY`` entries at most; more is recomputed, never dropped).
+meet there; what the search gave between two such boundaries is remembered per task
+(``MEMORY`` entries of up to ``REMEMBERED`` characters at most; more is searched again, never dropped).
+
+Scores are whole numbers, in units of 1 / ``UNIT`` nats, so sums are exact and do not depend on where
+a search began: the ids are the same whatever the chunks and whatever is remembered.
+Of segmentations with equal scores the one whose last piece is longest wins, and so on
+backwards from every boundary.
 
 The vocabulary file is a parameter. Scores of a unigram vocabulary are taken as
 they are. A merge vocabulary holds ranks in their place (0, -1, -2, ...), whose
@@ -18,7 +23,9 @@ normalised. A character outside the vocabulary costs 10 more than the worst
 score and becomes its UTF-8 bytes, so decoding restores every text exactly.
 
 Defined cases: a null text gives null ids and decodes to null; an empty text
-gives no ids; other columns are kept, one that has the new column's name is replaced; rows are independent of each other.
+gives no ids; other columns are kept, one that has the new column's name is replaced; rows are
+independent of each other, so repeated rows get equal ids; a very long text needs memory for itself
+and its ids, the search only for its window; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +44,11 @@ MARK = "▁"
 MEMORY = 150_000
 #: Rows of a result batch.
 ROWS = 200
-ZIPF = 200
-CHUNK = 256
+REMEMBERED = 64
+ZIPF, UNIT = 200, 1_000_000
+
+
+_LOW = -(1 << 62)
 
 
 class Pieces:
@@ -55,9 +65,9 @@ class Pieces:
         scores = [told.get_score(i) for i in normal]
         if all(x <= 0 and x == int(x) for x in scores):
             scores = [-math.log(ZIPF - x) for x in scores]
-        self.ids = {self.pieces[i]: (x, i) for i, x in zip(normal, scores, strict=True)}
+        self.ids = {self.pieces[i]: (round(x * UNIT), i) for i, x in zip(normal, scores, strict=True)}
         self.longest = max(map(len, self.ids), default=1)
-        self.unknown = min((s for s, _ in self.ids.values()), default=0.0) - 10.0
+        self.unknown = min((s for s, _ in self.ids.values()), default=0) - 10 * UNIT
         # characters that stand in no piece of two or more: boundaries lie on both sides of them
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         spans = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
@@ -66,13 +76,13 @@ class Pieces:
         for piece, (score, i) in self.ids.items():
             node = self.root
             for char in piece[:-1]:
-                node = node.setdefault(char, ({}, 0.0, -1))[0]
+                node = node.setdefault(char, ({}, 0, -1))[0]
             node[piece[-1]] = (node.get(piece[-1], ({},))[0], score, i)
         plain = {i: self.pieces[i].replace(MARK, " ").encode() for _, i in self.ids.values()}
         self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else plain.get(i, b"") for i in range(len(self.pieces))]
         self.memory: dict[str, array] = {}
 
-    def _extend(self, window: str, best: list[float], back: list[int], which: list[int], at: int, stop: int) -> None:
+    def _extend(self, window: str, best: list[int], back: list[int], which: list[int], at: int, stop: int) -> None:
         """Extend the starts ``at`` to ``stop`` of the window by every piece that begins there."""
         root, unknown, size = self.root, self.unknown, len(window)
         for start in range(at, stop):
@@ -93,11 +103,11 @@ class Pieces:
         """Ids of a text given in chunks, each as soon as it is certain."""
         longest = self.longest
         window, at = "", 0  # what is retained, and how far starts in it are extended
-        best, back, which = [0.0], [-1], [-1]  # at each position of the window: score, start of the last piece, its id
+        best, back, which = [0], [-1], [-1]  # at each position of the window: score, start of the last piece, its id
         for chunk in itertools.chain(chunks, (None,)):
             if chunk is not None:
                 window += chunk
-                best += [-math.inf] * len(chunk)
+                best += [_LOW] * len(chunk)
                 back += [-1] * len(chunk)
                 which += [-1] * len(chunk)
             # a start is extended when all characters a piece may need are there
@@ -126,27 +136,18 @@ class Pieces:
             end = start
         return out[::-1]
 
-    def _between(self, part: str) -> array:
-        """Ids of what stands between two boundaries: one window if it is short, else streamed."""
-        n = len(part)
-        if n > CHUNK:
-            return array("i", self.stream(part[k : k + CHUNK] for k in range(0, n, CHUNK)))
-        best, back, which = [0.0] + [-math.inf] * n, [-1] * (n + 1), [-1] * (n + 1)
-        self._extend(part, best, back, which, 0, n)
-        return array("i", self._path(part, back, which, n))
-
     def encode(self, text: str) -> array:
-        """Ids of one text."""
+        """Ids of one text: of its parts between sure boundaries, each streamed in chunks of the longest piece's length."""
         out = array("i")
-        memory = self.memory
+        memory, step = self.memory, self.longest
         for k, plain in enumerate(text.split(MARK) if text else ()):
             if k:  # a marker in the text itself is spelt in bytes
                 out.extend(self.byte_ids[b] for b in MARK.encode())
             for part in self.cut.findall(("" if k else MARK) + plain.replace(" ", MARK)):
                 ids = memory.get(part)
                 if ids is None:
-                    ids = self._between(part)
-                    if len(part) <= 64 and len(memory) < MEMORY:
+                    ids = array("i", self.stream(part[k : k + step] for k in range(0, len(part), step)))
+                    if len(part) <= REMEMBERED and len(memory) < MEMORY:
                         memory[part] = ids
                 out.extend(ids)
         return out
