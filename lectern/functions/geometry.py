@@ -98,7 +98,8 @@ def unrotate(q: Column, rotation: Column, width: Column, height: Column) -> Colu
 
 def quad_text(q: Column) -> Column:
     """A quad as ``(x,y) (x,y) ...`` with one decimal."""
-    return F.array_join(F.transform(q, lambda p: F.format_string("(%.1f,%.1f)", p["x"], p["y"])), " ")
+    one = lambda v: v.cast("decimal(24,6)").cast("decimal(24,1)").cast("string")
+    return F.array_join(F.transform(q, lambda p: F.concat(F.lit("("), one(p["x"]), F.lit(","), one(p["y"]), F.lit(")"))), " ")
 
 
 def resize_plan(width: Column, height: Column, canvas: Column, mag: float = 1.0) -> Column:

@@ -45,6 +45,11 @@ def composed(text: Column) -> Column:
     return F.coalesce(nfkc(F.when(text.rlike(_unsettled()), text)), text)
 
 
+def stripped(text: Column) -> Column:
+    """``text`` without white space at its ends."""
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 def words(text: Column) -> Column:
     """Non-empty pieces between white space."""
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
@@ -113,7 +118,8 @@ def ratio_claim(value: Column, least: float = 1.15) -> Column:
 
 def signed_delta(value: Column) -> Column:
     """``+0.125``, or a dash without a value."""
-    return F.when(value.isNull(), "-").otherwise(F.format_string("%+.3f", value))
+    figure = F.abs(value.try_cast("decimal(24,6)").cast("decimal(24,3)")).cast("string")
+    return F.when(value.isNull(), "-").otherwise(F.concat(F.when(value < 0, "-").otherwise("+"), figure))
 
 
 def host_identity(value: Column) -> Column:

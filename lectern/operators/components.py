@@ -29,29 +29,32 @@ def foreground(pixels: DataFrame, low: float = LOW, link: float = LINK) -> DataF
     return pixels.withColumn("is_text", F.col("region") > low).withColumn("is_link", F.col("link") > link).filter("is_text or is_link")
 
 
+def labels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Labels from 1 of the 4-connected components of pixels in raster order."""
+    key = y.astype(np.int64) * (int(x.max()) + 2) + x
+    least = np.arange(len(key))
+    pairs = []
+    for step in (1, int(x.max()) + 2):
+        at = np.searchsorted(key, key + step)
+        at[at == len(key)] = 0
+        near = key[at] == key + step
+        pairs.append((np.flatnonzero(near), at[near]))
+    a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    while True:  # smallest label of neighbours, then of labels: paths halve each round
+        before = least.copy()
+        np.minimum.at(least, a, least[b])
+        np.minimum.at(least, b, least[a])
+        least = least[least]
+        if (least == before).all():
+            return np.unique(least, return_inverse=True)[1] + 1
+
+
 def label_components(pixels: DataFrame) -> DataFrame:
     """``pixels`` (image_id, y, x, region, is_text, is_link) with ``label`` from 1 per image."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        key = y.astype(np.int64) * (int(x.max()) + 2) + x
-        least = np.arange(len(key))
-        pairs = []
-        for step in (1, int(x.max()) + 2):
-            at = np.searchsorted(key, key + step)
-            at[at == len(key)] = 0
-            near = key[at] == key + step
-            pairs.append((np.flatnonzero(near), at[near]))
-        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-        while True:  # smallest label of neighbours, then of labels: paths halve each round
-            before = least.copy()
-            np.minimum.at(least, a, least[b])
-            np.minimum.at(least, b, least[a])
-            least = least[least]
-            if (least == before).all():
-                break
-        pdf["label"] = np.unique(least, return_inverse=True)[1] + 1
+        pdf["label"] = labels(pdf["y"].to_numpy(), pdf["x"].to_numpy())
         return pdf[["image_id", "y", "x", "region", "is_text", "is_link", "label"]]
 
     return pixels.select("image_id", "y", "x", "region", "is_text", "is_link").groupBy("image_id").applyInPandas(run, "image_id bigint, y int, x int, region double, is_text boolean, is_link boolean, label bigint")
@@ -122,18 +125,63 @@ def _hull(pts: np.ndarray) -> np.ndarray:
     return np.array(chains[0] + chains[1])
 
 
+def rectangle_areas(points: DataFrame) -> DataFrame:
+    """Rows (image_id, label, rectangle): the area of the smallest rectangle around points (image_id, label, y, x)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, c, _ = np.array(min_area_rect(pdf[["x", "y"]].to_numpy()))
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "label": [pdf["label"].iloc[0]], "rectangle": [float(np.hypot(*(a - b)) * np.hypot(*(b - c)))]})
+
+    return points.groupBy("image_id", "label").applyInPandas(run, "image_id bigint, label bigint, rectangle double")
+
+
+def fit_box(xy: np.ndarray) -> np.ndarray:
+    """Corners of the box of points (x, y): a near-square fit falls back to the extents; from the corner nearest the origin on."""
+    box = np.array(min_area_rect(xy))
+    a, b = np.hypot(*(box[0] - box[1])), np.hypot(*(box[1] - box[2]))
+    if abs(1 - max(a, b) / (min(a, b) + 1e-5)) <= 0.1:
+        (l, t), (r, d) = xy.min(axis=0), xy.max(axis=0)
+        box = np.array([[l, t], [r, t], [r, d], [l, d]], float)
+    return np.roll(box, -int(box.sum(axis=1).argmin()), axis=0)
+
+
+def map_boxes(region: np.ndarray, link: np.ndarray, low: float = LOW, link_ths: float = LINK, text: float = TEXT, area: int = MIN_AREA) -> list[np.ndarray]:
+    """``boxes`` of one score map (h, w) where the map already is: nothing but boxes leaves the task that ran the model."""
+    is_text, is_link = region > low, link > link_ths
+    y, x = np.nonzero(is_text | is_link)
+    out: list[np.ndarray] = []
+    if not len(y):
+        return out
+    label = labels(y, x)
+    order = np.argsort(label, kind="stable")
+    ends = np.cumsum(np.bincount(label)[1:])
+    for rows in np.split(order, ends[:-1]):
+        ys, xs = y[rows], x[rows]
+        if len(rows) < area or region[ys, xs].max() < text:
+            continue
+        w, h = xs.max() - xs.min() + 1, ys.max() - ys.min() + 1
+        radius = int(np.sqrt(len(rows) * min(w, h) / (w * h)) * 2)
+        solid = is_text[ys, xs]
+        ys, xs, back = ys[solid], xs[solid], (radius + 1) // 2
+        if not len(ys):
+            continue
+        reach = np.arange(-radius, 1) + back
+        points = np.unique(np.stack([(xs[:, None, None] + reach[None, :, None] + 0 * reach[None, None]).ravel(), (ys[:, None, None] + 0 * reach[None, :, None] + reach[None, None]).ravel()], axis=1), axis=0)
+        inside = (points >= 0).all(axis=1) & (points[:, 0] < region.shape[1]) & (points[:, 1] < region.shape[0])
+        out.append(fit_box(points[inside]))
+    return out
+
+
+def masses(region: np.ndarray, link: np.ndarray, low: float = LOW, link_ths: float = LINK) -> tuple[float, float]:
+    """``heat_mass`` of one score map."""
+    return float(region[region > low].sum() / region.size), float(link[link > link_ths].sum() / link.size)
+
+
 def fit_boxes(points: DataFrame) -> DataFrame:
     """Rows (image_id, label, quad) of points (image_id, label, y, x): near-square fits fall back to the extents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["x", "y"]].to_numpy()
-        box = np.array(min_area_rect(xy))
-        a, b = np.hypot(*(box[0] - box[1])), np.hypot(*(box[1] - box[2]))
-        if abs(1 - max(a, b) / (min(a, b) + 1e-5)) <= 0.1:
-            (l, t), (r, d) = xy.min(axis=0), xy.max(axis=0)
-            box = np.array([[l, t], [r, t], [r, d], [l, d]], float)
-        box = np.roll(box, -int(box.sum(axis=1).argmin()), axis=0)
-        quad = [{"x": float(x), "y": float(y)} for x, y in box]
+        quad = [{"x": float(x), "y": float(y)} for x, y in fit_box(pdf[["x", "y"]].to_numpy())]
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "label": [pdf["label"].iloc[0]], "quad": [quad]})
 
     return points.groupBy("image_id", "label").applyInPandas(run, "image_id bigint, label bigint, quad array<struct<x:double,y:double>>")

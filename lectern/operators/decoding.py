@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.sides import small_side
+from lectern.operators.stages import small_side
 
 #: An extension below this share of a uniform step is not tried.
 SCORE_FLOOR = 0.5

@@ -15,11 +15,21 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
 from lectern.operators import components, decoding, grouping, imaging
+from lectern.operators.stages import materialize
 
 Detector = Callable[[np.ndarray], np.ndarray]  # (3, H, W) -> (H/2, W/2, 2): region and link scores
 Recognizer = Callable[[np.ndarray], np.ndarray]  # (B, 1, 64, W) -> (B, T, C)
 
 
+def _maps(detect: Detector, rgb: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Region and link scores of a page resized to (width, height)."""
+    out = detect(imaging.detector_input(rgb, width, height))
+    if out.ndim != 3 or out.shape.count(2) != 1:
+        raise ValueError(f"scores need one axis of two channels, not {out.shape}")
+    region, link = np.moveaxis(out, out.shape.index(2), 0).astype(np.float64)
+    return region, link
+
+
 @dataclass(frozen=True)
 class Detection:
     text_threshold: float = 0.7
@@ -47,12 +57,13 @@ class Recognition:
     filter_ths: float = 0.1
     allowlist: str = ""
     blocklist: str = ""
+    batch_size: int = 1
 
     def __post_init__(self) -> None:
         if not 0 <= self.filter_ths <= 1:
             raise ValueError("filter_ths must be in [0, 1]")
-        if self.beam_width < 1:
-            raise ValueError("beam_width must be at least 1")
+        if self.beam_width < 1 or self.batch_size < 1:
+            raise ValueError("beam_width and batch_size must be at least 1")
         if self.decoder not in ("greedy", "beamsearch"):
             raise ValueError(f"decoder {self.decoder} is not there")
 
@@ -67,59 +78,110 @@ class Reader:
     detection: Detection = field(default_factory=Detection)
     recognition: Recognition = field(default_factory=Recognition)
 
+    def _plan(self, images: DataFrame, canvas: int) -> DataFrame:
+        d, size = self.detection, (F.col("image.width"), F.col("image.height"))
+        limit = F.lit(canvas) if d.max_megapixels is None else g.budget_canvas(*size, canvas, int(d.max_megapixels * 1e6))
+        return images.withColumn("plan", g.resize_plan(*size, limit, d.mag_ratio))
+
     def scores(self, images: DataFrame, canvas: int | None = None) -> DataFrame:
         """``images`` with ``maps`` struct<h, w, inv_ratio, region, link>."""
-        d, detect = self.detection, self.detector
-        size = F.col("image.width"), F.col("image.height")
-        limit = F.lit(canvas or d.canvas)
-        if d.max_megapixels is not None:
-            limit = g.budget_canvas(*size, canvas or d.canvas, int(d.max_megapixels * 1e6))
-        planned = images.withColumn("plan", g.resize_plan(*size, limit, d.mag_ratio))
+        detect = self.detector
 
         def one(image: dict, plan: dict) -> dict:
-            out = detect(imaging.detector_input(imaging.as_array(image), plan["w"], plan["h"]))
-            if out.ndim != 3 or out.shape.count(2) != 1:
-                raise ValueError(f"scores need one axis of two channels, not {out.shape}")
-            region, link = np.moveaxis(out, out.shape.index(2), 0).astype(np.float64)
+            region, link = _maps(detect, imaging.as_array(image), plan["w"], plan["h"])
             return {"h": region.shape[0], "w": region.shape[1], "inv_ratio": image["width"] / plan["w"], "region": region.ravel().tolist(), "link": link.ravel().tolist()}
 
-        return imaging.map_column(planned, "maps", "struct<h:int,w:int,inv_ratio:double,region:array<double>,link:array<double>>", one, "image", "plan").drop("plan")
+        return imaging.map_column(self._plan(images, canvas or self.detection.canvas), "maps", "struct<h:int,w:int,inv_ratio:double,region:array<double>,link:array<double>>", one, "image", "plan").drop("plan")
 
-    def detect(self, images: DataFrame) -> DataFrame:
-        """Rows (image_id, region_no, quad, axis_aligned) of images (image_id, image)."""
-        d = self.detection
-        scored = self.scores(images.select("image_id", "image")).filter("error is null").select("image_id", "maps.*")
-        pixels = scored.select("image_id", "h", "w", F.posexplode(F.arrays_zip("region", "link")).alias("i", "s")).select("image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), "s.region", "s.link")
-        labelled = components.label_components(components.foreground(pixels, d.low_text, d.link_threshold))
-        stats = components.dilation(components.kept(components.statistics(labelled), d.text_threshold))
-        solid = labelled.filter(~(F.col("is_link") & ~F.col("is_text"))).select("image_id", "label", "y", "x")
-        inside = scored.select("image_id", "h", "w", "inv_ratio")
-        grown = components.dilate(solid.join(stats.select("image_id", "label", "radius"), ["image_id", "label"]), 1 << 20, 1 << 20)
-        grown = grown.join(inside, "image_id").filter("x < w and y < h")
-        fitted = components.fit_boxes(grown.select("image_id", "label", "y", "x")).join(inside, "image_id")
-        quads = fitted.select("image_id", F.col("label").alias("box_no"), g.scale(F.col("quad"), F.col("inv_ratio") * 2).alias("quad"))
-        return grouping.regions(quads, d.min_size)
+    def oriented(self, images: DataFrame) -> DataFrame:
+        """``images`` (image_id, image) with ``rotation`` and the image turned by it; without the pre-pass every page stays as it is.
 
-    def logits(self, crops: DataFrame, adjusted: bool = False) -> DataFrame:
-        """Rows (crop_id, t, class, v) of crops (crop_id, crop struct<width, height, grey>)."""
-        recognise, target = self.recognizer, self.recognition.adjust_contrast
+        A page is turned when the masses of its four probes agree on it, see ``components.pick_rotation``.
+        """
+        d, detect = self.detection, self.detector
+        if not d.orientation:
+            return images.withColumn("rotation", F.lit(0))
+
+        def probe(image: dict) -> list:
+            px, out = imaging.as_array(image), []
+            for degrees in (0, 90, 180, 270):
+                turned = imaging.rotate(px, degrees)
+                ratio = min(max(turned.shape[:2]), d.probe_canvas) / max(turned.shape[:2])
+                out.append(components.masses(*_maps(detect, turned, max(1, int(turned.shape[1] * ratio)), max(1, int(turned.shape[0] * ratio))), d.low_text, d.link_threshold))
+            return [{"region": r, "link": l} for r, l in out]
+
+        def turn(image: dict, rotation: int) -> dict:
+            px = np.ascontiguousarray(imaging.rotate(imaging.as_array(image), rotation))
+            return {"width": px.shape[1], "height": px.shape[0], "rgb8": px.tobytes()}
+
+        probed = imaging.map_column(images.select("image_id", "image"), "probe", "array<struct<region:double,link:double>>", probe, "image").filter("error is null").drop("error")
+        combined, link = F.transform("probe", lambda p: p["region"] + p["link"]), F.transform("probe", lambda p: p["link"])
+        picked = probed.withColumn("rotation", components.pick_rotation(combined, link, d.orientation_margin)).drop("probe")
+        return imaging.map_column(picked, "turned", imaging.IMAGE, turn, "image", "rotation").drop("image", "error").withColumnRenamed("turned", "image")
+
+    def detect(self, images: DataFrame) -> DataFrame:
+        """Rows (image_id, region_no, quad, axis_aligned) of images (image_id, image), in the pages' own frames."""
+        return self._upright(*self._found(images))
 
-        def one(crop: dict) -> list:
-            px = np.frombuffer(crop["grey"], np.uint8).reshape(crop["height"], crop["width"])
-            return recognise(imaging.recognizer_rows([imaging.adjust_contrast(px, target) if adjusted else px]))[0].astype(float).tolist()
+    def _found(self, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The working frames (image_id, image, rotation), written once, and regions in them; labels and boxes are made where the model ran."""
+        d, detect = self.detection, self.detector
+        working = self.oriented(images.select("image_id", "image"))
+        if d.orientation:
+            working = materialize(working, "frames")
+
+        def one(image: dict, plan: dict) -> list:
+            found = components.map_boxes(*_maps(detect, imaging.as_array(image), plan["w"], plan["h"]), d.low_text, d.link_threshold, d.text_threshold)
+            factor = image["width"] / plan["w"] * 2
+            return [[{"x": float(x) * factor, "y": float(y) * factor} for x, y in box] for box in found]
+
+        boxed = imaging.map_column(self._plan(working, d.canvas), "boxes", "array<array<struct<x:double,y:double>>>", one, "image", "plan").filter("error is null")
+        quads = materialize(boxed.select("image_id", F.posexplode("boxes").alias("box_no", "quad")).withColumn("box_no", F.col("box_no").cast("bigint")), "boxes")
+        return working, materialize(grouping.regions(quads, d.min_size), "regions")
+
+    def _upright(self, working: DataFrame, regions: DataFrame) -> DataFrame:
+        """Regions with their quads in the frame of the page as it was given."""
+        if not self.detection.orientation:
+            return regions
+        w, h = F.col("image.width"), F.col("image.height")
+        sideways = F.col("rotation").isin(90, 270)
+        page = working.select("image_id", "rotation", F.when(sideways, h).otherwise(w).cast("double").alias("w"), F.when(sideways, w).otherwise(h).cast("double").alias("h"))
+        return regions.join(page, "image_id").withColumn("quad", g.unrotate(F.col("quad"), F.col("rotation"), F.col("w"), F.col("h"))).drop("rotation", "w", "h")
 
-        rows = imaging.map_column(crops.select("crop_id", "crop"), "rows", "array<array<double>>", one, "crop").filter("error is null")
-        steps = rows.select("crop_id", F.posexplode("rows").alias("t", "row"))
+    def logits(self, crops: DataFrame, adjusted: bool = False) -> DataFrame:
+        """Rows (crop_id, t, class, v) of crops (crop_id, crop struct<width, height, grey>).
+
+        With ``batch_size`` above 1, up to that many crops of a page (page, place: their order) share one call of the model, padded to the widest.
+        """
+        recognise, target, size = self.recognizer, self.recognition.adjust_contrast, self.recognition.batch_size
+
+        def read(some: list[dict]) -> list:
+            cut = [np.frombuffer(c["grey"], np.uint8).reshape(c["height"], c["width"]) for c in some]
+            return recognise(imaging.recognizer_rows([imaging.adjust_contrast(c, target) if adjusted else c for c in cut])).astype(float).tolist()
+
+        if size == 1 or "page" not in crops.columns:
+            rows = imaging.map_column(crops.select("crop_id", "crop"), "rows", "array<array<double>>", lambda crop: read([crop])[0], "crop")
+        else:
+            chunks = crops.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", "crop_id", "crop"))).alias("l"))
+            chunk = F.transform(F.sequence(F.lit(0), F.ceil(F.size("l") / size).cast("int") - 1), lambda k: F.slice("l", k * size + 1, F.lit(size)))
+            chunks = chunks.select(F.explode(chunk).alias("l"))
+            told = imaging.map_column(chunks, "rows", "array<array<array<double>>>", lambda l: read([x["crop"] for x in l]), "l")
+            rows = told.select(F.explode(F.arrays_zip(F.transform("l", lambda x: x["crop_id"]).alias("crop_id"), F.col("rows"))).alias("z"), "error").select("z.crop_id", "z.rows", "error")
+        steps = rows.filter("error is null").select("crop_id", F.posexplode("rows").alias("t", "row"))
         return steps.select("crop_id", "t", F.posexplode("row").alias("class", "v"))
 
     def texts(self, crops: DataFrame) -> DataFrame:
-        """Rows (crop_id, text, confidence), unsure crops read a second time with more contrast."""
+        """Rows (crop_id, text, confidence), unsure crops read a second time with more contrast.
+
+        Scores of both passes are written once, so that the model is called once for a crop and pass.
+        """
         r = self.recognition
         chars = crops.sparkSession.createDataFrame([(k, c) for k, c in enumerate(self.charset, 1)], "class int, ch string")
         ignored = decoding.ignored_classes(chars, r.allowlist, r.blocklist) if r.allowlist or r.blocklist else None
 
         def read(rows: DataFrame) -> DataFrame:
-            return decoding.greedy_decode(rows, chars, ignored) if r.decoder == "greedy" else decoding.beam_decode(rows, chars, r.beam_width, ignored)
+            rows = materialize(rows, "scores")
+            return materialize(decoding.greedy_decode(rows, chars, ignored) if r.decoder == "greedy" else decoding.beam_decode(rows, chars, r.beam_width, ignored), "texts")
 
         first = read(self.logits(crops))
         unsure = crops.join(first.filter(F.col("confidence") < r.contrast_ths).select("crop_id"), "crop_id", "left_semi")
@@ -138,9 +200,12 @@ class Reader:
 
     def readtext(self, images: DataFrame) -> DataFrame:
         """Rows (image_id, line_no, quad, text, confidence) in output order; unsure lines are left out."""
-        cut = self.crops(images, self.detect(images))
-        lines = cut.drop("crop").join(self.texts(cut.select("crop_id", "crop")), "crop_id").filter(F.col("confidence") >= self.recognition.filter_ths)
-        return lines.select("image_id", F.col("region_no").alias("line_no"), "quad", "text", "confidence")
+        working, regions = self._found(images)
+        # detection, crops and reading share one frame; only the quads that are told go back to the page's
+        cut = materialize(self.crops(working, regions), "crops")
+        read = self.texts(cut.select("crop_id", "crop", F.col("image_id").alias("page"), F.col("region_no").alias("place")))
+        lines = cut.drop("crop").join(read, "crop_id").filter(F.col("confidence") >= self.recognition.filter_ths)
+        return self._upright(working, lines).select("image_id", F.col("region_no").alias("line_no"), "quad", "text", "confidence")
 
     def recognize_line(self, images: DataFrame) -> DataFrame:
         """Rows (image_id, quad, text, confidence): the whole image as one line, none left out."""
@@ -152,7 +217,7 @@ class Reader:
         cut = imaging.map_column(images.select(F.col("image_id").alias("crop_id"), "image"), "crop", "struct<width:int,height:int,grey:binary>", one, "image").filter("error is null")
         w, h, zero = F.col("image.width"), F.col("image.height"), F.lit(0)
         quads = images.select(F.col("image_id").alias("crop_id"), g.quad((zero, zero), (w, zero), (w, h), (zero, h)).alias("quad"))
-        return quads.join(self.texts(cut), "crop_id").select(F.col("crop_id").alias("image_id"), "quad", "text", "confidence")
+        return quads.join(self.texts(materialize(cut.select("crop_id", "crop"), "crops")), "crop_id").select(F.col("crop_id").alias("image_id"), "quad", "text", "confidence")
 
 
 def onnx_model(content: bytes) -> Callable[[np.ndarray], np.ndarray]:

@@ -66,6 +66,26 @@ def line_detection(pred: DataFrame, ref: DataFrame, threshold: float = 0.5) -> D
     return n.withColumn("p", t.f1_parts(F.col("matched"), F.col("n_pred"), F.col("n_ref"))).select("image_id", "n_pred", "n_ref", "matched", "p.f1", "p.precision", "p.recall")
 
 
+def engine_scores(rows: DataFrame, first: str, second: str, truth: str, *keys: str) -> DataFrame:
+    """Rows (keys, char_f1, word_f1, first_cer, second_cer, first_token_f1, second_token_f1), one per row of unique ``keys``.
+
+    Two engines' texts of a page are held against each other, and each, normalised, against the truth.
+    A bag is spread over the join by its page, so no word is common to more than one page's rows.
+    """
+    x, y, ref = (t.normalize_text(F.col(c)) for c in (first, second, truth))
+    bags = {"char_f1": (t.char_bag(F.col(first)), t.char_bag(F.col(second))), "word_f1": (t.tokens(F.col(first)), t.tokens(F.col(second))), "first_token_f1": (t.tokens(x), t.tokens(ref)), "second_token_f1": (t.tokens(y), t.tokens(ref))}
+    long = None
+    for name, sides in bags.items():
+        for side, items in enumerate(sides):
+            part = rows.select(*keys, F.lit(name).alias("score"), F.lit(side).alias("side"), F.explode_outer(items).alias("item"))
+            long = part if long is None else long.unionByName(part)
+    n = [F.count_if((F.col("side") == s) & F.col("item").isNotNull()) for s in (0, 1)]
+    met = long.groupBy(*keys, "score", "item").agg(n[0].alias("h"), n[1].alias("r")).groupBy(*keys, "score").agg(F.sum(F.least("h", "r")).alias("met"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    f1 = met.withColumn("f1", t.f1_parts(F.col("met"), F.col("h"), F.col("r"))["f1"]).groupBy(*keys).pivot("score", list(bags)).agg(F.first("f1"))
+    rates = rows.select(*keys, t.character_error_rate(ref, x).alias("first_cer"), t.character_error_rate(ref, y).alias("second_cer"))
+    return rates.join(f1, list(keys)).select(*keys, "char_f1", "word_f1", "first_cer", "second_cer", "first_token_f1", "second_token_f1")
+
+
 def lis_length(values: Column) -> Column:
     """Length of the longest strictly increasing subsequence: the ends of the best runs by length, kept sorted."""
 

@@ -78,6 +78,21 @@ s AS (SELECT crop_id, t, class, exp(v) / sum(exp(v)) OVER (PARTITION BY crop_id,
 """
 _ROUND = "SELECT crop_id, text, round(confidence, 6) AS confidence FROM "
 
+#: A label is a list of classes; each step keeps the five heaviest, and sums what leads to the same label.
+_LONGER = """CASE WHEN c = 0 THEN CASE WHEN coalesce(label[-1], 0) = 0 THEN label ELSE list_append(label, 0) END
+  WHEN len(label) > 0 AND label[-1] = 0 AND NOT coalesce(label[-2] = c, false) THEN list_append(label[1:len(label) - 1], c) ELSE list_append(label, c) END"""
+BEAM_SEARCH_DECODE = f"""
+WITH RECURSIVE rows AS MATERIALIZED (SELECT crop_id, t, list(p ORDER BY class) AS r FROM ({_ROWS} SELECT crop_id, t, class, p FROM s) GROUP BY crop_id, t),
+f AS (SELECT DISTINCT crop_id, 0::BIGINT AS t, []::INT[] AS label, 0.0::DOUBLE AS solid, 1.0::DOUBLE AS blank FROM rows
+  UNION ALL
+  SELECT crop_id, t + 1, x.label, sum(x.s), sum(x.b) FROM (
+    SELECT crop_id, t, unnest(list_concat([{{'label': label, 's': CASE WHEN len(label) > 0 THEN solid * r[label[-1] + 1] ELSE 0 END, 'b': (solid + blank) * r[1]}}],
+      list_transform(list_filter(range(0, len(r)), lambda c: r[c + 1] >= 0.5 / len(r)), lambda c: {{'label': {_LONGER}, 's': r[c + 1] * CASE WHEN len(label) > 0 AND label[-1] = c THEN blank ELSE solid + blank END, 'b': 0.0::DOUBLE}}))) AS x
+    FROM (SELECT f.*, rows.r FROM f JOIN rows USING (crop_id, t) QUALIFY row_number() OVER (PARTITION BY crop_id ORDER BY solid + blank DESC, label) <= 5))
+  GROUP BY crop_id, t, x.label),
+best AS (SELECT crop_id, label FROM f WHERE t = 8 QUALIFY row_number() OVER (PARTITION BY crop_id ORDER BY solid + blank DESC, label) = 1)
+SELECT crop_id, array_to_string(list_filter(label, lambda c: c <> 0), '') AS text, round(confidence, 6) AS confidence FROM best JOIN (SELECT crop_id, confidence FROM {_greedy()}) USING (crop_id)"""
+
 QUERIES = {
     softmax_rows: _ROWS + "SELECT crop_id, t::INT AS t, class::INT AS class, round(p, 6) AS p FROM s",
     ctc_argmax: _ROWS + "SELECT crop_id, t::INT AS t, class::INT AS class, round(p, 6) AS p FROM s QUALIFY row_number() OVER (PARTITION BY crop_id, t ORDER BY p DESC, class) = 1",
@@ -85,7 +100,7 @@ QUERIES = {
     ctc_ignore_allowlist: _ROUND + _greedy(ignore="class IN (2, 4, 6)"),
     ctc_ignore_blocklist: _ROUND + _greedy(ignore="class IN (2, 6)"),
     ctc_second_pass: f"SELECT f.crop_id, CASE WHEN f.confidence < 0.001 AND s.confidence >= f.confidence THEN s.text ELSE f.text END AS text, round(CASE WHEN f.confidence < 0.001 AND s.confidence >= f.confidence THEN s.confidence ELSE f.confidence END, 6) AS confidence FROM {_greedy()} f JOIN {_greedy('v * 4')} s USING (crop_id)",
-    beam_search_decode: None,
+    beam_search_decode: BEAM_SEARCH_DECODE,
     run_collapse_events: """
 WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
 SELECT user_id, string_agg(event_type, '>' ORDER BY ts) AS runs FROM e WHERE event_type <> 'purchase' AND (before IS NULL OR before <> event_type) GROUP BY user_id""",

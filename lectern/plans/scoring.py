@@ -61,7 +61,8 @@ def normalize_text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(n.cast("binary")).alias("digest"), F.length(n).cast("bigint").alias("n"))
 
 
-_NORMAL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<br\s*/?>', ' ', 'gi'), '(?m)^\s*(?:[-+•]|\d+[.)])\s+', ' ', 'g'), '[#|*`_>]', ' ', 'g'), '\s+', ' ', 'g')))"
+_WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_NORMAL = rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<br{_WS}*/?>', ' ', 'gi'), '(?m)^{_WS}*(?:[-+•]|\p{{Nd}}+[.)]){_WS}+', ' ', 'g'), '[#|*`_>]', ' ', 'g'), '{_WS}+', ' ', 'g')))"
 NORMALIZE_TEXT_DOCS = f"SELECT doc_id, md5({_NORMAL}) AS digest, length({_NORMAL}) AS n FROM documents"
 
 
@@ -100,6 +101,28 @@ def reading_order_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.reading_order(pairs, "text", "before", "conv_id", "turn").withColumn("score", F.round("score", 6))
 
 
+WER_BENCHMARK = r"""
+WITH RECURSIVE b AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT r.item_id, 0 AS i, r.w AS a, h.w AS b, range(0, len(h.w) + 1) AS d FROM b r JOIN b h ON h.item_id = r.item_id + 1
+  UNION ALL SELECT item_id, i + 1, a, b, list_transform(range(0, len(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN d[1] + 1 ELSE least(d[k + 1] + 1, d[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END) - k END)))
+  FROM d WHERE i < len(a))
+SELECT item_id, CASE WHEN len(a) > 0 THEN round(d[len(b) + 1] / len(a), 6) END AS wer FROM d WHERE i = len(a)
+"""
+
+READING_ORDER_TURNS = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, {TOK} AS l FROM conversations),
+p AS MATERIALIZED (SELECT n.conv_id, n.turn, n.l AS h, o.l AS r FROM c n JOIN c o ON n.conv_id = o.conv_id AND n.turn = o.turn + 1),
+h AS (SELECT conv_id, turn, item, min(k) AS k FROM (SELECT conv_id, turn, unnest(h) AS item, generate_subscripts(h, 1) AS k FROM p) GROUP BY ALL HAVING count(*) = 1),
+r AS (SELECT conv_id, turn, item, min(k) AS k FROM (SELECT conv_id, turn, unnest(r) AS item, generate_subscripts(r, 1) AS k FROM p) GROUP BY ALL HAVING count(*) = 1),
+m AS MATERIALIZED (SELECT conv_id, turn, h.k AS v, row_number() OVER (PARTITION BY conv_id, turn ORDER BY r.k) AS i, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM h JOIN r USING (conv_id, turn, item)),
+f AS (SELECT conv_id, turn, i, n, [1] AS best, [v] AS vals FROM m WHERE i = 1
+  UNION ALL SELECT m.conv_id, m.turn, m.i, m.n,
+    list_append(f.best, 1 + coalesce(list_max(list_transform(range(1, len(f.vals) + 1), lambda k: CASE WHEN f.vals[k] < m.v THEN f.best[k] ELSE 0 END)), 0)), list_append(f.vals, m.v)
+  FROM f JOIN m ON m.conv_id = f.conv_id AND m.turn = f.turn AND m.i = f.i + 1)
+SELECT p.conv_id, p.turn, coalesce(f.n, 0)::INT AS anchors, CASE WHEN f.n >= 3 THEN round(list_max(f.best) / f.n, 6) END AS score FROM p LEFT JOIN f ON f.conv_id = p.conv_id AND f.turn = p.turn AND f.i = f.n
+"""
+
+
 def lis_length_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest increasing run of rounded values of each user's events in time."""
     e = table(spark, sf_dir, "events")
@@ -124,7 +147,7 @@ QUERIES = {
     normalize_text_docs: NORMALIZE_TEXT_DOCS,
     tokenize_docs: TOKENIZE_DOCS,
     cer_benchmark_ascii: CER_BENCHMARK_ASCII,
-    wer_benchmark: None,
-    reading_order_turns: None,
+    wer_benchmark: WER_BENCHMARK,
+    reading_order_turns: READING_ORDER_TURNS,
     lis_length_events: LIS_LENGTH_EVENTS,
 }

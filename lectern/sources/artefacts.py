@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import stripped
+
 POINT = "struct<x:float,y:float>"
 LINES = f"array<struct<quad:struct<points:array<{POINT}>>,text:string,confidence:float>>"
 BATCH = f"array<struct<image:string,lines:{LINES},error:string>>"
@@ -45,6 +47,24 @@ def corpus_lock(rows: DataFrame, column: str = "value") -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "v.sha256")
 
 
+def lock_lookup(lock: DataFrame) -> DataFrame:
+    """Rows (name, sha256): the pin of each file name, the first path's if several end in it."""
+    return lock.groupBy("name").agg(F.min_by("sha256", F.struct("path", "sha256")).alias("sha256"))
+
+
+def runner_results(rows: DataFrame, column: str = "value") -> DataFrame:
+    """Rows (build_seconds, versions, image, lines, seconds, error) of another runner's JSON, one per image."""
+    told = rows.select(F.from_json(column, f"build_seconds double, versions map<string,string>, images array<struct<image:string,lines:{LINES},seconds:double,error:string>>").alias("r"))
+    return told.select("r.build_seconds", "r.versions", F.explode_outer("r.images").alias("i")).select("build_seconds", "versions", "i.*")
+
+
+def tool_payload(lines: DataFrame, key: str) -> DataFrame:
+    """Rows (key, rendered) of lines (key, line_no, text, quad, full): quads and texts where ``full``, else the texts alone."""
+    every = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "quad", "text"))).alias("l"), F.max("full").alias("full"))
+    whole = F.to_json(F.struct(F.transform("l", lambda x: F.struct(x["quad"].alias("quad"), x["text"].alias("text"))).alias("lines")))
+    return every.select(key, F.when(F.col("full"), whole).otherwise(F.to_json(F.struct(F.transform("l", lambda x: x["text"]).alias("texts")))).alias("rendered"))
+
+
 def peak_mb(stderr: Column) -> Column:
     """Peak memory of a child from what a time command wrote: bytes in one form, KiB in the other."""
     b = F.regexp_extract(stderr, r"(\d+)\s+maximum resident set size", 1)
@@ -67,7 +87,8 @@ def without_statistics(stderr: Column) -> Column:
 
 
 def unsupported_format(message: Column) -> Column:
-    return F.lower(message).rlike("unsupported|unrecognized|unknown image format")
+    """Whether an error is of decoding or format support, and not another failure."""
+    return F.lower(message).rlike("not supported|failed to decode|unsupported")
 
 
 def cached_models(files: DataFrame) -> DataFrame:
@@ -102,7 +123,7 @@ def merge_lines(lines: DataFrame, key: str) -> DataFrame:
 
 def join_pages(pages: DataFrame, key: str) -> DataFrame:
     """Rows (key, text): stripped page texts in order, blank ones left out, a blank line between."""
-    kept = pages.withColumn("text", F.trim("text")).filter("text <> ''")
+    kept = pages.withColumn("text", stripped(F.col("text"))).filter("text <> ''")
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 

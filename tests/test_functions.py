@@ -23,6 +23,23 @@ def test_nfkc_folds_full_width(spark):
 
 def test_normalize_text(spark):
     assert one(spark, t.normalize_text(F.lit("# Title\n- item<br/>two\n1. three | `x`")).alias("x")).x == "title item two three x"
+    # white space of every script is one blank, at the ends none
+    assert one(spark, t.normalize_text(F.lit("\u3000a\u00a0\u2003b\x1c\u0663. c\u2028")).alias("x")).x == "a b \u0663. c"
+
+
+def test_tokens_are_composed(spark):
+    texts = ["ＡＢＣ ﬁne", "e\u0301te\u0301", "plain", "½ x", None]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", t.tokens(F.col("s")).alias("t")).orderBy("i").collect()]
+    assert got == [["abc", "fine"], ["été"], ["plain"], ["1⁄2", "x"], None]
+
+
+def test_what_composition_may_change_is_told_by_rule():
+    import re
+    import unicodedata
+
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), t._unsettled()))
+    for c in map(chr, (*range(0x20, 0xD800), *range(0xE000, 0x30000))):
+        assert pattern.match(c) or (unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c))
 
 
 def test_error_rates(spark):

@@ -121,7 +121,40 @@ def test_greedy_match_and_reading_order(spark):
 def test_gates_and_fallback(spark):
     rows = spark.createDataFrame([(None, 1.0, True), (1.2, 1.0, True), (1.05, 1.0, True), (9.0, 1.0, False), (1.0, None, True), (float("nan"), 1.0, True)], "m double, b double, s boolean")
     why = [r[0] for r in rows.select(records.rss_gate(F.col("m"), F.col("b"), F.col("s"))).collect()]
-    assert why[0] == "not measured" and why[1].startswith("1.2") and why[2] is None and why[3:] == ["other host", "no baseline", "not finite"]
+    assert why[0] == "not measured" and why[1] == "1.200000 against 1.100000" and why[2] is None and why[3:] == ["other host", "no baseline", "not finite"]
+    # halves at the seventh place are rounded up; a baseline of nothing holds no gate
+    rows = spark.createDataFrame([(2.0, 1.000005), (1.0, 0.0), (1.0, -1.0), (0.5, 1.0)], "m double, b double").withColumn("s", F.lit(True))
+    both = [tuple(r) for r in rows.select(records.rss_gate(F.col("m"), F.col("b"), F.col("s")), records.throughput_gate(F.col("m"), F.col("b"), F.col("s"))).collect()]
+    assert both[0] == ("2.000000 against 1.100006", None) and both[1:3] == [("no positive baseline",) * 2] * 2 and both[3] == (None, "0.500000 against 0.900000")
+
+
+def test_contracts_of_another_version_are_an_error(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "stem string, v int")
+    assert records.versioned(rows, "v", 1).count() == 2 and records.versioned(rows.limit(0), "v", 1).count() == 0
+    for wrong in (F.lit(2), F.lit(None).cast("int")):
+        with pytest.raises(Exception, match="unsupported schema version"):
+            records.versioned(rows.withColumn("v", wrong), "v", 1).collect()
+    group = spark.createDataFrame([("a", "labeled", None, 1.0), ("b", "breadth", None, 1.0), ("c", "labeled", "why", 1.0), ("d", "labeled", None, None)], "stem string, group string, skipped string, f1 double")
+    assert [tuple(r) for r in records.guardrails(group, "f1", "stem").collect()] == [("a", 0.9)]
+
+
+def test_engine_scores_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, "A b", "a B", "a b c"), (2, "", "", ""), (3, "x", "", "x y"), (4, "ＡＢ", "ab", "ab")], "k int, a string, b string, t string")
+    got = {r.k: r for r in scoring.engine_scores(rows, "a", "b", "t", "k").collect()}
+    assert got[1].word_f1 == 1.0 and got[1].first_token_f1 == pytest.approx(0.8) and got[2].char_f1 == 1.0 and got[2].first_cer is None
+    assert got[3].word_f1 == 0.0 and got[3].second_token_f1 == 0.0 and got[3].first_cer == pytest.approx(2 / 3) and got[4].word_f1 == 1.0
+
+
+def test_boxes_in_the_task_are_those_of_the_pixel_table(spark):
+    rng = np.random.default_rng(6)
+    blocks = lambda v: np.kron(v, np.ones((5, 6)))
+    region, link = blocks((rng.random((6, 8)) < 0.25) * (0.6 + 0.4 * rng.random((6, 8)))) * (rng.random((30, 48)) < 0.95), blocks((rng.random((6, 8)) < 0.1) * 0.9)
+    rows = [(0, int(y), int(x), float(region[y, x]), float(link[y, x])) for y, x in np.ndindex(*region.shape)]
+    told = components.boxes(spark.createDataFrame(rows, "image_id bigint, y int, x int, region double, link double"), 30, 48).orderBy("label").collect()
+    mine = components.map_boxes(region, link)
+    assert len(told) == len(mine) > 1
+    for r, box in zip(told, mine, strict=True):
+        assert [(p.x, p.y) for p in r.quad] == [pytest.approx(tuple(p)) for p in box]
 
 
 def test_imaging_helpers():
@@ -162,6 +195,12 @@ def test_reader_end_to_end_with_stub_models(spark):
         out[0, 2:, 2] = 9
         return out
 
+    batched = []
+
+    def many(x):
+        batched.append(len(x))
+        return np.concatenate([recognizer(x[k : k + 1]) for k in range(len(x))])
+
     page = np.zeros((96, 160, 3), np.uint8)
     page[30:50, 20:120] = 255
     df = spark.createDataFrame([(1, (160, 96, bytearray(page.tobytes()))), (2, (160, 96, bytearray(160 * 96 * 3)))], f"image_id bigint, image {imaging.IMAGE}")
@@ -171,10 +210,50 @@ def test_reader_end_to_end_with_stub_models(spark):
     xs = [p.x for p in got[0].quad]
     assert 10 <= min(xs) <= 24 and 116 <= max(xs) <= 132
     assert {r.image_id for r in reader.recognize_line(df).collect()} == {1, 2}
+    # every model call is behind a written stage
+    assert "MapInPandas" not in reader.readtext(df)._jdf.queryExecution().explainString(reader_mode(spark))
+    page[70:90, 20:120] = 255
+    two = spark.createDataFrame([(1, (160, 96, bytearray(page.tobytes())))], f"image_id bigint, image {imaging.IMAGE}")
+    single, batch = (sorted(map(str, engine.Reader(detector, many, "xy", recognition=engine.Recognition(batch_size=n)).readtext(two).collect())) for n in (1, 16))
+    assert len(single) == 2 and single == batch
     with pytest.raises(ValueError):
         engine.Recognition(decoder="wordbeamsearch")
 
 
+def reader_mode(spark):
+    return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+
+
+@pytest.mark.parametrize("degrees", [0, 90, 180, 270])
+def test_reader_turns_pages_upright(spark, degrees):
+    """A mark in the upright page's corner tells the detector which way is up; quads come back in the page's own frame."""
+
+    def detector(x):
+        h, w = x.shape[1] // 2, x.shape[2] // 2
+        lum = x.mean(axis=0)[: 2 * h, : 2 * w].reshape(h, 2, w, 2).mean(axis=(1, 3))
+        region = (lum > 0).astype(np.float32)
+        up = 1.0 if lum[:4, :4].min() > 0 else 0.5
+        return np.stack([region * (0.5 + up / 2), region * up * 0.8], axis=-1)
+
+    def recognizer(x):
+        out = np.full((1, 2, 3), -9.0)
+        out[0, 0, 1] = out[0, 1, 0] = 9
+        return out
+
+    upright = np.zeros((128, 192, 3), np.uint8)
+    upright[:12, :12] = 255
+    upright[60:80, 40:150] = 255
+    page = np.ascontiguousarray(imaging.rotate(upright, degrees))
+    ys, xs = np.nonzero(imaging.rotate(np.pad(np.ones((20, 110)), ((60, 48), (40, 42))), degrees))
+    df = spark.createDataFrame([(1, (page.shape[1], page.shape[0], bytearray(page.tobytes())))], f"image_id bigint, image {imaging.IMAGE}")
+    reader = engine.Reader(detector, recognizer, "xy", engine.Detection(orientation=True, min_size=40.0))
+    assert reader.oriented(df).first().rotation == -degrees % 360
+    for got in (reader.readtext(df).collect(), reader.detect(df).collect()):
+        assert len(got) == 1
+        x, y = [p.x for p in got[0].quad], [p.y for p in got[0].quad]
+        assert [min(x), max(x), min(y), max(y)] == pytest.approx([xs.min(), xs.max(), ys.min(), ys.max()], abs=12)
+
+
 def test_bad_images_are_rows(spark):
     files = spark.createDataFrame([(1, bytearray(b"nothing")), (2, bytearray(b"P5\n1 1\n255\n\x07"))], "image_id bigint, content binary")
     got = {r.image_id: (r.image, r.error) for r in imaging.decode_images(files).collect()}
