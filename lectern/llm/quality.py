@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.state import text_batches
 from lectern.llm.textkernel import flat, word_hashes
 
 BUCKETS, SHAPES = 1 << 12, 8
@@ -141,7 +142,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, grade
         return pa.table({"w": pa.array([w.tolist()], pa.list_(pa.float64())), "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64()))})
 
     # a row has at most BUCKETS entries however long its text is
-    kept = rated.mapInArrow(run, "doc_id bigint, grade int, shapes array<double>, buckets array<int>, weights array<double>")
+    kept = text_batches(rated).mapInArrow(run, "doc_id bigint, grade int, shapes array<double>, buckets array<int>, weights array<double>")
     kept = kept.orderBy("doc_id", "buckets").limit(max_rated)
     found = kept.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "w array<double>, cuts array<double>").first()
     return (np.array(found["w"]), np.array(found["cuts"])) if found else None
@@ -161,8 +162,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, good: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 n = part.num_rows
                 if model is None:
                     tail, expected = np.full((n, GRADES - 1), 0.5), np.full(n, (GRADES - 1) / 2)
@@ -177,4 +178,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, good: in
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(expected), pa.array(tail[:, good - 1]), pa.array(kept)], names=[*names, *new])
 
     kinds = (T.DoubleType(), T.DoubleType(), T.BooleanType())
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(new, kinds, strict=True))]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(new, kinds, strict=True))]))

@@ -1,49 +1,23 @@
-"""Cutting lineage through the folder that every executor can read.
-
-Intermediate tables are written as Parquet below ``spark.checkpoint.dir``, so a
-lost executor costs a re-read, never a recomputation from the start, and later
-stages can prune columns. The setting is read from the session; only where it
-is unset and Spark is one local process (tests, a laptop) is a private folder made for it.
-"""
+"""Cutting lineage through the folder that every executor can read, and batches of texts for Python."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Rows up to which a table of a few 8-byte columns is small enough to broadcast (16 MB at 16 bytes).
-BROADCAST_ROWS = 500_000
+from pyspark.sql import DataFrame
 
+from lectern.operators.stages import discard, materialize, replaceable, shared_dir, small_side
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["discard", "materialize", "replaceable", "shared_dir", "small_side", "text_batches"]
 
+#: Rows of an Arrow batch of texts.
+BATCH = 1000
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends rows to Python in batches of ``BATCH`` at most: a batch of long texts is held several times over.
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is a counted, small table; ``df`` as it is otherwise.
-
-    ``df`` should be materialized: it is counted. Beyond ``limit`` rows the join
-    is left to a shuffle.
+    Only the default is changed; a setting of the user's own stands.
     """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= limit else df
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _WS = np.zeros(256, dtype=bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _U = np.uint64
