@@ -42,12 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import connected_components
-from lectern.llm.state import materialize, small_side
+from lectern.llm.state import materialize, small_side, text_batches
 from lectern.llm.textkernel import overlap, shingle_sets, splitmix
 
 K, LIST_LIMIT, PERCENT, WIDTH = 48, 64, 75, 5
 #: Retained values shared by a pair at the threshold (fewer with probability 2e-7), and cold ones asked of a candidate without hot ones.
 SHARED, ASKED = 20, 8
+#: Classes that make a shingle a very common one in the join for its count.
+OFTEN = 128
 #: Classes that make a component large, and classes in a block of a tile.
 LARGE, BLOCK = 32, 256
 #: Share of the union sketch below which a pair at 0.75 falls with probability under 1e-7.
@@ -59,8 +61,8 @@ def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 sets = shingle_sets(part.column(1), width)
                 wide = [s.view(np.uint64) for s in sets]
                 prints = [[int(np.sum(splitmix(s ^ np.uint64(x)), dtype=np.uint64).astype(np.int64)) for s in wide] for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
@@ -72,7 +74,7 @@ def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
                     names=["doc_id", "n_shingles", "f1", "f2", "sketch", "h"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>, h bigint")
+    return text_batches(_keyed(docs)).mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>, h bigint")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, width: in
                     keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return text_batches(joined).mapInArrow(run, "a bigint, b bigint")
 
 
 def _cold(index: DataFrame, hot: DataFrame, heated: DataFrame | None, limit: int) -> DataFrame:
@@ -148,9 +150,14 @@ def _prefixes(texts: DataFrame, tied: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["rep", "n", "v"])
 
     own = texts.join(small_side(tied.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    rows = own.select("doc_id", "text").mapInArrow(run, "rep bigint, n bigint, v bigint")
-    seen = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    ordered = rows.join(seen, "v", "left").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v"))).alias("l"))
+    rows = text_batches(own.select("doc_id", "text")).mapInArrow(run, "rep bigint, n bigint, v bigint")
+    seen = materialize(rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "seen")
+    # rows of a shingle that very many classes have are told their count by a broadcast, and then spread over the join for the others
+    often = small_side(seen.filter(F.col("c") > OFTEN).select("v", F.col("c").alias("often")))
+    salt = F.when(F.col("often").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) + 1).cast("int").alias("salt")
+    rows = rows.join(often, "v", "left").select("rep", "n", "v", "often", salt)
+    rows = rows.join(seen.filter(F.col("c") <= OFTEN).withColumn("salt", F.lit(0)), ["v", "salt"], "left").withColumn("c", F.coalesce("often", "c"))
+    ordered = rows.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v"))).alias("l"))
     first = F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 0.75) + 1).cast("int"))
     return ordered.select("rep", "n", F.posexplode(first).alias("i", "x")).filter("x.c > 1").select("x.v", "rep", "n", (F.col("i") + 1).alias("i"))
 
@@ -258,11 +265,16 @@ def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, l
         links = materialize(links.unionByName(_against_large(rows, sizes, groups, texts)), "links")
         # what is left of the lists: pairs of small components
         rows = rows.join(small_side(sizes), "c", "left").withColumn("large", F.col("members").isNotNull()).drop("members")
-        most = rows.groupBy("v", "c").agg(F.count(F.lit(1)).alias("s")).groupBy("v").agg(F.max(F.struct("s", "c")).alias("top")).select("v", F.col("top.c").alias("top"))
-        rows = rows.filter("not large")
-        aside = rows.join(most, "v").filter("c <> top").select("v", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"), F.col("c").alias("rc"))
+        most = rows.groupBy("v", "c", "large").agg(F.count(F.lit(1)).alias("s")).groupBy("v").agg(F.max(F.struct("s", "c")).alias("top"), F.sum(F.when(~F.col("large"), F.col("s"))).alias("all"))
+        # a list is dealt to tiles of two blocks, so that no task holds a long one
+        most = most.filter("all > 1").select("v", F.col("top.c").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+        place = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        rows = rows.filter("not large").join(small_side(materialize(most, "most")), "v")
+        aside = rows.filter("c <> top").select("v", place("rep").alias("p"), every.alias("q"), F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("i").alias("ri"), F.col("c").alias("rc"))
+        rows = rows.select("v", every.alias("p"), place("rep").alias("q"), "rep", "n", "i", "c")
         # from a common shingle on, two classes cannot share more than what follows in either
-        cross = aside.join(rows, "v").filter(f"c <> rc and {100 + PERCENT} * (1 + least(n - i, rn - ri)) >= {PERCENT} * (n + rn)")
+        cross = aside.join(rows, ["v", "p", "q"]).filter(f"c <> rc and {100 + PERCENT} * (1 + least(n - i, rn - ri)) >= {PERCENT} * (n + rn)")
         ends = [F.when(F.col("rep") < F.col("r"), F.struct(F.col(x).alias("id"), F.col(y).alias("n"), F.col(z).alias("i"))).otherwise(F.struct(F.col(p).alias("id"), F.col(q).alias("n"), F.col(w).alias("i"))) for x, y, z, p, q, w in (("rep", "n", "i", "r", "rn", "ri"), ("r", "rn", "ri", "rep", "n", "i"))]
         cross = cross.select("v", ends[0].alias("x"), ends[1].alias("y")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         cross = cross.agg(F.count_distinct("v").alias("shared"), F.max("x.i").alias("i"), F.max("y.i").alias("j")).withColumn("most", F.col("shared") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")))
