@@ -30,7 +30,6 @@ and its ids, the search only for its window; an empty table gives no rows.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from array import array
@@ -39,12 +38,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lectern.llm.state import text_batches
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMORY = 150_000
 #: Rows of a result batch.
 ROWS = 200
-REMEMBERED = 64
+REMEMBERED, STEP = 64, 64
 ZIPF, UNIT = 200, 1_000_000
 
 
@@ -84,34 +85,41 @@ class Pieces:
 
     def _extend(self, window: str, best: list[int], back: list[int], which: list[int], at: int, stop: int) -> None:
         """Extend the starts ``at`` to ``stop`` of the window by every piece that begins there."""
-        root, unknown, size = self.root, self.unknown, len(window)
+        root, unknown, longest = self.root, self.unknown, self.longest
         for start in range(at, stop):
-            so_far, node, end = best[start], root, start
-            while end < size:
-                found = node.get(window[end])
+            so_far, node, end, single = best[start], root, start, False
+            for char in window[start : start + longest]:
+                found = node.get(char)
                 if found is None:
                     break
                 node, score, i = found
                 end += 1
-                if i >= 0 and so_far + score > best[end]:
-                    best[end], back[end], which[end] = so_far + score, start, i
-            if window[start] not in root or root[window[start]][2] < 0:
-                if so_far + unknown > best[start + 1]:
-                    best[start + 1], back[start + 1], which[start + 1] = so_far + unknown, start, -1
+                if i >= 0:
+                    score += so_far
+                    if score > best[end]:
+                        best[end], back[end], which[end] = score, start, i
+                    if end == start + 1:
+                        single = True
+            if not single and so_far + unknown > best[start + 1]:
+                best[start + 1], back[start + 1], which[start + 1] = so_far + unknown, start, -1
 
     def stream(self, chunks: Iterable[str]) -> Iterator[int]:
         """Ids of a text given in chunks, each as soon as it is certain."""
-        longest = self.longest
+        longest, coming = self.longest, iter(chunks)
         window, at = "", 0  # what is retained, and how far starts in it are extended
         best, back, which = [0], [-1], [-1]  # at each position of the window: score, start of the last piece, its id
-        for chunk in itertools.chain(chunks, (None,)):
-            if chunk is not None:
-                window += chunk
-                best += [_LOW] * len(chunk)
-                back += [-1] * len(chunk)
-                which += [-1] * len(chunk)
+        chunk = next(coming, None)
+        while chunk is not None:
+            n, window, chunk = len(chunk), window + chunk, next(coming, None)
+            best += [_LOW] * n
+            back += [-1] * n
+            which += [-1] * n
+            if chunk is None:
+                self._extend(window, best, back, which, at, len(window))
+                yield from self._path(window, back, which, len(window))
+                return
             # a start is extended when all characters a piece may need are there
-            stop = len(window) if chunk is None else max(at, len(window) - longest + 1)
+            stop = max(at, len(window) - longest + 1)
             self._extend(window, best, back, which, at, stop)
             at = stop
             # paths that can still win end here, or beyond with a piece that starts before
@@ -137,9 +145,9 @@ class Pieces:
         return out[::-1]
 
     def encode(self, text: str) -> array:
-        """Ids of one text: of its parts between sure boundaries, each streamed in chunks of the longest piece's length."""
+        """Ids of one text: of its parts between sure boundaries, each streamed in chunks of ``STEP`` characters."""
         out = array("i")
-        memory, step = self.memory, self.longest
+        memory, step = self.memory, STEP
         for k, plain in enumerate(text.split(MARK) if text else ()):
             if k:  # a marker in the text itself is spelt in bytes
                 out.extend(self.byte_ids[b] for b in MARK.encode())
@@ -191,7 +199,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(whole)] if restored else [])], names=[*names, *new])
 
     out = _with(docs, ids, "array<int>")
-    return docs.mapInArrow(run, out.add(restored, "boolean") if restored else out)
+    return text_batches(docs).mapInArrow(run, out.add(restored, "boolean") if restored else out)
 
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "decoded") -> DataFrame:
