@@ -57,6 +57,11 @@ def test_copies_and_ids(staged):
     assert len(last) == staged[3][1].count() and all(r.restored and r.n_ids == len(r.ids) for r in last)
 
 
+def test_run_gives_what_the_stages_give(spark, staged):
+    key = lambda r: (str(r.doc_id), str(r.source), r.n_ids, r.ids)
+    assert sorted(map(key, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(key, staged[-1][1].collect()))
+
+
 def odd_docs(spark):
     """Documents with null and repeated doc_ids: equal rows, other texts and other sources under one id."""
     text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
@@ -87,6 +92,18 @@ def test_mix_takes_what_the_operator_says_of_null_and_repeated_ids(spark):
     assert any(i is None for i, _, _ in got)
 
 
+def test_stages_of_nothing_and_of_clashing_columns(spark):
+    """Empty tables give empty tables; columns named like a stage's own come through as they were."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id % 9 = 0")
+    clash = docs.selectExpr("*", *(f"doc_id * 2 as {c}" for c in ("kept", "spans", "taken", "size", "copy", "h", "row", "email", "rep", "component_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+        got = stage(spark, clash, FOLDER)
+        assert got.columns == clash.columns, name
+        assert all(r.kept == r.taken == r.row == r.email == 2 * r.doc_id for r in got.select("doc_id", "kept", "taken", "row", "email").collect())
+    assert corpus_pipeline._encode(spark, docs.limit(0), FOLDER).count() == 0
+
+
 def test_other_stages_keep_null_and_repeated_ids(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     some = docs.filter("doc_id % 4 = 0")
