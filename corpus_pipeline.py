@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``documents``. Models are fitted on the stage's own input.
+
+Defined cases, for every stage: rows are told apart as rows, so rows without a doc_id and several rows of one
+doc_id each have their own decision (see the stages for equal rows); columns of any other name come through as
+they are, whatever a stage computes; an empty table gives an empty table; texts are processed whole.
 """
 
 from __future__ import annotations
@@ -14,7 +18,10 @@ from lectern.llm.state import materialize, small_side
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps, each row by its own text; null and empty texts are rejected."""
+    """Documents that the classifier keeps, each row by its own text; null and empty texts are rejected.
+
+    Equal rows fare alike; a probability of just ``KEEP_AT`` is kept; without labels every row that has words stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, quality.graded(labels))
     # the other columns in one, so that none can clash with the scores; the text is carried once
@@ -32,13 +39,13 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind; null stays null, equal rows fare alike, ``n_chars`` follows the text."""
     out = pii.redact(docs, *pii.train(docs))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
+    """Every document as many times as the mix takes it; documents without words are not taken, of equal rows each is drawn on its own."""
     whole = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
     # rows are carried along: neither doc_id nor text tells repeated rows apart
     taken = mixing.mix(whole, keep=("row",)).filter("taken > 0")
@@ -47,7 +54,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and whether they restore it."""
+    """Piece ids of every text, and whether they restore it; null has null ids and a null number of them."""
     coded = pieces.encode(docs.select("doc_id", "source", "text"), restored="restored")
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "restored")
 
