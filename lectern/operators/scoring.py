@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
 from lectern.functions import text as t
+from lectern.operators.stages import small_side
 
 MIN_ANCHORS = 3
 
 
-def bag(rows: DataFrame, key: str, items: Column) -> DataFrame:
-    """Rows (key, item, n, total): how often each item occurs, and all items of the key."""
+def bag(rows: DataFrame, key: str, items: Column, among: DataFrame | None = None) -> DataFrame:
+    """Rows (key, item, n, total): how often each item occurs, and all items of the key.
+
+    With ``among`` (item), only items that stand there are told, and only these are shuffled; the total still is of all.
+    """
     sized = rows.select(F.col(key), items.alias("items")).withColumn("total", F.size("items"))
-    return sized.select(key, "total", F.explode("items").alias("item")).groupBy(key, "total", "item").agg(F.count(F.lit(1)).alias("n"))
+    long = sized.select(key, "total", F.explode("items").alias("item"))
+    if among is not None:
+        long = long.join(small_side(among.select("item").distinct()), "item", "left_semi")
+    return long.groupBy(key, "total", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bag_f1(hyp: DataFrame, ref: DataFrame, hyp_key: str, ref_key: str) -> DataFrame:
     """Rows (hyp_key, ref_key, f1, precision, recall) of bags that share an item: an equi-join on items.
 
-    Pairs without a common item score 0 and are not made.
+    Pairs without a common item score 0 and are not made. Where ``ref`` is small (counted), it is sent to the
+    tasks, and a pair's common items are summed before any shuffle, however common an item is.
     """
-    shared = hyp.withColumnsRenamed({"n": "hn", "total": "ht"}).join(ref.withColumnsRenamed({"n": "rn", "total": "rt"}), "item")
+    shared = hyp.withColumnsRenamed({"n": "hn", "total": "ht"}).join(small_side(ref.withColumnsRenamed({"n": "rn", "total": "rt"})), "item")
     met = shared.groupBy(hyp_key, ref_key, "ht", "rt").agg(F.sum(F.least("hn", "rn")).alias("met"))
     parts = t.f1_parts(F.col("met"), F.col("ht"), F.col("rt"))
     return met.select(hyp_key, ref_key, parts.alias("p")).select(hyp_key, ref_key, "p.f1", "p.precision", "p.recall")

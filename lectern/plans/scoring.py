@@ -14,7 +14,8 @@ TOK = r"list_filter(string_split_regex(replace(lower(text), '|', ' '), '\s+'), l
 
 def doc_benchmark_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return scoring.bag_f1(scoring.bag(docs, "doc_id", t.tokens(F.col("text"))), scoring.bag(items, "item_id", t.tokens(F.col("text"))), "doc_id", "item_id").select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")))
+    known = scoring.bag(items, "item_id", t.tokens(F.col("text")))
+    return scoring.bag_f1(scoring.bag(docs, "doc_id", t.tokens(F.col("text")), known), known, "doc_id", "item_id").select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")))
 
 
 DOC_BENCHMARK_TOKEN_F1 = rf"""
