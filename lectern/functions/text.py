@@ -42,7 +42,9 @@ def _unsettled() -> str:
 
 def composed(text: Column) -> Column:
     """``text`` in NFKC; only texts that may change go to Python."""
-    return F.coalesce(nfkc(F.when(text.rlike(_unsettled()), text)), text)
+    # most characters are told by two ranges, before the class of many
+    some = text.rlike(rf"[\xa0-\xbf\x{{100}}-\x{{10ffff}}&&{_unsettled()}]")
+    return F.coalesce(nfkc(F.when(some, text)), text)
 
 
 def stripped(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as t
 from lectern.operators import scoring
+from lectern.operators.stages import materialize
 from lectern.sources import table
 
 TOK = r"list_filter(string_split_regex(replace(lower(text), '|', ' '), '\s+'), lambda x: x <> '')"
@@ -14,7 +15,7 @@ TOK = r"list_filter(string_split_regex(replace(lower(text), '|', ' '), '\s+'), l
 
 def doc_benchmark_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    known = scoring.bag(items, "item_id", t.tokens(F.col("text")))
+    known = materialize(scoring.bag(items, "item_id", t.tokens(F.col("text"))), "bag")
     return scoring.bag_f1(scoring.bag(docs, "doc_id", t.tokens(F.col("text")), known), known, "doc_id", "item_id").select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")))
 
 
