@@ -11,8 +11,10 @@ can be links, and just those are computed in double precision.
 
 Equal vectors of one label are one class. The classes of a label are dealt to
 blocks of about ``block`` rows by a hash, and each pair of blocks is one tile:
-a tile holds at most two blocks however large a label is. A tile returns counts
-per class and a spanning forest of its links, never the pairs themselves.
+a tile holds at most two blocks however large a label is. Vectors travel in the type they have, once
+per block of their label. A tile returns counts
+per class and a spanning forest of its links, never the pairs themselves; results go back to rows by a 128-bit
+hash of the vector.
 The work is the pairs within labels, as asked; no pair is left out.
 
 Defined cases: null labels, and vectors that are null, empty, zero or hold null
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.graph import connected_components
+from lectern.llm.graph import connected_components, union
 from lectern.llm.state import materialize
 
-THRESHOLD, BLOCK = 0.98, 1024
+THRESHOLD, BLOCK = 0.98, 2048
 #: Pairs recomputed at once.
 _CHUNK = 1 << 15
 
@@ -67,25 +69,6 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> It
             yield a[sure], b[sure]
 
 
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Spanning forest of links over nodes 0..n-1."""
-    root, kept = list(range(n)), []
-
-    def top(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    for a, b in pairs:
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            r, s = top(i), top(j)
-            if r != s:
-                root[max(r, s)] = min(r, s)
-                kept.append((i, j))
-    return kept
-
-
 def _tile(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pandas()
@@ -101,18 +84,19 @@ def _tile(threshold: float):
             x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
             ids_x, ids_y = left["rep"].to_numpy(), right["rep"].to_numpy()
             many_x, many_y = left["many"].to_numpy(), right["many"].to_numpy()
-            count_x, count_y, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-            base, pairs = 0 if first == second else len(x), []
+            count_x, count_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            base = 0 if first == second else len(x)
+            root = np.arange(base + len(y))
             for a, b in tile_links(x, y, threshold, first == second):
                 np.add.at(count_x, a, many_y[b])
                 np.add.at(count_y, b, many_x[a])
-                pairs = [(np.array([i for i, _ in f], int), np.array([j for _, j in f], int)) for f in [_forest(len(x) + len(y), [*pairs, (a, b + base)])]]
-            edges = pairs[0] if pairs else (np.zeros(0, int), np.zeros(0, int))
+                root = union(root, a, b + base)
+            edges = np.flatnonzero(root != np.arange(len(root)))
             ids = ids_x if first == second else np.concatenate([ids_x, ids_y])
             counts = count_x + count_y if first == second else np.concatenate([count_x, count_y])
             hit = counts > 0
             out.append(pd.DataFrame({"a": ids[hit], "b": ids[hit], "n": counts[hit]}))
-            out.append(pd.DataFrame({"a": ids[edges[0]], "b": ids[edges[1]], "n": np.zeros(len(edges[0]), np.int64)}))
+            out.append(pd.DataFrame({"a": ids[root[edges]], "b": ids[edges], "n": np.zeros(len(edges), np.int64)}))
         found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []})
         return pa.Table.from_pandas(found.astype("int64"), preserve_index=False)
 
@@ -121,19 +105,20 @@ def _tile(threshold: float):
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding, label); see the module's text."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding"))
     sound = "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    prints = [F.xxhash64("embedding").alias("f1"), F.xxhash64(F.lit(1), "embedding").alias("f2")]
     classes = rows.filter(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))
-    classes = materialize(classes, "vector-classes")
+    classes = materialize(classes.select("*", *prints), "vector-classes")
     blocks = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = classes.join(blocks, "label").withColumn("at", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     tiles = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("label", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rep", "many", "embedding")
     found = materialize(tiles.groupBy("label", "i", "j").applyInArrow(_tile(threshold), "a bigint, b bigint, n bigint"), "vector-links")
     links = found.filter("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     groups = connected_components(found.filter("n = 0").select("a", "b"), "vector-components").withColumnRenamed("node", "rep")
-    known = classes.select("label", "embedding", "rep", "many").join(links, "rep", "left").join(groups, "rep", "left")
-    known = known.select("label", "embedding", (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.join(known, ["label", "embedding"], "left")
+    known = classes.select("label", "f1", "f2", "rep", "many").join(links, "rep", "left").join(groups, "rep", "left")
+    known = known.select("label", "f1", "f2", (F.col("many") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+    out = rows.select("vec_id", "label", *(F.when(F.expr(sound), p).alias(n) for p, n in zip(prints, ("f1", "f2"), strict=True))).join(known, ["label", "f1", "f2"], "left")
     known_id = F.col("vec_id").isNotNull()
     component, links = F.when(known_id, F.coalesce("c", "vec_id")), F.when(known_id, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
     return out.select("vec_id", links.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
