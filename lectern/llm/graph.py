@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.state import discard, replaceable
+from lectern.llm.state import BROADCAST_ROWS, discard, replaceable
 
 #: Edges that a task reduces at once.
 HELD_EDGES = 1 << 20
@@ -49,12 +49,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[root[child]]), pa.array(nodes[child])], names=["a", "b"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, small: bool) -> DataFrame:
+    """One star round; with ``small`` the least neighbours are sent to the edges, so that a hub's edges stay where they are."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         both = both.filter("v < u")
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    hung = both.join(least, "u")
+    hung = both.join(F.broadcast(least) if small else least, "u")
     if large:
         hung = hung.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
@@ -78,7 +79,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges, path = replaceable(sound.mapInArrow(_stars, "a bigint, b bigint"), name)
     while not _done(edges):
         spent = path
-        edges, path = replaceable(_star(_star(edges, True), False), name)
+        # a row per node at most, and no more edges after the first round than before it
+        small = 2 * edges.count() <= BROADCAST_ROWS
+        edges, path = replaceable(_star(_star(edges, True, small), False, small), name)
         discard(spark, spent)
     roots = edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from lectern.operators.stages import discard, materialize, replaceable, shared_dir, small_side
+from lectern.operators.stages import BROADCAST_ROWS, discard, materialize, replaceable, shared_dir, small_side
 
-__all__ = ["discard", "materialize", "replaceable", "shared_dir", "small_side", "text_batches"]
+__all__ = ["BROADCAST_ROWS", "discard", "materialize", "replaceable", "shared_dir", "small_side", "text_batches"]
 
 #: Rows of an Arrow batch of texts.
 BATCH = 1000
