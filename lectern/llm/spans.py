@@ -57,13 +57,17 @@ def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(values, start, lambda acc, n: F.struct(join(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of ``pattern`` in ``text``; empty for null."""
+def matches(text: Column, pattern: str, needs: Column | None = None) -> Column:
+    """array<struct<start, end, match, before>> of ``pattern`` in ``text``; empty for null.
+
+    ``needs`` is a cheaper condition that holds for every text with a match.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = lambda hits: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
     steps = let(found, lambda hits: F.zip_with(gaps(hits), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))))
     # most texts have no match: they are told by one test that stops at the first
-    return F.when(text.rlike(pattern), let(steps, _placed)).otherwise(F.array().cast(SPAN))
+    some = text.rlike(pattern) if needs is None else needs & text.rlike(pattern)
+    return F.when(some, let(steps, _placed)).otherwise(F.array().cast(SPAN))
 
 
 def tagged(spans: Column, kind: str, order: int) -> Column:
