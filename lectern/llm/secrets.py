@@ -87,7 +87,7 @@ def scan(docs: DataFrame, model: list[float], least: float) -> DataFrame:
     """Rows (doc_id, assign, access, hex, markov) of SPAN arrays, one per row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.select("doc_id", "text", matches(F.col("text"), ASSIGN).alias("assign"), matches(F.col("text"), "AKIA[A-Z0-9]{16,}").alias("access"), matches(F.col("text"), "[0-9a-f]{24,}").alias("hex"))
+    rows = rows.select("doc_id", "text", matches(F.col("text"), ASSIGN, F.col("text").contains(":") | F.col("text").contains("=")).alias("assign"), matches(F.col("text"), "AKIA[A-Z0-9]{16,}").alias("access"), matches(F.col("text"), "[0-9a-f]{24,}").alias("hex"))
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6))
     if math.isinf(least):
         return rows.withColumn("markov", F.array().cast(SPAN)).drop("text")
