@@ -4,8 +4,8 @@ A text's UTF-8 bytes (ASCII letters in lower case) are cut into windows of
 ``WINDOW`` bytes. A GRU runs over each window in both directions, every
 position gets language probabilities from both states, and a document's
 probabilities are the mean over all of its positions. The network is trained in
-numpy by backpropagation through time (Adam) on windows of at most ``MAX_TRAIN``
-documents, those with the smallest hash of doc_id among the learnable ones;
+numpy by backpropagation through time (Adam) on windows of at most ``PER_LANGUAGE``
+documents of each language, those with the smallest hash of doc_id among the learnable ones, so that no language is missing;
 prediction reads every whole text. State is laid out (unit, window), so a step
 is one small matrix product and a few contiguous vector operations for thousands of
 windows at once; windows are ordered by length and drop out of a step when they end.
@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.state import text_batches
 from lectern.llm.textkernel import flat
 
 WINDOW, UNITS = 128, 8
-MAX_TRAIN, SPOTS, TRAIN_WINDOW = 2500, 3, 48
+PER_LANGUAGE, SPOTS, TRAIN_WINDOW = 700, 3, 48
 _GROUP = 2048
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
@@ -178,15 +179,18 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True)))
 
 
-def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Network | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """A network trained on rows of ``docs`` (doc_id, text, lang) that are not held out and have a language."""
-    fit = held_out(docs.select("doc_id", "text", "lang")).filter("not held_out and lang is not null")
-    chosen = fit.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = fit.filter(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), "doc_id")
-    # a few windows of each: what reaches the driver is bounded by max_train
+    fit = held_out(docs.select("doc_id", "text", "lang")).filter(F.expr("not held_out and lang is not null") & F.col("text").rlike(r"\p{L}"))
+    # a few windows of each, so that no text is sorted
     width = F.length("text")
     spots = [F.substring("text", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), width - TRAIN_WINDOW)).cast("int"), F.lit(TRAIN_WINDOW)) for k in range(SPOTS)]
-    got = rows.select("doc_id", "lang", *(s.alias(f"t{k}") for k, s in enumerate(spots))).orderBy("doc_id", "lang", "t0").limit(max_train).collect()
+    fit = fit.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"), *(s.alias(f"t{k}") for k, s in enumerate(spots)))
+    # each task passes on no more than the first of a language, so a common language is no more to one task than a rare one
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "g")
+    rows = fit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    # what reaches the driver is bounded by per_language
+    got = rows.drop("h", "g", "rank").orderBy("doc_id", "lang", "t0").collect()
     if not got:
         return None
     languages = sorted({r["lang"] for r in got})
@@ -221,4 +225,4 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = held_out(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return text_batches(rows).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
