@@ -2,9 +2,10 @@
 
 ``parse`` reads a stream as found: it skips an ID3v2 tag, finds frames by their
 sync word confirmed by the next header, steps over junk between them and
-resynchronises, reads a Xing table and an ID3v1 tag, verifies the CRC-16 of
-protected frames, and gives exact durations (samples over rate) and the byte
-offset of every ``SEEK_STEP``-th frame.
+resynchronises, reads a Xing, Info or VBRI table (frames, bytes, seek places, an encoder's delay and padding) and an
+ID3v1 tag, verifies the CRC-16 of protected frames of Layers I and III (of Layer II it covers bits whose number
+depends on the allocation, and is not verified), and gives exact durations (samples over rate, delay and padding
+included) and the byte offset of every ``SEEK_STEP``-th frame.
 
 ``compose`` builds a stream from bytes: Layer III frames whose main data is
 empty (their side information is zero) and whose ancillary data, the rest of each frame, is the payload.
@@ -14,12 +15,14 @@ the payload's length stands in an ID3v2 text frame. ``payload`` reads the bytes
 
 Defined cases: null or empty bytes have no frames; a truncated last frame is
 counted apart and not played; streams without any frame give zero durations;
-equal bytes give equal columns; other columns are kept.
+equal bytes give equal columns; other columns are kept, one of the new column's name is replaced, and
+``document_digests`` takes doc_id and text alone; an empty table gives no rows; a very long text is held with its stream in one row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from lectern.llm.state import text_batches
+
 SEEK_STEP = 64
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1, layer) or (MPEG-2, layer), and sampling rates.
 BITRATES = {
@@ -159,16 +164,49 @@ def frames(data: bytes, at: int = 0) -> Iterator[tuple[int, tuple]]:
 
 
 def _is_table(data: bytes, at: int, h: tuple) -> int:
-    """Offset of a Xing or Info table in the frame, else -1."""
+    """Offset of a Xing, Info or VBRI table in the frame, else -1."""
     for skip in (_HEAD + h[5], _HEAD + _CRC + h[5]):
         if data[at + skip : at + skip + 4] in (b"Xing", b"Info"):
             return at + skip
-    return -1
+    return at + _HEAD + 32 if data[at + _HEAD + 32 : at + _HEAD + 36] == b"VBRI" else -1
+
+
+def _read_table(data: bytes, frame: int, t: int, out: dict) -> None:
+    """What the table at ``t`` of the frame at ``frame`` tells, into ``out``; fields that are cut off are left out."""
+    number = lambda a, n: int.from_bytes(data[a : a + n], "big")
+    if data[t : t + 4] == b"VBRI":
+        out["table_bytes"], out["table_frames"] = number(t + 10, 4), number(t + 14, 4)
+        entries, scale, width = number(t + 18, 2), number(t + 20, 2), number(t + 22, 2)
+        steps = [number(t + 26 + k * width, width) * scale for k in range(entries)] if 0 < width <= 4 and t + 26 + entries * width <= len(data) else []
+        out["table_seek"] = [frame + s for s in itertools.accumulate(steps)]
+        return
+    flags, t = number(t + 4, 4), t + 8
+    for bit, key in ((1, "table_frames"), (2, "table_bytes")):
+        if flags & bit:
+            out[key] = number(t, 4)
+            t += 4
+    if flags & 4:
+        # a hundred places in 256ths of the stream
+        if out["table_bytes"] and t + 100 <= len(data):
+            out["table_seek"] = [frame + x * out["table_bytes"] // 256 for x in data[t : t + 100]]
+        t += 100
+    t += 4 if flags & 8 else 0
+    if data[t : t + 4] in (b"LAME", b"Lavf", b"Lavc") and t + 24 <= len(data):
+        both = number(t + 21, 3)
+        out["delay"], out["padding"] = both >> 12, both & 0xFFF
+
+
+def _protected(head: bytes, layer: int, side: int) -> int | None:
+    """Bytes after the checksum that it covers; None for Layer II, where they depend on the bit allocation."""
+    if layer == 3:
+        return side
+    mode, bound = head[3] >> 6, (head[3] >> 4 & 3) * 4 + 4
+    return None if layer == 2 else 16 if mode == 3 else (32 + bound) // 2 if mode == 1 else 32
 
 
 def parse(data: bytes | None) -> dict:
     """Columns of one stream; see ``FIELDS``."""
-    out = dict(frames=0, samples=0, rate=0, layer=0, duration=0.0, crc_checked=0, crc_failed=0, truncated=0, junk_bytes=0, table_frames=None, table_bytes=None, tags={}, seek=[])
+    out = dict(frames=0, samples=0, rate=0, layer=0, duration=0.0, crc_checked=0, crc_failed=0, truncated=0, junk_bytes=0, table_frames=None, table_bytes=None, table_seek=[], delay=None, padding=None, tags={}, seek=[])
     if not data:
         return out
     at, out["tags"] = _id3(data)
@@ -184,16 +222,13 @@ def parse(data: bytes | None) -> dict:
         if offset + size > end:
             out["truncated"] += 1
             continue
-        if protected and layer == 3:
-            body = played[offset + 2 : offset + 4] + played[offset + 6 : offset + 6 + side]
+        covered = _protected(played[offset : offset + 4], layer, side) if protected else None
+        if covered is not None:
+            body = played[offset + 2 : offset + 4] + played[offset + 6 : offset + 6 + covered]
             out["crc_checked"] += 1
             out["crc_failed"] += crc16(body) != int.from_bytes(played[offset + 4 : offset + 6], "big")
         if not out["frames"] and out["table_frames"] is None and (t := _is_table(played, offset, h)) >= 0:
-            flags, t = int.from_bytes(played[t + 4 : t + 8], "big"), t + 8
-            for bit, key in ((1, "table_frames"), (2, "table_bytes")):
-                if flags & bit:
-                    out[key] = int.from_bytes(played[t : t + 4], "big")
-                    t += 4
+            _read_table(played, offset, t, out)
             out["table_frames"] = out["table_frames"] or 0
             continue
         if out["frames"] % SEEK_STEP == 0:
@@ -219,7 +254,7 @@ def payload(data: bytes) -> bytes:
 #: What ``parse`` tells, by Arrow type; Spark's follow from them.
 FIELDS = [
     pa.field("frames", pa.int64()), pa.field("samples", pa.int64()), pa.field("rate", pa.int32()), pa.field("layer", pa.int32()), pa.field("duration", pa.float64()), pa.field("crc_checked", pa.int64()), pa.field("crc_failed", pa.int64()),
-    pa.field("truncated", pa.int32()), pa.field("junk_bytes", pa.int64()), pa.field("table_frames", pa.int64()), pa.field("table_bytes", pa.int64()), pa.field("tags", pa.map_(pa.string(), pa.string())), pa.field("seek", pa.list_(pa.int64())),
+    pa.field("truncated", pa.int32()), pa.field("junk_bytes", pa.int64()), pa.field("table_frames", pa.int64()), pa.field("table_bytes", pa.int64()), pa.field("table_seek", pa.list_(pa.int64())), pa.field("delay", pa.int32()), pa.field("padding", pa.int32()), pa.field("tags", pa.map_(pa.string(), pa.string())), pa.field("seek", pa.list_(pa.int64())),
 ]
 
 
@@ -235,7 +270,7 @@ def parse_column(df: DataFrame, content: str = "content", into: str = "audio") -
 
     df = df.drop(into)
     names, at = df.columns, df.columns.index(content)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StructType([T.StructField(f.name, from_arrow_type(f.type)) for f in FIELDS]))]))
+    return text_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StructType([T.StructField(f.name, from_arrow_type(f.type)) for f in FIELDS]))]))
 
 
 def compose_column(df: DataFrame, data: str = "data", into: str = "content") -> DataFrame:
@@ -248,7 +283,7 @@ def compose_column(df: DataFrame, data: str = "data", into: str = "content") ->
 
     df = df.drop(into)
     names, at = df.columns, df.columns.index(data)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
+    return text_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
 def document_digests(docs: DataFrame, unit: int = 192) -> DataFrame:
@@ -269,4 +304,4 @@ def document_digests(docs: DataFrame, unit: int = 192) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return raw.select(F.col("doc_id").cast("bigint").alias("doc_id"), "raw").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return text_batches(raw.select(F.col("doc_id").cast("bigint").alias("doc_id"), "raw")).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
