@@ -15,16 +15,19 @@ puts no more than ``BLOCK`` lines, or one matrix per ``BLOCK`` lines, in a task,
 the path is the one Viterbi would find on the whole.
 
 Defined cases: rows without an id belong to no transcript and are left out; null text is one empty line; an unmarked transcript is decoded
-from its other features; equal scores go to the first state; repeated rows (the same
-id and place) are ordered by their text; an empty table gives no rows.
+from its other features; equal scores go to the first state; rows of the same
+id and place are all kept, ordered by a hash of their text; rows without a place come first, as place 0; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from lectern.llm.state import materialize
 ROLES = ("user", "assistant", "system")
 STATES = tuple((r, p) for r in ROLES for p in ("begin", "go on"))
 BLOCK = 4096
+#: Lines that are decoded side by side.
+HELD_LINES = 16_384
 #: What speaker markers suggest; fixed word lists.
 MARKERS = {
     "user": r"(?i)^[^\p{L}\p{N}]{0,4}(?:user|human|question|q|customer|me)[^\p{L}\p{N}]{0,3}[:>\]-]",
@@ -93,7 +98,7 @@ def train(lines: DataFrame) -> Model:
     turns = known.groupBy("id", "place").agg(F.max("line_no").alias("last"), F.min("state").alias("state"))
     after = turns.select("id", (F.col("place") - 1).alias("place"), F.col("state").alias("next"))
     moves = turns.join(after, ["id", "place"], "left").groupBy("state", "next", F.when(F.col("last") > 0, 1).otherwise(0).alias("long")).agg(F.count(F.lit(1)).alias("n"), F.sum("last").alias("lines")).collect()
-    start = turns.filter("place = 0").groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()
+    start = turns.groupBy("id").agg(F.min_by("state", "place").alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()
     s = len(STATES)
     counts = {"start": np.zeros(s), "move": np.zeros((s, s)), "emit": np.zeros((s, int(np.prod(SHAPES))))}
     for r in start:
@@ -143,13 +148,40 @@ def viterbi(obs: np.ndarray, entry: np.ndarray, leave: np.ndarray, model: Model)
     return np.array(path[::-1])
 
 
+def many_viterbi(obs: np.ndarray, starts: np.ndarray, entry: np.ndarray, leave: np.ndarray, model: Model) -> np.ndarray:
+    """``viterbi`` for many blocks at once: block k is ``obs[starts[k]:starts[k + 1]]``; the states of all lines."""
+    lengths = np.diff(starts)
+    order = np.argsort(-lengths, kind="stable")
+    n, top = lengths[order], int(lengths.max())
+    at = starts[:-1][order]
+    score = entry[order] + model.emit.T[obs[at]]
+    back = np.zeros((top, len(n), len(STATES)), np.int8)
+    active = np.searchsorted(-n, -np.arange(top), "left")  # blocks longer than t
+    for t in range(1, top):
+        k = int(active[t])
+        ways = score[:k, :, None] + model.move
+        back[t, :k] = ways.argmax(axis=1)
+        score[:k] = ways.max(axis=1) + model.emit.T[obs[at[:k] + t]]
+    state = (score + leave[order]).argmax(axis=1)
+    out = np.zeros(len(obs), np.int8)
+    for t in range(top - 1, -1, -1):
+        k = int(active[t])
+        out[at[:k] + t] = state[:k]
+        if t:
+            state[:k] = back[t, np.arange(k), state[:k]]
+    return out
+
+
 def decode(lines: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
-    """Rows (id, pos, role, begins) for ``lines`` (id, pos, obs); ``pos`` counts a transcript's lines from 0."""
-    lines = lines.select(F.col("id").cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"), "obs").withColumn("b", F.floor(F.col("pos") / block).cast("bigint"))
+    """``lines`` (id, pos, obs, line) with role, begins (a turn of its role), b (its block) and upto (turns begun so far in it), less obs.
+
+    ``pos`` counts a transcript's lines from 0; lines of one place are ordered by their text.
+    """
+    lines = lines.select(F.col("id").cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"), "obs", "line").withColumn("b", F.floor(F.col("pos") / block).cast("bigint"))
     s = len(STATES)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        obs = pdf.sort_values("pos")["obs"].to_numpy()
+        obs = pdf.sort_values(["pos", "h"])["obs"].to_numpy()
         first = pdf["b"].iloc[0] == 0
         # the first block's rows stand for the start, so its matrix leaves out the first move
         m = np.tile((model.start + model.emit[:, obs[0]])[None], (s, 1)) if first else block_matrix(obs[:1], model)
@@ -169,16 +201,42 @@ def decode(lines: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
             leave.append((m + leave[-1][None]).max(axis=1))
         return pd.DataFrame({"id": pdf["id"], "b": pdf["b"], "entry": [e.tolist() for e in entry], "leave": [x.tolist() for x in leave[::-1]]})
 
-    def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        states = viterbi(pdf["obs"].to_numpy(), np.array(pdf["entry"].iloc[0]), np.array(pdf["leave"].iloc[0]), model)
-        return pd.DataFrame({"id": pdf["id"], "pos": pdf["pos"], "role": [STATES[x][0] for x in states], "begins": [STATES[x][1] == "begin" for x in states]})
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks stand together and in order; the last one of a batch waits for the next batch."""
+        held: pa.Table | None = None
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+                if len(held) < HELD_LINES:
+                    continue
+            if held is None or not len(held):
+                continue
+            ids, blocks = (held.column(c).to_numpy() for c in ("id", "b"))
+            starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])]))
+            whole = len(held) if batch is None else int(starts[-1])
+            if not whole:
+                continue
+            starts = np.append(starts[starts < whole], whole)
+            part = held.slice(0, whole).combine_chunks()
+            held = held.slice(whole)
+            edge = [np.array(part.column(c).take(pa.array(starts[:-1])).to_pylist(), float).reshape(-1, s) for c in ("entry", "leave")]
+            states = many_viterbi(part.column("obs").to_numpy(), starts, *edge, model)
+            begins = states % 2 == 0
+            upto = np.cumsum(begins)
+            upto -= np.repeat(upto[starts[:-1]] - begins[starts[:-1]], np.diff(starts))
+            roles = pa.DictionaryArray.from_arrays(pa.array(states // 2, pa.int8()), pa.array(ROLES)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("id", "pos", "line", "b")), roles, pa.array(begins), pa.array(upto, pa.int64())], names=["id", "pos", "line", "b", "role", "begins", "upto"])
 
     long = lines.groupBy("id").agg(F.max("b").alias("blocks")).filter("blocks > 0").select("id")
-    edges = lines.join(long, "id", "left_semi").groupBy("id", "b").applyInPandas(reduce, "id bigint, b bigint, m array<double>").groupBy("id").applyInPandas(bounds, "id bigint, b bigint, entry array<double>, leave array<double>")
+    told = lines.select("id", "b", "pos", "obs", F.xxhash64("line").alias("h")).join(long, "id", "left_semi")
+    edges = told.groupBy("id", "b").applyInPandas(reduce, "id bigint, b bigint, m array<double>").groupBy("id").applyInPandas(bounds, "id bigint, b bigint, entry array<double>, leave array<double>")
     entry, leave = F.array(*(F.lit(float(x)) for x in model.start)), F.array(*(F.lit(0.0) for _ in range(s)))
     placed = lines.join(edges, ["id", "b"], "left").withColumn("entry", F.coalesce("entry", entry)).withColumn("leave", F.coalesce("leave", leave))
-    return placed.groupBy("id", "b").applyInPandas(paths, "id bigint, pos bigint, role string, begins boolean")
+    # work is by line and not by byte, so the partitions are not to be merged
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.withColumn("h", F.xxhash64("line")).repartition(parts, "id", "b").sortWithinPartitions("id", "b", "pos", "h")
+    return placed.select("id", "pos", "line", "b", "obs", "entry", "leave").mapInArrow(paths, "id bigint, pos bigint, line string, b bigint, role string, begins boolean, upto bigint")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -226,14 +284,12 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    lines = transcripts.select(F.col("id").cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"), "line", observed(F.col("line")).alias("obs"))
-    found = materialize(decode(lines, model), "roles")
-    found = found.withColumn("first", (F.col("begins") | (F.col("pos") == 0)).cast("int")).withColumn("b", F.floor(F.col("pos") / BLOCK))
-    sums = found.groupBy("id", "b").agg(F.sum("first").alias("s"))
-    before = sums.select("id", "b", (F.sum("s").over(Window.partitionBy("id").orderBy("b")) - F.col("s")).alias("before"))
-    upto = F.sum("first").over(Window.partitionBy("id", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = found.withColumn("upto", upto).join(before, ["id", "b"]).withColumn("turn", F.col("before") + F.col("upto") - 1)
-    held = lines.join(numbered.select("id", "pos", "turn", "role"), ["id", "pos"])
-    turns = held.groupBy("id", "turn", "role").agg(F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: F.when(x["pos"] == F.col("first_pos"), unmarked(x["line"])).otherwise(x["line"])), "\n")
+    lines = transcripts.select("id", F.coalesce(F.col("pos"), F.lit(0)).alias("pos"), F.coalesce(F.col("line"), F.lit("")).alias("line")).filter("id is not null")
+    found = materialize(decode(lines.withColumn("obs", observed(F.col("line"))), model), "roles")
+    # turns of earlier blocks, for transcripts that have some
+    sums = found.groupBy("id", "b").agg(F.max("upto").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("id").orderBy("b")) - F.col("s")).filter("before > 0").select("id", "b", "before")
+    held = found.join(before, ["id", "b"], "left").withColumn("turn", F.coalesce("before", F.lit(0)) + F.col("upto") - 1)
+    turns = held.groupBy("id", "turn", "role").agg(F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("line").alias("h"), "line"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x, i: F.when(i == 0, unmarked(x["line"])).otherwise(x["line"])), "\n")
     return turns.select("id", "turn", "first_pos", "role", text.alias("text"), render(F.col("role"), text).alias("rendered"))
