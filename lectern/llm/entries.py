@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, media, minhash, mixing, pieces, pii, quality, secrets, transcripts, vectors
+from lectern.llm import decontamination, interactions, language, media, minhash, mixing, pieces, pii, quality, resampling, secrets, transcripts, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "restored")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secret_scan, op2_embedding_near_dedup, op3_pii, op4_chat_formatting, op5_minhash_near_dedup, op6_language_id, op7_mix_sources, op8_media_columns, op9_quality_classifier, op10_sentencepiece)
+    every = (
+        op1_secret_scan,
+        op2_embedding_near_dedup,
+        op3_pii,
+        op4_chat_formatting,
+        op5_minhash_near_dedup,
+        op6_language_id,
+        op7_mix_sources,
+        op8_media_columns,
+        op9_quality_classifier,
+        op10_sentencepiece,
+        op11_importance_resampling,
+        op12_benchmark_decontamination,
+        op13_filter_interactions,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -108,5 +136,94 @@ FROM run
 """
 
 
+#: The words of operators 11 and 12: A-Z alone are lower-cased.
+FOLDED_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# CRC-32 in SQL: a byte comes in, then eight shifts, each with the polynomial when a 1 falls out
+_SHIFTS = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], LAMBDA d, z: xor(d // 2, (d % 2) * 3988292384))"
+
+OP11_SQL = f"""
+WITH corpus AS (SELECT row_number() OVER () AS no, doc_id, {FOLDED_WORDS} AS w FROM documents),
+wanted AS (SELECT -row_number() OVER () AS no, {FOLDED_WORDS} AS w FROM benchmark),
+texts AS (SELECT no, w FROM corpus UNION ALL SELECT no, w FROM wanted),
+runs AS (
+  SELECT no, array_to_string(w[i : i + k - 1], ' ') AS feature
+  FROM (SELECT no, w, unnest(range(1, len(w) + 1)) AS i FROM texts), range(1, 4) AS r(k)
+  WHERE i + k - 1 <= len(w)),
+counted AS (SELECT no, feature, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT feature, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, len(h) // 2)] AS b
+  FROM (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM counted))),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, b), LAMBDA c, b: {_SHIFTS}), 4294967295) % 10000 AS bucket FROM bytes),
+held AS (SELECT no, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (feature) GROUP BY ALL),
+sides AS (
+  SELECT bucket, coalesce(sum(n) FILTER (no > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (no < 0), 0)::DOUBLE AS t FROM held GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sides),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM sides, totals),
+weights AS (SELECT no, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM held JOIN gains USING (bucket) WHERE no > 0 GROUP BY no),
+scored AS (
+  SELECT c.doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || c.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM corpus c LEFT JOIN weights USING (no)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END::BIGINT AS rank FROM ranked
+"""
+
+OP12_SQL = f"""
+WITH words AS (SELECT row_number() OVER () AS no, doc_id, {FOLDED_WORDS} AS w FROM documents),
+tests AS (SELECT item_id::VARCHAR AS item_id, {FOLDED_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS run
+  FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM tests WHERE len(w) > 0)),
+places AS (
+  SELECT no, i, size, array_to_string(w[i : i + size - 1], ' ') AS run
+  FROM (SELECT no, w, unnest(range(1, len(w) + 1)) AS i FROM words), (SELECT DISTINCT size FROM windows)
+  WHERE i + size - 1 <= len(w)),
+met AS (SELECT p.no, p.i, p.size, t.item_id FROM places p JOIN windows t USING (size, run)),
+hits AS (SELECT no, count(DISTINCT place) AS n_hit FROM (SELECT no, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT no, i, size FROM met)) GROUP BY no),
+items AS (SELECT no, list_sort(list(DISTINCT item_id)) AS items FROM met GROUP BY no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (no) LEFT JOIN items USING (no)
+"""
+
+# every order is walked step by step; the shares are summed over those walks
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+measured AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, min(doc_id) OVER (PARTITION BY text) AS least
+  FROM texts),
+judged AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * upper > 2 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS mask
+  FROM measured),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged LEFT JOIN told USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, unnest([1, 2, 3, 4, 5]) AS step,
+         unnest([0, a.bit, a.bit + b.bit, a.bit + b.bit + c.bit, a.bit + b.bit + c.bit + d.bit]) AS before, unnest([a.bit, b.bit, c.bit, d.bit, e.bit]) AS bit
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+walked AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, orders GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM walked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL}
+    return {"op7_mix_sources": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_benchmark_decontamination": OP12_SQL, "op13_filter_interactions": OP13_SQL}
