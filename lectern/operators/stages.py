@@ -11,12 +11,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few 8-byte columns is small enough to broadcast (16 MB at 32 bytes).
 BROADCAST_ROWS = 500_000
+#: What ``scratch`` blocks that are open hold.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,8 @@ def replaceable(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``materialize``, with the path for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -57,3 +63,16 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     is left to a shuffle.
     """
     return F.broadcast(df) if df.count() <= limit else df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that are written within the block at its end; a path taken off the list stays."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN[:] = [held for held in _OPEN if held is not paths]
+        for path in paths:
+            discard(spark, path)
