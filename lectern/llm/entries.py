@@ -104,9 +104,9 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
-sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size, coalesce(sum(size) FILTER (size >= 500), 0)::BIGINT AS long_size FROM sized GROUP BY source),
 ranked AS (
-  SELECT source, source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r,
+  SELECT source, source_size, long_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r,
          (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight,
          (source_size * 3)::DOUBLE AS cap
   FROM sums),
@@ -117,17 +117,20 @@ levels AS (
 spent AS (
   SELECT *, min(CASE WHEN level * weight <= cap THEN cap / weight END) OVER () AS edge FROM levels),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, long_size,
          CASE WHEN cap / weight < edge THEN cap ELSE (SELECT min_by(level, (cap / weight, r)) FROM spent WHERE level * weight <= cap) * weight END AS target
   FROM spent),
 goals AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
 shares AS (
-  SELECT source, source_size, target, floor(rate + 1e-12) AS whole, greatest(0, rate - floor(rate + 1e-12)) AS share FROM goals),
+  SELECT source, source_size, long_size, target, floor(rate + 1e-12) AS whole, greatest(0, rate - floor(rate + 1e-12)) AS share FROM goals),
+moves AS (SELECT *, source_size - long_size AS short_size, least(share * long_size, (1 - share) * (source_size - long_size)) / 2 AS moved FROM shares),
+chances AS (
+  SELECT z.doc_id, z.size, z.u, z.source, s.source_size, s.target, s.whole, s.share,
+         CASE WHEN z.size >= 500 THEN s.share - moved / greatest(long_size, 1) ELSE s.share + moved / greatest(short_size, 1) END AS p
+  FROM sized z JOIN moves s ON z.source IS NOT DISTINCT FROM s.source),
 placed AS (
-  SELECT z.doc_id, z.size, s.source_size, s.target, s.whole, s.share, s.share * s.source_size AS words, z.source,
-         CASE WHEN s.share > 0 THEN (z.u / (1 - z.u)) / (s.share / (1 - s.share)) END AS ratio
-  FROM sized z JOIN shares s ON z.source IS NOT DISTINCT FROM s.source),
+  SELECT *, share * source_size AS words, CASE WHEN share > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS ratio FROM chances),
 run AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ratio, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
 SELECT doc_id, size, source_size, target,

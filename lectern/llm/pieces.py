@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best segmentation maximises the sum of piece scores. The search reads its
-text in chunks and keeps a window of at most the longest piece's length of
-partial results beyond what is certain. Whenever all backpointer paths that can still win pass through
-one boundary, the ids up to it are final and leave the window, so a text of any
-length is searched in bounded memory. No piece spans the start of a run of
-word markers or a character that no longer piece holds, so paths always
-meet there; what the search gave between two such boundaries is remembered per task
-(``MEMORY`` entries of up to ``REMEMBERED`` characters at most; more is searched again, never dropped).
+The best segmentation maximises the sum of piece scores. The search goes through a text from left to
+right and keeps, of all that lies before, the best scores of as many boundaries as the longest piece has characters: no piece
+reaches further back. Every ``CHUNK`` characters the boundaries from which a piece goes on beyond are the
+ends of the paths that can still win; these are followed back until they meet in one boundary, and the ids up to it are final and leave the window.
+
+Texts are searched side by side, one in each of up to ``LANES`` lanes of numpy arrays: a step takes one
+character of every lane, a lane whose text ends takes the next text. Pieces are found for a chunk of all lanes at once by
+walking a prefix tree, whose edges stand in one hash table. A lane whose paths do not meet within ``PENDING`` characters
+(a long run of one character), and the last ``FEW`` lanes, go on from their last final boundary in ``stream``, the same search for one text.
 
 Scores are whole numbers, in units of 1 / ``UNIT`` nats, so sums are exact and do not depend on where
-a search began: the ids are the same whatever the chunks and whatever is remembered.
+a search began: the ids are the same whatever the chunks and lanes.
 Of segmentations with equal scores the one whose last piece is longest wins, and so on
 backwards from every boundary.
 
@@ -25,27 +26,24 @@ score and becomes its UTF-8 bytes, so decoding restores every text exactly.
 Defined cases: a null text gives null ids and decodes to null; an empty text
 gives no ids; other columns are kept, one that has the new column's name is replaced; rows are
 independent of each other, so repeated rows get equal ids; a very long text needs memory for itself
-and its ids, the search only for its window; an empty table gives no rows.
+and its ids, the search only for what is not final yet; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.state import text_batches
-
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMORY = 150_000
-#: Rows of a result batch.
-ROWS = 200
-REMEMBERED, STEP = 64, 64
+#: Stands for a word marker of the text itself; no text that is valid UTF-8 holds it.
+OWN_MARK = "\ud800"
+#: Characters of the texts that are searched side by side, and of a chunk; lanes; see the module's text.
+GROUP, CHUNK, LANES, PENDING, FEW = 1 << 23, 32, 512, 1024, 40
 ZIPF, UNIT = 200, 1_000_000
 
 
@@ -69,10 +67,6 @@ class Pieces:
         self.ids = {self.pieces[i]: (round(x * UNIT), i) for i, x in zip(normal, scores, strict=True)}
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min((s for s, _ in self.ids.values()), default=0) - 10 * UNIT
-        # characters that stand in no piece of two or more: boundaries lie on both sides of them
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        spans = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.cut = re.compile(".+", re.S) if spans else re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in joined else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.root: dict[str, tuple] = {}  # prefix tree: character -> (children, score, id), id -1 where no piece ends
         for piece, (score, i) in self.ids.items():
             node = self.root
@@ -81,7 +75,58 @@ class Pieces:
             node[piece[-1]] = (node.get(piece[-1], ({},))[0], score, i)
         plain = {i: self.pieces[i].replace(MARK, " ").encode() for _, i in self.ids.values()}
         self.spelt = [bytes([self.bytes[i]]) if i in self.bytes else plain.get(i, b"") for i in range(len(self.pieces))]
-        self.memory: dict[str, array] = {}
+        self.met = 0  # how often paths met and ids became final before their text ended
+        self._number()
+
+    def _number(self) -> None:
+        """The prefix tree as arrays: its edges (node, class of character) in a hash table, and of each node the score and id of its piece."""
+        classes = {c: k for k, c in enumerate(sorted({c for p in self.ids for c in p}), 1)}
+        self.classes, self.class_of = len(classes) + 1, np.zeros(0x110000, dtype=np.int16 if len(classes) < 1 << 15 else np.int32)
+        self.class_of[[ord(c) for c in classes]] = list(classes.values())
+        edges: dict[int, int] = {}
+        held: list[tuple[int, int]] = [(0, -1)]
+        for piece, (score, i) in self.ids.items():
+            node = 0
+            for char in piece:
+                node = edges.setdefault(node * self.classes + classes[char], len(held))
+                if node == len(held):
+                    held.append((0, -1))
+            held[node] = (score, i)
+        self.node_score, self.node_id = (np.array(x, dtype=np.int64) for x in zip(*held, strict=True))
+        bits = max(4, (4 * len(edges)).bit_length())
+        self.shift, slots = np.uint64(64 - bits), 1 << bits
+        kind = np.int32 if len(held) * self.classes < 1 << 31 else np.int64  # a table that fits a cache
+        self.slot_key, self.slot_node = np.full(slots, -1, dtype=kind), np.zeros(slots, dtype=np.int32)
+        keys = np.array(list(edges), dtype=kind)
+        nodes, at = np.array(list(edges.values()), dtype=np.int32), self._slot(keys)
+        while len(keys):  # of those that want a slot the first gets it, if it is free; the others try the next one
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            wanted, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.slot_key[wanted], self.slot_node[wanted] = keys[taken], nodes[taken]
+            left = np.ones(len(keys), dtype=bool)
+            left[taken] = False
+            keys, nodes, at = keys[left], nodes[left], (at[left] + 1) % slots
+        every = np.arange(self.classes)
+        self.first = self._children(np.zeros(self.classes, dtype=np.int32), every)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _children(self, nodes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The nodes that ``classes`` lead to, -1 where there is none."""
+        keys = nodes.astype(self.slot_key.dtype) * self.classes + classes
+        at = self._slot(keys)
+        found = self.slot_key[at]
+        out = np.where(found == keys, self.slot_node[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slot_key)
+            found = self.slot_key[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.slot_node[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
     def _extend(self, window: str, best: list[int], back: list[int], which: list[int], at: int, stop: int) -> None:
         """Extend the starts ``at`` to ``stop`` of the window by every piece that begins there."""
@@ -129,6 +174,7 @@ class Pieces:
                 ends.discard(last)
                 ends.add(back[last])
             meet = ends.pop()
+            self.met += meet > 0
             yield from self._path(window, back, which, meet)
             window, best, at = window[meet:], best[meet:], at - meet
             back, which = [x - meet for x in back[meet:]], which[meet:]
@@ -140,25 +186,23 @@ class Pieces:
             if which[end] >= 0:
                 out.append(which[end])
             else:
-                out.extend(self.byte_ids[b] for b in reversed(window[start:end].encode()))
+                out.extend(self.byte_ids[b] for b in reversed(window[start:end].replace(OWN_MARK, MARK).encode()))
             end = start
         return out[::-1]
 
-    def encode(self, text: str) -> array:
-        """Ids of one text: of its parts between sure boundaries, each streamed in chunks of ``STEP`` characters."""
-        out = array("i")
-        memory, step = self.memory, STEP
-        for k, plain in enumerate(text.split(MARK) if text else ()):
-            if k:  # a marker in the text itself is spelt in bytes
-                out.extend(self.byte_ids[b] for b in MARK.encode())
-            for part in self.cut.findall(("" if k else MARK) + plain.replace(" ", MARK)):
-                ids = memory.get(part)
-                if ids is None:
-                    ids = array("i", self.stream(part[k : k + step] for k in range(0, len(part), step)))
-                    if len(part) <= REMEMBERED and len(memory) < MEMORY:
-                        memory[part] = ids
-                out.extend(ids)
-        return out
+    def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, one after the other, and where each text's begin (and the last one's end)."""
+        marked = [MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK) if t else "" for t in texts]
+        order = np.argsort([-len(m) for m in marked], kind="stable")  # long ones first, so that lanes end together
+        waiting = [int(k) for k in order if marked[k]]
+        found = Found(len(texts))
+        if waiting:
+            Lanes(self, marked, waiting, found).run()
+        return found.ids(self)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one text."""
+        return self.search([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids."""
@@ -166,6 +210,180 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+class Found:
+    """Pieces as they become final: text, boundary at their end, id; -1 - c for a character c that is in no piece."""
+
+    def __init__(self, texts: int) -> None:
+        self.texts, self.parts = texts, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def ids(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        text, end, which = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort((text << 40) | end)
+        text, which = text[order], which[order]
+        many = np.ones(len(which), dtype=np.int64)
+        odd = np.flatnonzero(which < 0)
+        codes, of = np.unique(-1 - which[odd], return_inverse=True)
+        spelt = [[pieces.byte_ids[b] for b in chr(c).replace(OWN_MARK, MARK).encode()] for c in codes.tolist()]
+        many[odd] = np.array([len(x) for x in spelt], dtype=np.int64)[of]
+        out = np.repeat(which, many)
+        if len(odd):
+            out[np.repeat(which < 0, many)] = np.concatenate([np.array(spelt[k], dtype=np.int64) for k in of.tolist()])
+        bounds = np.zeros(self.texts + 1, dtype=np.int64)
+        np.cumsum(np.bincount(text, weights=many, minlength=self.texts).astype(np.int64), out=bounds[1:])
+        return out.astype(np.int32), bounds
+
+
+class Lanes:
+    """The search over many texts at once; column k of every array is lane k.
+
+    Scores are kept times ``scale``; the rest below is the length of the last piece less 1, so of equal scores the longer piece is the greater.
+    """
+
+    NONE = -(1 << 60)
+
+    def __init__(self, pieces: Pieces, texts: list[str], waiting: list[int], found: Found) -> None:
+        self.pieces, self.texts, self.waiting, self.found = pieces, texts, waiting[::-1], found
+        self.reach = pieces.longest
+        self.scale = 1 << max(1, (self.reach - 1).bit_length())
+        codes = [np.frombuffer(texts[k].encode("utf-32-le", "surrogatepass"), dtype=np.int32) for k in waiting]
+        gap, sizes = np.zeros(1, dtype=np.int32), [len(c) + 1 for c in codes]  # a 0 ends each text, and is in no piece
+        self.begin = dict(zip(waiting, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True))
+        self.codes = np.concatenate([x for c in codes for x in (c, gap)] + [np.zeros(CHUNK + self.reach, dtype=np.int32)])
+        self.kinds = self.pieces.class_of[self.codes]
+        self.kinds[self.codes == 0] = 0
+        n = min(LANES, len(waiting))
+        self.clock = self.base = 0  # boundaries passed, and the one before the first kept row
+        self.text, self.at, self.end, self.done, self.first = (np.zeros(n, dtype=np.int64) for _ in range(5))
+        self.best = np.full((self.reach + CHUNK, n), self.NONE, dtype=np.int64)
+        self.score = np.full((CHUNK + self.reach + 1, self.reach, n), self.NONE, dtype=np.int64)
+        self.which = np.zeros(self.score.shape, dtype=np.int32)
+        self.back, self.last = np.zeros((0, n), dtype=np.int64), np.zeros((0, n), dtype=np.int32)
+        self.lane: np.ndarray | None = None
+        self._fill(np.arange(n))
+
+    def _fill(self, lanes: np.ndarray) -> None:
+        """Begin the next texts in ``lanes``."""
+        reach = self.reach
+        for lane in lanes.tolist():
+            text = self.waiting.pop()
+            self.text[lane], self.at[lane] = text, self.begin[text]
+            self.end[lane] = self.clock + len(self.texts[text])
+        self.done[lanes] = self.first[lanes] = self.clock
+        self.best[:, lanes] = self.NONE
+        self.best[reach - 1, lanes] = 0
+        self.score[: reach + 1, :, lanes] = self.NONE
+
+    def _keep(self, lanes: np.ndarray) -> None:
+        for name in ("text", "at", "end", "done", "first", "best", "score", "which", "back", "last"):
+            setattr(self, name, np.ascontiguousarray(getattr(self, name)[..., lanes]))
+
+    def run(self) -> None:
+        while len(self.text):
+            live = self._match()
+            self._step()
+            self._settle(live)
+            over = self.end <= self.clock
+            refilled = np.flatnonzero(over)[: len(self.waiting)]
+            self._fill(refilled)
+            over[refilled] = False
+            aside = ~over & (self.clock - self.done > PENDING)
+            if not self.waiting and np.count_nonzero(~over) <= FEW:
+                aside = ~over
+            for lane in np.flatnonzero(aside).tolist():
+                self._aside(lane)
+            if over.any() or aside.any():
+                self._keep(np.flatnonzero(~over & ~aside))
+
+    def _match(self) -> np.ndarray:
+        """Enter the pieces that begin in the next chunk by their ends; which boundaries a piece leaves that ends beyond it."""
+        pieces, reach, n = self.pieces, self.reach, len(self.text)
+        if self.lane is None or len(self.lane) != CHUNK * n:
+            row, self.lane = (x.ravel().astype(np.int32) for x in np.indices((CHUNK, n)))
+            # where a piece of one character that begins at a place is entered; a longer one is a row lower and a column to the left for each more
+            self.row, self.slot = row, ((row + 1) * reach + (reach - 1)) * n + self.lane
+        place = (self.at + np.arange(CHUNK)[:, None]).ravel()
+        live = np.zeros((CHUNK + 1, n), dtype=bool)
+        live[CHUNK] = True
+        score, which = self.score.reshape(-1), self.which.reshape(-1)
+        node = pieces.first[self.kinds[place]]
+        going = np.flatnonzero(node >= 0)
+        single = np.zeros(CHUNK * n, dtype=bool)
+        single[going] = pieces.node_id[node[going]] >= 0
+        odd = np.flatnonzero(~single)
+        score[self.slot[odd]], which[self.slot[odd]] = pieces.unknown * self.scale, -1 - self.codes[place[odd]]
+        node, size = node[going], 1
+        while True:
+            whole = np.flatnonzero(pieces.node_id[node] >= 0)
+            hit, at = going[whole], node[whole]
+            slot = self.slot[hit] + (size - 1) * (reach - 1) * n
+            score[slot], which[slot] = pieces.node_score[at] * self.scale + (size - 1), pieces.node_id[at]
+            if size > 1:
+                beyond = hit[self.row[hit] + size > CHUNK]
+                live.reshape(-1)[beyond] = True
+            size += 1
+            if size > reach or not len(going):
+                return live
+            node = pieces._children(node, self.kinds[place[going] + (size - 1)])
+            alive = np.flatnonzero(node >= 0)
+            going, node = going[alive], node[alive]
+
+    def _step(self) -> None:
+        """Go through the chunk: the best way to every boundary."""
+        reach, n = self.reach, len(self.text)
+        sums, top, length = np.empty((reach, n), dtype=np.int64), np.empty(n, dtype=np.int64), np.empty((CHUNK, n), dtype=np.int64)
+        for k in range(CHUNK):
+            np.add(self.best[k : k + reach], self.score[k + 1], out=sums)
+            np.maximum.reduce(sums, axis=0, out=top)
+            np.bitwise_and(top, self.scale - 1, out=length[k])
+            np.subtract(top, length[k], out=self.best[k + reach])
+        last = np.take_along_axis(self.which[1 : CHUNK + 1], (reach - 1 - length)[:, None], axis=1)[:, 0]
+        self.back, self.last = np.concatenate([self.back, length + 1]), np.concatenate([self.last, last])
+        self.best[:reach] = self.best[CHUNK:].copy()
+        self.score[1 : reach + 1] = self.score[CHUNK + 1 :].copy()
+        self.which[1 : reach + 1] = self.which[CHUNK + 1 :].copy()
+        self.score[reach + 1 :] = self.NONE
+        self.at += CHUNK
+        self.clock += CHUNK
+
+    def _settle(self, live: np.ndarray) -> None:
+        """Follow the paths that can still win back to where they meet; what lies before is final."""
+        n, first = len(self.text), self.clock - CHUNK
+        rows = np.arange(max(0, CHUNK - self.reach + 1), CHUNK + 1)
+        ends = np.where(live[rows], first + rows[:, None], self.clock)
+        over = self.end <= self.clock
+        ends[:, over] = self.end[over]
+        ends = np.maximum(ends, self.done)
+        open_ = np.flatnonzero(ends.max(axis=0) > ends.min(axis=0))
+        while len(open_):
+            part = ends[:, open_]
+            top = part.max(axis=0)
+            start = top - self.back[top - self.base - 1, open_]
+            part = np.where(part == top, start, part)
+            ends[:, open_] = part
+            open_ = open_[part.max(axis=0) > part.min(axis=0)]
+        meet = ends[0]
+        lanes = np.flatnonzero(meet > self.done)
+        self.pieces.met += int(np.count_nonzero(~over[lanes]))
+        at, kept = meet[lanes], []
+        while len(lanes):
+            row = at - self.base - 1
+            kept.append((self.text[lanes], at - self.first[lanes], self.last[row, lanes]))
+            at = at - self.back[row, lanes]
+            more = at > self.done[lanes]
+            lanes, at = lanes[more], at[more]
+        self.found.parts += [tuple(np.concatenate(x) for x in zip(*kept, strict=True))] if kept else []
+        self.done = np.maximum(self.done, meet)
+        waste = int(self.done.min(initial=self.clock)) - self.base if n else 0
+        self.back, self.last, self.base = self.back[waste:], self.last[waste:], self.base + waste
+
+    def _aside(self, lane: int) -> None:
+        """Search what is not final of one lane's text by itself."""
+        text, gone = int(self.text[lane]), int(self.done[lane] - self.first[lane])
+        rest = self.texts[text][gone:]
+        ids = np.fromiter(self.pieces.stream(rest[k : k + CHUNK] for k in range(0, len(rest), CHUNK)), dtype=np.int64)
+        self.found.parts.append((np.full(len(ids), text), gone + 1 + np.arange(len(ids)), ids))
+
+
 def _model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -184,22 +402,27 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                values, ends, whole, missing = array("i"), array("i", [0]), [], []
-                for t in part.column(at):
-                    t = t.as_py()
-                    one = array("i") if t is None else pieces.encode(t)
-                    values.extend(one)
-                    ends.append(len(values))
-                    missing.append(t is None)
-                    if restored:
-                        whole.append(t is None or pieces.decode(one) == t)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=pa.array(missing))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *([pa.array(whole)] if restored else [])], names=[*names, *new])
+            for part in _groups(batch, at):
+                texts = part.column(at).to_pylist()
+                values, bounds = pieces.search([t or "" for t in texts])
+                missing = pa.array([t is None for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()), mask=missing)
+                columns = [*part.columns, lists]
+                if restored:
+                    columns.append(pa.array([t is None or pieces.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
     out = _with(docs, ids, "array<int>")
-    return text_batches(docs).mapInArrow(run, out.add(restored, "boolean") if restored else out)
+    return docs.mapInArrow(run, out.add(restored, "boolean") if restored else out)
+
+
+def _groups(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``GROUP`` bytes together; a longer text is one by itself."""
+    sizes, first = np.cumsum([0, *((len(t.as_buffer()) if t.is_valid else 0) for t in batch.column(column))]), 0
+    while first < batch.num_rows:
+        stop = max(first + 1, int(np.searchsorted(sizes, sizes[first] + GROUP, "right")) - 1)
+        yield batch.slice(first, stop - first)
+        first = stop
 
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -211,8 +434,8 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 got = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], names=[*names, text])
 

@@ -1,23 +1,7 @@
-"""Cutting lineage through the folder that every executor can read, and batches of texts for Python."""
+"""Cutting lineage through the folder that every executor can read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from lectern.operators.stages import BROADCAST_ROWS, discard, materialize, replaceable, scratch, shared_dir, small_side
 
-from lectern.operators.stages import BROADCAST_ROWS, discard, materialize, replaceable, shared_dir, small_side
-
-__all__ = ["BROADCAST_ROWS", "discard", "materialize", "replaceable", "shared_dir", "small_side", "text_batches"]
-
-#: Rows of an Arrow batch of texts.
-BATCH = 1000
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session sends rows to Python in batches of ``BATCH`` at most: a batch of long texts is held several times over.
-
-    Only the default is changed; a setting of the user's own stands.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(BATCH))
-    return df
+__all__ = ["BROADCAST_ROWS", "discard", "materialize", "replaceable", "scratch", "shared_dir", "small_side"]
