@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of ``documents``. Models are fitted on the stage's own input.
 
 Defined cases, for every stage: rows are told apart as rows, so rows without a doc_id and several rows of one
-doc_id each have their own decision (see the stages for equal rows); columns of any other name come through as
+doc_id each have their own decision (see the stages for equal rows; near-dedup keeps one of those that repeat a doc_id with its text); columns of any other name come through as
 they are, whatever a stage computes; an empty table gives an empty table; texts are processed whole.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash, mixing, pieces, pii, quality
-from lectern.llm.state import materialize, small_side
+from lectern.llm.state import discard, materialize, replaceable, scratch, small_side
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +31,18 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id; all rows without a doc_id."""
-    # what goes has a doc_id, so rows without one meet nothing here
-    gone = minhash.near_duplicates(docs, hashed=True).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
-    gone = small_side(materialize(gone, "gone"))
-    return docs.join(gone, (F.col("doc_id").cast("bigint") == F.col("gone_id")) & (minhash.text_hash() == F.col("gone_h")), "left_anti")
+    """One document of each group of near duplicates, the one with the smallest doc_id, and one row of those that repeat it.
+
+    Rows without a doc_id are documents too, numbered by their text after all others, so equal texts are one of them.
+    Of rows that repeat a doc_id with its text the one of the least hash stays, also of texts without words.
+    """
+    by_text = F.shiftrightunsigned(minhash.text_hash(), 2) + F.lit(1 << 62)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), by_text).alias("doc_id"), minhash.text_hash().alias("h"), "text", F.struct("*").alias("row"))
+    told = minhash.near_duplicates(rows.select("doc_id", "text"), hashed=True)
+    marks = told.groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("not kept or times > 1")
+    marked = rows.drop("text").join(small_side(materialize(marks, "marks")), ["doc_id", "h"], "left")
+    once = marked.filter("kept").groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return marked.filter("kept is null").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +66,27 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "restored")
 
 
-STAGES = [("quality classifier", _quality), ("MinHash near-dedup", _near_duplicates), ("PII", _personal_data), ("mixing sources", _mix), ("SentencePiece encoding", _encode)]
+STAGES = [
+    ("quality classifier", _quality),
+    ("MinHash near-dedup", _near_duplicates),
+    ("PII", _personal_data),
+    ("mixing sources", _mix),
+    ("SentencePiece encoding", _encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; every other stage's rows are written once, and read by the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over ``documents``; every other stage's rows are written once, and read by the next one.
+
+    What a stage wrote for itself, and the rows it read, are deleted when its own rows are there.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        with scratch(spark) as tables:
+            docs, path = replaceable(stage(spark, docs, sf_dir), "stage")
+            tables.remove(path)
+        if read:
+            discard(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
