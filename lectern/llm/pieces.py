@@ -283,16 +283,17 @@ class Lanes:
             self._step()
             self._settle(live)
             over = self.end <= self.clock
-            refilled = np.flatnonzero(over)[: len(self.waiting)]
-            self._fill(refilled)
-            over[refilled] = False
             aside = ~over & (self.clock - self.done > PENDING)
             if not self.waiting and np.count_nonzero(~over) <= FEW:
                 aside = ~over
             for lane in np.flatnonzero(aside).tolist():
                 self._aside(lane)
-            if over.any() or aside.any():
-                self._keep(np.flatnonzero(~over & ~aside))
+            over |= aside
+            refilled = np.flatnonzero(over)[: len(self.waiting)]
+            self._fill(refilled)
+            over[refilled] = False
+            if over.any():
+                self._keep(np.flatnonzero(~over))
 
     def _match(self) -> np.ndarray:
         """Enter the pieces that begin in the next chunk by their ends; which boundaries a piece leaves that ends beyond it."""
