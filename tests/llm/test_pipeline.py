@@ -71,11 +71,35 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string")
 
 
-def test_near_dedup_keeps_null_ids_and_other_texts(spark):
+def test_near_dedup_leaves_one_of_repeated_rows_and_of_rows_without_ids(spark):
     docs = odd_docs(spark)
     after = corpus_pipeline._near_duplicates(spark, docs, FOLDER)
-    gone = Counter(map(tuple, docs.collect())) - Counter(map(tuple, after.collect()))
-    assert after.columns == docs.columns and [(r[0], len(r[1].split()), n) for r, n in gone.items()] == [(100, 41, 1)]
+    left = Counter((r.doc_id, r.text) for r in after.collect())
+    asked = {(r.doc_id, r.text) for r in docs.collect()} - {(100, " ".join(f"r0x{i}" for i in range(41)))}
+    assert after.columns == docs.columns and left == Counter(asked)
+    again = corpus_pipeline._near_duplicates(spark, docs.repartition(5), FOLDER)
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, after.collect()))
+
+
+def test_near_dedup_of_rows_without_ids_against_others(spark):
+    """A text without a doc_id leaves when a document has it or nearly has it; empty texts repeat nothing but themselves."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text, "a"), (7, text, "b"), (None, text, "a"), (None, text + " more", "a"), (None, "alone here", "c"), (None, "alone here", "d"), (8, "", "a"), (9, "", "a"), (9, "", "a"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline._near_duplicates(spark, docs, FOLDER).collect())
+    assert left == Counter([(7, text), (None, "alone here"), (8, ""), (9, ""), (None, None)])
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from pathlib import Path
+
+    from lectern.llm.state import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before, batch = set(folder.iterdir()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = corpus_pipeline.run(spark, FOLDER)
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["stage"]
+    assert rows.count() and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
 
 
 def test_mix_takes_what_the_operator_says_of_null_and_repeated_ids(spark):

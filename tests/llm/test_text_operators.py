@@ -254,6 +254,41 @@ def test_piece_ids_do_not_depend_on_chunks(vocabulary):
             assert ids == best_ids(vocabulary, marked)
 
 
+@pytest.mark.parametrize("lanes, few, pending", [(512, 0, 1024), (3, 0, 40), (3, 2, 1024), (1, 0, 64)])
+def test_lanes_give_the_ids_of_the_plain_stream(vocabulary, monkeypatch, lanes, few, pending):
+    """However texts share the lanes, end, begin and leave them: runs without a meeting point, characters of no piece, empty texts between."""
+    import pyarrow.parquet as pq
+
+    for name, value in (("LANES", lanes), ("FEW", few), ("PENDING", pending)):
+        monkeypatch.setattr(pieces, name, value)
+    texts = pq.read_table(DOCS, columns=["text"]).column(0).to_pylist()[: 200 if lanes > 9 else 12]
+    texts = [*TEXTS, *((t or "")[: None if lanes > 9 else 700] for t in texts), "-" * 400 + "x", "é" * 33 + "中" * 40, "z", "", "ab" * 300]
+    ids, bounds = vocabulary.search(texts)
+    assert len(bounds) == len(texts) + 1 and vocabulary.search([])[1].tolist() == [0]
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        marked = pieces.MARK + text.replace(pieces.MARK, pieces.OWN_MARK).replace(" ", pieces.MARK)
+        assert ids[a:b].tolist() == (list(vocabulary.stream([marked])) if text else [])
+        assert vocabulary.decode(ids[a:b].tolist()) == text
+        if len(text) < 500 and pieces.MARK not in text and text:
+            assert ids[a:b].tolist() == best_ids(vocabulary, marked)
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_every_longer_text_commits_before_its_end(vocabulary, monkeypatch, few):
+    """The window is left behind while the text goes on, in lanes and in the stream of one text."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(pieces, "FEW", few)
+    texts = [t for t in pq.read_table(DOCS, columns=["text"]).column(0).to_pylist() if t and len(t) > 2 * pieces.CHUNK]
+    for text in texts[:60]:
+        before = vocabulary.met
+        vocabulary.search([text])
+        assert vocabulary.met - before >= len(text) // (8 * pieces.CHUNK) + 1
+    many = vocabulary.met
+    vocabulary.search(texts)
+    assert vocabulary.met - many > sum(map(len, texts)) // (4 * pieces.CHUNK)
+
+
 def test_pieces_are_near_the_library_merging(vocabulary):
     import pyarrow.parquet as pq
     import sentencepiece
@@ -484,6 +519,36 @@ def test_mixing_targets_and_counts(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_prefers_short_documents_within_the_same_totals(spark):
+    """Long and short documents have unequal odds, so the order is not that of the random numbers; words stay within a document of the target."""
+    sizes = [40 + i % 60 if i % 4 else 600 + i for i in range(800)]
+    docs = spark.createDataFrame([(i, "w " * n, "a" if i < 600 else "b") for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    u = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), F.col("text")).alias("u")).collect()}
+    swapped, drawn = 0, Counter()
+    for source, ids in (("a", range(600)), ("b", range(600, 800))):
+        one = rows[ids[0]]
+        whole, share = divmod(one.target / one.source_size, 1)
+        extra = {i: rows[i].taken // rows[i].size - whole for i in ids}
+        assert set(extra.values()) <= {0, 1}
+        assert abs(sum(rows[i].taken for i in ids) - one.target) <= max(rows[i].size for i in ids)
+        last = max(u[i] for i in ids if extra[i])
+        swapped += sum(u[i] < last and not extra[i] for i in ids)
+        for i in ids:
+            drawn[source, rows[i].size >= mixing.LONG, extra[i]] += 1
+        rate = {long: drawn[source, long, 1] / (drawn[source, long, 1] + drawn[source, long, 0]) for long in (True, False)}
+        assert share < 0.02 or rate[False] > rate[True]
+    assert swapped > 5
+    p = spark.range(1).select(*(mixing.inclusion(F.lit(n), F.lit(share), F.lit(1000), F.lit(long)).alias(f"p{k}") for k, (n, share, long) in enumerate([(500, 0.4, 600), (499, 0.4, 600), (500, 0.4, 1000), (3, 0.4, 0), (700, 0.9, 600), (3, 0.9, 600)]))).first()
+    assert list(p) == pytest.approx([0.4 - 120 / 600, 0.4 + 120 / 400, 0.4, 0.4, 0.9 - 20 / 600, 0.9 + 20 / 400])
+
+
+def test_mixing_of_rows_without_an_id_goes_by_their_text(spark):
+    docs = spark.createDataFrame([(None, f"t{i} " * 30, "a" if i % 3 else "b") for i in range(300)], "doc_id bigint, text string, source string")
+    taken = Counter(r.taken // r.size for r in mixing.mix(docs).collect())
+    assert len(taken) > 1 and sum(taken.values()) == 300
+
+
 def test_transcript_blocks_give_the_whole_path(spark):
     rows = [(c, t, ("user", "assistant")[t % 2], ("What is this?" if t % 2 == 0 else "It is.\nMore of it.\n- a point")) for c in range(12) for t in range(6)] + [(50, 0, None, None), (None, 0, "user", "lost")]
     lines = transcripts.as_transcripts(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).withColumn("obs", transcripts.observed(F.col("line"))).cache()
