@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import boxes, decoding, records, reports, runs, scoring
+from lectern.plans import boxes, decoding, matches, records, reports, runs, scoring
 
-MODULES = (scoring, decoding, records, boxes, runs, reports)
+MODULES = (scoring, decoding, records, boxes, runs, reports, matches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
