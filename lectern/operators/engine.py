@@ -2,6 +2,9 @@
 
 Models are functions over numpy arrays (a session of a model file, or any other) that
 travel to the tasks; everything between them is DataFrame code.
+
+Results have a column ``error``. A page that could not be decoded, or whose detector or recogniser failed, has
+one row, which says why, and no other; a region that cannot be cut is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +33,17 @@ def _maps(detect: Detector, rgb: np.ndarray, width: int, height: int) -> tuple[n
     return region, link
 
 
+def _pages(images: DataFrame) -> list[str]:
+    """What is read of a table of pages: their numbers, images, and why there is none."""
+    return ["image_id", "image", *(["error"] if "error" in images.columns else [])]
+
+
+def _steps(scored: DataFrame) -> DataFrame:
+    """Rows (crop_id, t, class, v) of the crops that could be read."""
+    steps = scored.filter("error is null").select("crop_id", F.posexplode("rows").alias("t", "row"))
+    return steps.select("crop_id", "t", F.posexplode("row").alias("class", "v"))
+
+
 @dataclass(frozen=True)
 class Detection:
     text_threshold: float = 0.7
@@ -114,19 +128,24 @@ class Reader:
             px = np.ascontiguousarray(imaging.rotate(imaging.as_array(image), rotation))
             return {"width": px.shape[1], "height": px.shape[0], "rgb8": px.tobytes()}
 
-        probed = imaging.map_column(images.select("image_id", "image"), "probe", "array<struct<region:double,link:double>>", probe, "image").filter("error is null").drop("error")
+        probed = imaging.map_column(images.select(*_pages(images)), "probe", "array<struct<region:double,link:double>>", probe, "image")
         combined, link = F.transform("probe", lambda p: p["region"] + p["link"]), F.transform("probe", lambda p: p["link"])
-        picked = probed.withColumn("rotation", components.pick_rotation(combined, link, d.orientation_margin)).drop("probe")
-        return imaging.map_column(picked, "turned", imaging.IMAGE, turn, "image", "rotation").drop("image", "error").withColumnRenamed("turned", "image")
+        rotation = F.when(F.col("error").isNull(), components.pick_rotation(combined, link, d.orientation_margin)).otherwise(F.lit(0))
+        picked = probed.withColumn("rotation", rotation).drop("probe")
+        return imaging.map_column(picked, "turned", imaging.IMAGE, turn, "image", "rotation").drop("image").withColumnRenamed("turned", "image")
 
     def detect(self, images: DataFrame) -> DataFrame:
-        """Rows (image_id, region_no, quad, axis_aligned) of images (image_id, image), in the pages' own frames."""
-        return self._upright(*self._found(images))
+        """Rows (image_id, region_no, quad, axis_aligned, error) of images (image_id, image), in the pages' own frames."""
+        working, regions, failed = self._found(images)
+        return self._upright(working, regions).unionByName(failed, allowMissingColumns=True)
+
+    def _found(self, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The working frames (image_id, image, rotation), written once, regions in them, and failed pages (image_id, error).
 
-    def _found(self, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The working frames (image_id, image, rotation), written once, and regions in them; labels and boxes are made where the model ran."""
+        Labels and boxes are made where the model ran.
+        """
         d, detect = self.detection, self.detector
-        working = self.oriented(images.select("image_id", "image"))
+        working = self.oriented(images.select(*_pages(images)))
         if d.orientation:
             working = materialize(working, "frames")
 
@@ -135,9 +154,11 @@ class Reader:
             factor = image["width"] / plan["w"] * 2
             return [[{"x": float(x) * factor, "y": float(y) * factor} for x, y in box] for box in found]
 
-        boxed = imaging.map_column(self._plan(working, d.canvas), "boxes", "array<array<struct<x:double,y:double>>>", one, "image", "plan").filter("error is null")
-        quads = materialize(boxed.select("image_id", F.posexplode("boxes").alias("box_no", "quad")).withColumn("box_no", F.col("box_no").cast("bigint")), "boxes")
-        return working, materialize(grouping.regions(quads, d.min_size), "regions")
+        boxed = imaging.map_column(self._plan(working, d.canvas), "boxes", "array<array<struct<x:double,y:double>>>", one, "image", "plan")
+        boxed = materialize(boxed.select("image_id", "boxes", "error"), "boxes")
+        quads = boxed.select("image_id", F.posexplode("boxes").alias("box_no", "quad")).withColumn("box_no", F.col("box_no").cast("bigint"))
+        failed = boxed.filter("error is not null").select("image_id", "error")
+        return working, materialize(grouping.regions(quads, d.min_size), "regions"), failed
 
     def _upright(self, working: DataFrame, regions: DataFrame) -> DataFrame:
         """Regions with their quads in the frame of the page as it was given."""
@@ -149,7 +170,11 @@ class Reader:
         return regions.join(page, "image_id").withColumn("quad", g.unrotate(F.col("quad"), F.col("rotation"), F.col("w"), F.col("h"))).drop("rotation", "w", "h")
 
     def logits(self, crops: DataFrame, adjusted: bool = False) -> DataFrame:
-        """Rows (crop_id, t, class, v) of crops (crop_id, crop struct<width, height, grey>).
+        """Rows (crop_id, t, class, v) of crops (crop_id, crop struct<width, height, grey>) that could be read, see ``scored``."""
+        return _steps(self.scored(crops, adjusted))
+
+    def scored(self, crops: DataFrame, adjusted: bool = False) -> DataFrame:
+        """Rows (crop_id, rows, error): what the recogniser gives for each crop, a list of classes a step.
 
         With ``batch_size`` above 1, up to that many crops of a page (page, place: their order) share one call of the model, padded to the widest.
         """
@@ -167,25 +192,30 @@ class Reader:
             chunks = chunks.select(F.explode(chunk).alias("l"))
             told = imaging.map_column(chunks, "rows", "array<array<array<double>>>", lambda l: read([x["crop"] for x in l]), "l")
             rows = told.select(F.explode(F.arrays_zip(F.transform("l", lambda x: x["crop_id"]).alias("crop_id"), F.col("rows"))).alias("z"), "error").select("z.crop_id", "z.rows", "error")
-        steps = rows.filter("error is null").select("crop_id", F.posexplode("rows").alias("t", "row"))
-        return steps.select("crop_id", "t", F.posexplode("row").alias("class", "v"))
+        return rows.select("crop_id", "rows", "error")
 
     def texts(self, crops: DataFrame) -> DataFrame:
-        """Rows (crop_id, text, confidence), unsure crops read a second time with more contrast.
+        """Rows (crop_id, text, confidence, error), unsure crops read a second time with more contrast.
 
-        Scores of both passes are written once, so that the model is called once for a crop and pass.
+        Scores of both passes are written once, so that the model is called once for a crop and pass. A crop that
+        the recogniser failed on in either pass has the error and no text.
         """
         r = self.recognition
         chars = crops.sparkSession.createDataFrame([(k, c) for k, c in enumerate(self.charset, 1)], "class int, ch string")
         ignored = decoding.ignored_classes(chars, r.allowlist, r.blocklist) if r.allowlist or r.blocklist else None
 
-        def read(rows: DataFrame) -> DataFrame:
+        def read(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = materialize(rows, "scores")
-            return materialize(decoding.greedy_decode(rows, chars, ignored) if r.decoder == "greedy" else decoding.beam_decode(rows, chars, r.beam_width, ignored), "texts")
+            steps = _steps(rows)
+            texts = decoding.greedy_decode(steps, chars, ignored) if r.decoder == "greedy" else decoding.beam_decode(steps, chars, r.beam_width, ignored)
+            return materialize(texts, "texts"), rows.filter("error is not null").select("crop_id", "error")
 
-        first = read(self.logits(crops))
+        first, failed = read(self.scored(crops))
         unsure = crops.join(first.filter(F.col("confidence") < r.contrast_ths).select("crop_id"), "crop_id", "left_semi")
-        return decoding.retry(first, read(self.logits(unsure, True)), r.contrast_ths)
+        second, more = read(self.scored(unsure, True))
+        failed = failed.unionByName(more)
+        sound = decoding.retry(first, second, r.contrast_ths).join(failed.select("crop_id"), "crop_id", "left_anti")
+        return sound.unionByName(failed, allowMissingColumns=True)
 
     def crops(self, images: DataFrame, regions: DataFrame) -> DataFrame:
         """Rows (image_id, region_no, quad, crop_id, crop); regions that cannot be cut are left out."""
@@ -199,25 +229,33 @@ class Reader:
         return cut.filter("error is null").select("image_id", "region_no", "quad", F.xxhash64("image_id", "region_no").alias("crop_id"), "crop")
 
     def readtext(self, images: DataFrame) -> DataFrame:
-        """Rows (image_id, line_no, quad, text, confidence) in output order; unsure lines are left out."""
-        working, regions = self._found(images)
+        """Rows (image_id, line_no, quad, text, confidence, error) in output order; unsure lines are left out."""
+        working, regions, failed = self._found(images)
         # detection, crops and reading share one frame; only the quads that are told go back to the page's
         cut = materialize(self.crops(working, regions), "crops")
         read = self.texts(cut.select("crop_id", "crop", F.col("image_id").alias("page"), F.col("region_no").alias("place")))
-        lines = cut.drop("crop").join(read, "crop_id").filter(F.col("confidence") >= self.recognition.filter_ths)
-        return self._upright(working, lines).select("image_id", F.col("region_no").alias("line_no"), "quad", "text", "confidence")
+        read = materialize(cut.drop("crop").join(read, "crop_id"), "read")
+        # one failed crop fails its page: of several errors the first region's is told
+        unread = read.filter("error is not null").groupBy("image_id").agg(F.min_by("error", "region_no").alias("error"))
+        lines = read.drop("error").filter(F.col("confidence") >= self.recognition.filter_ths).join(unread.select("image_id"), "image_id", "left_anti")
+        lines = self._upright(working, lines).select("image_id", F.col("region_no").alias("line_no"), "quad", "text", "confidence")
+        return lines.unionByName(failed.unionByName(unread), allowMissingColumns=True)
 
     def recognize_line(self, images: DataFrame) -> DataFrame:
-        """Rows (image_id, quad, text, confidence): the whole image as one line, none left out."""
+        """Rows (image_id, quad, text, confidence, error): the whole image as one line, none left out."""
 
         def one(image: dict) -> dict:
             px = imaging.grey(imaging.as_array(image))
             return {"width": px.shape[1], "height": px.shape[0], "grey": px.tobytes()}
 
-        cut = imaging.map_column(images.select(F.col("image_id").alias("crop_id"), "image"), "crop", "struct<width:int,height:int,grey:binary>", one, "image").filter("error is null")
+        cut = imaging.map_column(images.select(*_pages(images)).withColumnRenamed("image_id", "crop_id"), "crop", "struct<width:int,height:int,grey:binary>", one, "image")
+        cut = materialize(cut.select("crop_id", "crop", "error"), "crops")
+        failed = cut.filter("error is not null").select(F.col("crop_id").alias("image_id"), "error")
         w, h, zero = F.col("image.width"), F.col("image.height"), F.lit(0)
         quads = images.select(F.col("image_id").alias("crop_id"), g.quad((zero, zero), (w, zero), (w, h), (zero, h)).alias("quad"))
-        return quads.join(self.texts(materialize(cut.select("crop_id", "crop"), "crops")), "crop_id").select(F.col("crop_id").alias("image_id"), "quad", "text", "confidence")
+        read = self.texts(cut.filter("error is null").select("crop_id", "crop"))
+        lines = quads.join(read, "crop_id").select(F.col("crop_id").alias("image_id"), F.when(F.col("error").isNull(), F.col("quad")).alias("quad"), "text", "confidence", "error")
+        return lines.unionByName(failed, allowMissingColumns=True)
 
 
 def onnx_model(content: bytes) -> Callable[[np.ndarray], np.ndarray]:

@@ -45,16 +45,16 @@ def batch_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with quads as JSON, every third without its lines' places."""
-    l = _numbered(spark, sf_dir).filter("no <= 2")
+    l = _numbered(spark, sf_dir)
     points = F.array(*(F.array((F.col("l_partkey") + dx).cast("int"), (F.col("no") * 10 + dy).cast("int")) for dx, dy in ((0, 0), (40, 0), (40, 8), (0, 8))))
     return artefacts.tool_payload(l.select(F.col("l_orderkey").alias("image"), F.col("no").alias("line_no"), F.col("l_returnflag").alias("text"), points.alias("quad"), (F.col("l_orderkey") % 3 != 0).alias("full")), "image")
 
 
 def marked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' first turns between two markers, replaced by the role; without an end marker there is no result."""
-    c = table(spark, sf_dir, "conversations").filter("turn = 0")
+    """Conversations' turns between two markers, replaced by the role; without an end marker there is no result."""
+    c = table(spark, sf_dir, "conversations")
     doc = F.concat(F.lit("before <!--a-->"), F.col("text"), F.when(F.col("conv_id") % 4 == 0, "").otherwise("<!--b-->"), F.lit(" after"))
-    return c.select("conv_id", artefacts.replace_marked(doc, "<!--a-->", "<!--b-->", F.concat(F.lit("$1 \\ "), "role")).alias("document"))
+    return c.select("conv_id", "turn", artefacts.replace_marked(doc, "<!--a-->", "<!--b-->", F.concat(F.lit("$1 \\ "), "role")).alias("document"))
 
 
 def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +116,12 @@ def newest_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verified_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as models: brands as roles, some twice; names as content, some with another digest."""
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 40")
+    """Parts as models: every fifth has its predecessor's role; names as content, some with another digest."""
+    p = table(spark, sf_dir, "part")
     content = F.col("p_name").cast("binary")
     pin = F.when(F.col("p_partkey") % 4 == 0, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.upper(F.sha2(content, 256)))
-    return images.verified(p.select("p_partkey", (F.col("p_partkey") % 23).alias("role"), content.alias("content"), pin.alias("sha256"))).select("p_partkey", "role", "error")
+    role = F.col("p_partkey") - (F.col("p_partkey") % 5 == 0).cast("int")
+    return images.verified(p.select("p_partkey", role.alias("role"), content.alias("content"), pin.alias("sha256"))).select("p_partkey", "role", "error")
 
 
 def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,9 +193,9 @@ WITH l AS ({_N}) SELECT l_orderkey, no, round(CASE WHEN no % 2 = 0 THEN (l_partk
 WITH l AS ({_N})
 SELECT l_orderkey::VARCHAR AS image, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE count(*) END AS n, CASE WHEN l_orderkey % 5 <> 0 THEN string_agg(l_returnflag, '' ORDER BY no) END AS texts, CASE WHEN l_orderkey % 5 <> 0 THEN round(sum(l_discount), 4) END AS confidence, CASE WHEN l_orderkey % 5 = 0 THEN 'no image' END AS error FROM l GROUP BY l_orderkey""",
     rendered_quads: f"""
-WITH l AS (SELECT * FROM ({_N}) WHERE no <= 2)
+WITH l AS ({_N})
 SELECT l_orderkey AS image, CASE WHEN l_orderkey % 3 = 0 THEN '{{"texts":[' || string_agg('"' || l_returnflag || '"', ',' ORDER BY no) || ']}}' ELSE '{{"lines":[' || string_agg('{{"quad":[' || '[' || l_partkey || ',' || no * 10 || '],[' || l_partkey + 40 || ',' || no * 10 || '],[' || l_partkey + 40 || ',' || no * 10 + 8 || '],[' || l_partkey || ',' || no * 10 + 8 || ']],"text":"' || l_returnflag || '"}}', ',' ORDER BY no) || ']}}' END AS rendered FROM l GROUP BY l_orderkey""",
-    marked_regions: r"SELECT conv_id, CASE WHEN conv_id % 4 <> 0 THEN 'before <!--a-->' || chr(10) || '$1 \ ' || role || chr(10) || '<!--b--> after' END AS document FROM conversations WHERE turn = 0",
+    marked_regions: r"SELECT conv_id, turn, CASE WHEN conv_id % 4 <> 0 THEN 'before <!--a-->' || chr(10) || '$1 \ ' || role || chr(10) || '<!--b--> after' END AS document FROM conversations",
     joined_pages: rf"""
 WITH p AS (SELECT conv_id, turn, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM conversations WHERE turn % 3 <> 2),
 j AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM p WHERE text <> '' GROUP BY conv_id)
@@ -216,7 +217,7 @@ SELECT leg, CASE WHEN leg <> '3' THEN 'cpu' ELSE '?' END AS backend, coalesce(im
     guardrail_contracts: "SELECT d.doc_id, round(d.n_chars / 1000.0::DOUBLE * 0.9, 6) AS floor FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL AND l.toxic IS DISTINCT FROM 1 AND d.doc_id % 11 <> 0 AND d.n_chars IS NOT NULL",
     newest_artefacts: "SELECT o_custkey AS artefact, lpad(o_orderkey::VARCHAR, 9, '0') AS path FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 50000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     verified_models: """
-WITH p AS (SELECT p_partkey, p_partkey % 23 AS role, count(*) OVER (PARTITION BY p_partkey % 23) AS n FROM part WHERE p_partkey <= 40)
+WITH p AS (SELECT p_partkey, p_partkey - (p_partkey % 5 = 0)::INT AS role, count(*) OVER (PARTITION BY p_partkey - (p_partkey % 5 = 0)::INT) AS n FROM part)
 SELECT p_partkey, role, CASE WHEN n > 1 THEN 'role given twice' WHEN p_partkey % 4 = 0 THEN 'other digest' END AS error FROM p""",
     page_lookup: """
 WITH o AS (SELECT o_custkey, lpad(o_orderkey::VARCHAR, 9, '0') AS path FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY list_position(['F', 'O', 'P'], o_orderstatus), o_orderkey) = 1)

@@ -254,6 +254,43 @@ def test_reader_turns_pages_upright(spark, degrees):
         assert [min(x), max(x), min(y), max(y)] == pytest.approx([xs.min(), xs.max(), ys.min(), ys.max()], abs=12)
 
 
+@pytest.mark.parametrize("orientation", [False, True])
+def test_failed_pages_have_one_row_that_says_why(spark, orientation):
+    """Pages of one brightness each: 40 fails in the detector, 80 in the recogniser, 120 is read; one has no image at all."""
+
+    def bright(x):
+        return int(round(float(x.max()) * 58.4 + 123.7))  # the first channel's mean and deviation, undone
+
+    def detector(x):
+        if bright(x[:1]) == 40:
+            raise RuntimeError("no scores")
+        h, w = x.shape[1] // 2, x.shape[2] // 2
+        lum = x.mean(axis=0)[: 2 * h, : 2 * w].reshape(h, 2, w, 2).mean(axis=(1, 3))
+        region = (lum > lum.min() + 0.1).astype(np.float32)
+        return np.stack([region, np.zeros_like(region)], axis=-1)
+
+    def recognizer(x):
+        if 60 < (float(x.max()) + 1) * 127.5 < 105:
+            raise RuntimeError("no text")
+        out = np.full((1, 2, 3), -9.0)
+        out[0, 0, 1] = out[0, 1, 2] = 9
+        return out
+
+    def page(level):
+        px = np.zeros((96, 160, 3), np.uint8)
+        px[30:50, 20:120] = level
+        return (160, 96, bytearray(px.tobytes()))
+
+    df = spark.createDataFrame([(1, page(40), None), (2, page(80), None), (3, page(120), None), (4, None, "unsupported image format")], f"image_id bigint, image {imaging.IMAGE}, error string")
+    reader = engine.Reader(detector, recognizer, "xy", engine.Detection(orientation=orientation), engine.Recognition(contrast_ths=0.0))
+    told = {r.image_id: (r.text, r.error) for r in reader.readtext(df).collect()}
+    assert told == {1: (None, "no scores"), 2: (None, "no text"), 3: ("xy", None), 4: (None, "unsupported image format")}
+    regions = {r.image_id: (r.quad is None, r.error) for r in reader.detect(df).collect()}
+    assert regions == {1: (True, "no scores"), 2: (False, None), 3: (False, None), 4: (True, "unsupported image format")}
+    lines = {r.image_id: (r.text, r.quad is None, r.error) for r in reader.recognize_line(df).collect()}
+    assert lines == {1: ("xy", False, None), 2: (None, True, "no text"), 3: ("xy", False, None), 4: (None, True, "unsupported image format")}
+
+
 def test_bad_images_are_rows(spark):
     files = spark.createDataFrame([(1, bytearray(b"nothing")), (2, bytearray(b"P5\n1 1\n255\n\x07"))], "image_id bigint, content binary")
     got = {r.image_id: (r.image, r.error) for r in imaging.decode_images(files).collect()}
