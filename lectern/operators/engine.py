@@ -13,12 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
 from lectern.operators import components, decoding, grouping, imaging
 from lectern.operators.stages import materialize
+from lectern.sources import models
 
 Detector = Callable[[np.ndarray], np.ndarray]  # (3, H, W) -> (H/2, W/2, 2): region and link scores
 Recognizer = Callable[[np.ndarray], np.ndarray]  # (B, 1, 64, W) -> (B, T, C)
@@ -258,21 +259,6 @@ class Reader:
         return lines.unionByName(failed, allowMissingColumns=True)
 
 
-def onnx_model(content: bytes) -> Callable[[np.ndarray], np.ndarray]:
-    """A model file as a function: one session per Python worker, one thread."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        import onnxruntime
-
-        key = hash(content)
-        if key not in _SESSIONS:
-            options = onnxruntime.SessionOptions()
-            options.intra_op_num_threads = options.inter_op_num_threads = 1
-            _SESSIONS[key] = onnxruntime.InferenceSession(content, options, providers=["CPUExecutionProvider"])
-        session = _SESSIONS[key]
-        return session.run(None, {session.get_inputs()[0].name: x})[0]
-
-    return run
-
-
-_SESSIONS: dict = {}
+def onnx_model(spark: SparkSession, content: bytes) -> Callable[[np.ndarray], np.ndarray]:
+    """A model file as a function: its content is sent to executors once, readers carry its digest."""
+    return models.shipped(models.ship(spark, content), models.onnx_session)

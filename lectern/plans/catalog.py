@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import boxes, decoding, matches, published, records, reports, runs, scoring
+from lectern.plans import boxes, decoding, matches, models, published, records, reports, runs, scoring
 
-MODULES = (scoring, decoding, records, boxes, runs, reports, matches, published)
+MODULES = (scoring, decoding, records, boxes, runs, reports, matches, published, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import decoding
+from lectern.operators import decoding, table_functions
 from lectern.sources import table
 
 
@@ -30,6 +30,15 @@ def ctc_greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.greedy_decode(_logits(spark, sf_dir), _charset(spark)).withColumn("confidence", F.round("confidence", 6))
 
 
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same crops through SQL: a label's vectors are a page's crops, read by the table function."""
+    table_functions.register(spark)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8)).cast("array<double>"))
+    crops = table(spark, sf_dir, "embeddings").select(F.coalesce("label", F.lit(-1)).alias("page"), F.col("vec_id").alias("place"), steps.alias("scores"))
+    sql = "SELECT page, line_no, place, text, round(confidence, 6) AS confidence FROM read_lines(TABLE({crops}) PARTITION BY page ORDER BY place, charset => '1234567', least => 0.00002D)"
+    return spark.sql(sql, crops=crops)
+
+
 def ctc_ignore_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = _charset(spark)
     return decoding.greedy_decode(_logits(spark, sf_dir), chars, decoding.ignored_classes(chars, allow="1357")).withColumn("confidence", F.round("confidence", 6))
@@ -97,6 +106,9 @@ QUERIES = {
     softmax_rows: _ROWS + "SELECT crop_id, t::INT AS t, class::INT AS class, round(p, 6) AS p FROM s",
     ctc_argmax: _ROWS + "SELECT crop_id, t::INT AS t, class::INT AS class, round(p, 6) AS p FROM s QUALIFY row_number() OVER (PARTITION BY crop_id, t ORDER BY p DESC, class) = 1",
     ctc_greedy_decode: _ROUND + _greedy(),
+    read_lines: f"""
+SELECT coalesce(label, -1) AS page, row_number() OVER (PARTITION BY coalesce(label, -1) ORDER BY vec_id) - 1 AS line_no, vec_id AS place, text, round(confidence, 6) AS confidence
+FROM {_greedy()} g JOIN embeddings ON vec_id = crop_id WHERE confidence >= 0.00002""",
     ctc_ignore_allowlist: _ROUND + _greedy(ignore="class IN (2, 4, 6)"),
     ctc_ignore_blocklist: _ROUND + _greedy(ignore="class IN (2, 6)"),
     ctc_second_pass: f"SELECT f.crop_id, CASE WHEN f.confidence < 0.001 AND s.confidence >= f.confidence THEN s.text ELSE f.text END AS text, round(CASE WHEN f.confidence < 0.001 AND s.confidence >= f.confidence THEN s.confidence ELSE f.confidence END, 6) AS confidence FROM {_greedy()} f JOIN {_greedy('v * 4')} s USING (crop_id)",
