@@ -12,13 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IMAGE = "struct<width:int,height:int,rgb8:binary>"
 #: Channel means and deviations of the detector's input.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
-FORMATS = {"png": True, "ppm": True, "pgm": True, "bmp": True, "jpg": False, "gif": False, "tif": False, "webp": False}
 
 
 def decode(content: bytes) -> np.ndarray:
@@ -214,6 +214,15 @@ def map_column(df: DataFrame, name: str, kind: str, f: Callable, *inputs: str) -
     return df.mapInPandas(run, f"{schema}, `{name}` {kind}, error string")
 
 
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``df`` with ``f`` applied to its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(f, batches)
+
+    return df.mapInArrow(run, schema)
+
+
 def decode_images(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with ``image`` and ``error``."""
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.stages import materialize, small_side
+
 #: Samples below which a percentile is not given.
 P95_LEAST, P99_LEAST = 20, 100
+#: Stripes of a range of values, and values that are few enough to sort.
+STRIPES, SORTED = 1000, 10_000
 RSS_CEILING, THROUGHPUT_FLOOR, QUALITY_FLOOR = 1.1, 0.9, 0.9
 
 
@@ -23,6 +27,56 @@ def summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(v).alias("median"), suppressed_percentile(v, 0.95, P95_LEAST).alias("p95"), suppressed_percentile(v, 0.99, P99_LEAST).alias("p99"), F.avg(v).alias("mean"), F.count(v).alias("count"))
 
 
+def range_percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """Rows (keys, n and a column for each of ``shares``): linear-interpolation percentiles of groups of any size.
+
+    No task holds a group. For each rank that is asked the values between two bounds are counted in ``STRIPES`` stripes; the
+    stripe that holds the rank gives the next bounds, its own least and greatest value, until they are equal or at most ``SORTED`` values
+    lie between, which are sorted. Null and non-finite values are left out, and keys without others have no row; a null key is a key.
+    """
+    given, keys = keys, tuple(f"key{i}" for i in range(len(keys)))  # whatever a key is called, it clashes with nothing here
+    v = F.col(value).cast("double")
+    base = materialize(rows.select(*(F.col(k).alias(name) for k, name in zip(given, keys, strict=True)), v.alias("v")).filter("v is not null and not isnan(v) and abs(v) < double('infinity')"), "values")
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(share) * (F.col("n") - 1)).alias("place")) for name, share in shares.items())))
+    asked = materialize(sizes.withColumn("a", asked).select("*", "a.name", "a.place").drop("a"), "asked")
+    ranks = asked.select(*keys, "n", "low", "high", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).distinct()
+    open_ = materialize(ranks.select(*keys, "rank", "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("held")), "bounds")
+    found: list[DataFrame] = []
+
+    def between(bounds: DataFrame) -> DataFrame:
+        named = bounds.withColumnsRenamed({k: f"of_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+        return base.join(small_side(named), [*same, F.col("v") >= F.col("low"), F.col("v") <= F.col("high")]).drop(*(f"of_{k}" for k in keys))
+
+    while True:
+        done = "low = high"
+        found.append(open_.filter(done).select(*keys, "rank", F.col("low").alias("x")))
+        few = between(open_.filter(f"not ({done}) and held <= {SORTED}")).groupBy(*keys, "rank", "below").agg(F.array_sort(F.collect_list("v")).alias("l"))
+        found.append(few.select(*keys, "rank", F.element_at("l", (F.col("rank") - F.col("below") + 1).cast("int")).alias("x")))
+        left = open_.filter(f"not ({done}) and held > {SORTED}")
+        if left.isEmpty():
+            break
+        # halves first, so that the width of the widest range is still a number
+        part = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        stripe = F.least(F.floor(part * STRIPES), F.lit(STRIPES - 1))
+        sums = between(left).groupBy(*keys, "rank", "below", stripe.alias("k")).agg(F.count(F.lit(1)).alias("held"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.col("below") + F.sum("held").over(Window.partitionBy(*keys, "rank").orderBy("k"))
+        here = sums.withColumn("upto", upto).filter("upto > rank").groupBy(*keys, "rank").agg(F.min(F.struct("k", "low", "high", "held", "upto")).alias("s"))
+        open_ = materialize(here.select(*keys, "rank", "s.low", "s.high", (F.col("s.upto") - F.col("s.held")).alias("below"), "s.held"), "bounds")
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    every = materialize(every, "ranks")
+    out = asked.select(*keys, "n", "name", "place")
+    for end, at in (("a", F.floor("place")), ("b", F.ceil("place"))):
+        named = every.withColumnsRenamed({k: f"of_{k}" for k in keys}).withColumnRenamed("x", end)
+        out = out.join(small_side(named), [*(F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys), at == F.col("rank")]).drop("rank", *(f"of_{k}" for k in keys))
+    weight = F.col("place") - F.floor("place")
+    wide = out.groupBy(*keys, "n").pivot("name", list(shares)).agg(F.first(F.col("a") * (1 - weight) + F.col("b") * weight))
+    return wide.withColumnsRenamed(dict(zip(keys, given, strict=True)))
+
+
 def field_summary(rows: DataFrame, fields: list[str], group: str) -> DataFrame:
     """Summary of each field per group and over all (group null): fields unpivoted, one grouping-sets aggregate."""
     long = rows.select(group, *(F.col(f).cast("double") for f in fields)).unpivot([group], fields, "field", "value").filter("value is not null")

@@ -10,17 +10,39 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+@dataclass
+class Progress:
+    """What each written stage did: (number, stage, began and ended in epoch seconds, rows, rows with an error)."""
+
+    events: list[tuple[int, str, float, float, int, int]] = field(default_factory=list)
+    on_stage: Callable[[str, int, int], None] | None = None
+
+    def tell(self, stage: str, began: float, ended: float, rows: int, failed: int) -> None:
+        self.events.append((len(self.events), stage, began, ended, rows, failed))
+        if self.on_stage:
+            self.on_stage(stage, rows, failed)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Rows (no, stage, ts, ended, rows, failed), one for each stage so far."""
+        found = spark.createDataFrame(self.events, "no int, stage string, began double, ended double, rows bigint, failed bigint")
+        return found.select("no", "stage", F.timestamp_seconds("began").alias("ts"), F.timestamp_seconds("ended").alias("ended"), "rows", "failed")
+
+
 #: Rows up to which a table of a few 8-byte columns is small enough to broadcast (16 MB at 32 bytes).
 BROADCAST_ROWS = 500_000
 #: What ``scratch`` blocks that are open hold.
 _OPEN: list[list[str]] = []
+#: The progress of ``watched`` blocks that are open.
+_WATCHING: list[Progress] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +68,16 @@ def replaceable(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for paths in _OPEN:
         paths.append(path)
-    df.write.parquet(path)
+    seen, began = (Observation(), time.time()) if _WATCHING else (None, 0.0)
+    if seen is None:
+        df.write.parquet(path)
+    else:
+        # counted in the write itself, by its tasks; no job of its own
+        failed = F.count_if(F.col("error").isNotNull() if "error" in df.columns else F.lit(False))
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), failed.alias("failed")).write.parquet(path)
+        told = seen.get
+        for watch in _WATCHING:
+            watch.tell(name, began, time.time(), told["rows"] or 0, told["failed"] or 0)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -76,3 +107,14 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         _OPEN[:] = [held for held in _OPEN if held is not paths]
         for path in paths:
             discard(spark, path)
+
+
+@contextmanager
+def watched(on_stage: Callable[[str, int, int], None] | None = None) -> Iterator[Progress]:
+    """Gather what the stages that are written within the block do; ``on_stage`` is told each one's name, rows and failed rows when it ends."""
+    progress = Progress(on_stage=on_stage)
+    _WATCHING.append(progress)
+    try:
+        yield progress
+    finally:
+        _WATCHING[:] = [held for held in _WATCHING if held is not progress]

@@ -24,6 +24,12 @@ def suppressed_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(records.summary(table(spark, sf_dir, "events"), "value", "user_id"), "median", "p95", "p99", "mean")
 
 
+def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three very large groups: percentiles by ranges, with no group in one task."""
+    out = records.range_percentiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", {"median": 0.5, "p95": 0.95, "p99": 0.99}, "l_returnflag")
+    return _rounded(out, "median", "p95", "p99")
+
+
 def labeled_all_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"))
     return _rounded(records.field_summary(orders, ["price", "customer"], "o_orderstatus"), "median", "p95", "mean")
@@ -184,6 +190,8 @@ _LINES = "SELECT conv_id, turn, role, (length(text) % 1000) / 1000.0::DOUBLE AS
 QUERIES = {
     metric_summary_r7: f"SELECT event_type, {_SUMR} FROM (SELECT event_type, {_SUM} FROM events WHERE value IS NOT NULL GROUP BY event_type)",
     suppressed_percentiles: f"SELECT user_id, {_SUMR} FROM (SELECT user_id, {_SUM} FROM events WHERE value IS NOT NULL GROUP BY user_id)",
+    price_percentiles: """
+SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1""",
     labeled_all_summary: f"""
 WITH l AS (SELECT o_orderstatus, 'price' AS field, o_totalprice::DOUBLE AS value FROM orders UNION ALL SELECT o_orderstatus, 'customer', o_custkey::DOUBLE FROM orders)
 SELECT field, o_orderstatus, {_FIELD} FROM l GROUP BY GROUPING SETS ((field, o_orderstatus), (field))""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,37 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images of a folder; files that cannot be decoded have an error."""
-    return imaging.decode_images(image_files(spark, path)).drop("content")
+    """Rows (image_id, path, image, error) of a folder: decoded by Spark's image source, and what that refuses by ``imaging.decode``.
+
+    Its pixels are blue, green, red and, for some, opacity; a file that it cannot decode has a width of -1.
+    """
+    files = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+    turned = files.withColumn("path", F.regexp_replace("origin", "^file:/+", "file:/")).filter("width > 0")
+    read = imaging.map_arrow(turned.select("path", "width", "height", "nChannels", "data"), _turned, f"path string, image {imaging.IMAGE}, error string")
+    done = turned.select("path")
+    # only the others' contents are read: the source is asked which files it decodes, all files are listed
+    rest = image_files(spark, path).join(done, "path", "left_anti").select("path", "content")
+    more = imaging.decode_images(rest).select("path", "image", "error")
+    return read.unionByName(more).select(F.xxhash64("path").alias("image_id"), "path", "image", "error")
+
+
+def _turned(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of the image source with their pixels as red, green, blue."""
+    made = []
+    for w, h, n, data in zip(*(batch.column(c) for c in ("width", "height", "nChannels", "data")), strict=True):
+        w, h, n = w.as_py(), h.as_py(), n.as_py()
+        px = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
+        px = np.repeat(px, 3, axis=2) if n == 1 else px[:, :, 2::-1]
+        made.append({"width": w, "height": h, "rgb8": np.ascontiguousarray(px).tobytes()})
+    kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("rgb8", pa.binary())])
+    return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, kind), pa.nulls(batch.num_rows, pa.string())], names=["path", "image", "error"])
 
 
 def formats(spark: SparkSession) -> DataFrame:
-    """Rows (extension, decoded): what ``images`` reads."""
-    return spark.createDataFrame(sorted(imaging.FORMATS.items()), "extension string, decoded boolean")
+    """Rows (extension, decoder): what ``images`` reads, as the Java image readers of the driver and ``imaging.decode`` tell it."""
+    known = {str(x).lower() for x in spark._jvm.javax.imageio.ImageIO.getReaderFormatNames()}
+    rows = [(x, "image source") for x in sorted(known)] + [(x, "own") for x in sorted({"png", "ppm", "pgm", "bmp"} - known)]
+    return spark.createDataFrame(rows, "extension string, decoder string")
 
 
 def charset(spark: SparkSession, language: str, chars: str) -> DataFrame:

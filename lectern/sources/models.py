@@ -8,9 +8,11 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,49 @@ def shipped(digest: str, load: Callable[[bytes], Callable[[np.ndarray], np.ndarr
     return run
 
 
+def thread_budget(cpus: int, asked: int | None = None) -> int:
+    """Threads for one model: what is asked, else one a core, eight at most."""
+    if asked is not None and asked < 1:
+        raise ValueError("threads must be at least 1")
+    return asked or max(1, min(cpus, 8))
+
+
+def warm_up(spark: SparkSession, digest: str, load: Callable[[bytes], Callable[[np.ndarray], np.ndarray]], sample: np.ndarray | None = None, slots: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """Load a model in every slot before any row is read: rows (slot, host, pid, seconds), one for each.
+
+    The tasks are a barrier: all run at the same time, so each has a worker of its own, and none ends before all have
+    the model. ``slots`` is the session's parallelism if not given, and no more. ``profile`` asks for
+    cores (a thread budget) or devices of each task, where the cluster manager offers them; a local session has none and takes it as it is.
+    Workers keep the model while Spark reuses them (``spark.python.worker.reuse``).
+    """
+    most = spark.sparkContext.defaultParallelism
+    slots = slots or most
+    if slots > most:
+        raise ValueError(f"{slots} tasks cannot run at the same time on {most} slots")
+    model = shipped(digest, load)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import socket
+        import time
+
+        from pyspark import BarrierTaskContext
+
+        rows = list(batches)
+        began = time.perf_counter()
+        model(np.zeros(1, dtype=np.float32) if sample is None else sample)
+        took = time.perf_counter() - began
+        context = BarrierTaskContext.get()
+        context.barrier()
+        if rows:
+            told = {"slot": [context.partitionId()], "host": [socket.gethostname()], "pid": [os.getpid()], "seconds": [took]}
+            yield pa.RecordBatch.from_pydict(told, pa.schema([("slot", pa.int32()), ("host", pa.string()), ("pid", pa.int64()), ("seconds", pa.float64())]))
+
+    local = spark.sparkContext.master.startswith("local")
+    seats = spark.range(0, slots, 1, slots)
+    return seats.mapInArrow(run, "slot int, host string, pid bigint, seconds double", barrier=True, profile=None if local else profile)
+
+
 def onnx_session(content: bytes) -> Callable[[np.ndarray], np.ndarray]:
     """A model file as a function, on one thread: the tasks of an executor already share its cores."""
     import onnxruntime

@@ -15,9 +15,18 @@ def arriving_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("image_id"), "path", "content")
 
 
+def write_once(read: Callable[[DataFrame], DataFrame], target: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch's rows in a partition of their own, so a batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        read(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return write
+
+
 def read_pages(pages: DataFrame, readtext: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of images through a reader, its lines appended to a table."""
-    return pages.writeStream.foreachBatch(lambda batch, _: readtext(batch).write.mode("append").parquet(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Each micro-batch of images through a reader, its lines in a partition of a table."""
+    return pages.writeStream.foreachBatch(write_once(readtext, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_rates(events: DataFrame, ts: str, key: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:

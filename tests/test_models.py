@@ -101,3 +101,25 @@ def test_table_function_says_what_is_wrong(spark):
             spark.sql(f"SELECT * FROM read_lines({call})", c=df, d=df.drop("scores")).collect()
     got = spark.sql("SELECT * FROM read_lines(TABLE({c}) PARTITION BY page, charset => 'abc', least => 0)", c=crops(spark, 1).withColumn("scores", F.lit(None).cast("array<array<double>>"))).first()
     assert (got.text, got.confidence) == ("", 0.0)
+
+
+def test_warm_up_loads_once_in_every_slot(spark, tmp_path):
+    digest = models.ship(spark, b"warm")
+
+    def load(raw):
+        import os
+
+        with open(f"{tmp_path}/loads", "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda x: x
+
+    rows = models.warm_up(spark, digest, load, slots=4).collect()
+    loads = (tmp_path / "loads").read_text().split()
+    assert sorted(r.slot for r in rows) == [0, 1, 2, 3] and len({r.pid for r in rows}) == 4 and sorted(loads) == sorted(str(r.pid) for r in rows)
+    again = models.warm_up(spark, digest, load, slots=2).collect()
+    assert len(again) == 2 and len((tmp_path / "loads").read_text().split()) <= 4 + 2
+    with pytest.raises(ValueError, match="at the same time"):
+        models.warm_up(spark, digest, load, slots=500)
+    assert [models.thread_budget(*a) for a in ((2,), (64,), (0,), (64, 3))] == [2, 8, 1, 3]
+    with pytest.raises(ValueError):
+        models.thread_budget(4, 0)
