@@ -3,7 +3,8 @@
 A folder holds parts and manifests. Tasks write their parts below a hidden folder of the write; when all have succeeded the folder
 gets its name, and one new manifest, written beside and renamed, names the parts, the schema and the provenance.
 Readers take the newest manifest, so until that rename they see what was there before, and afterwards all
-of the new. A failed write removes its folder; parts of attempts that were not committed are in no manifest.
+of the new. A failed write removes its folder; parts of attempts that were not committed are in no manifest. What tasks that outlive a failed
+write still leave is hidden, and goes with a later write once it is ``STALE`` seconds old.
 
 ``spark.dataSource.register(Published)`` makes it ``format("published")``. Options: ``path``, a folder that every executor and
 the driver reach (a path, or any location that Arrow opens); ``provenance``, a JSON object that says what the figures come from, without
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +30,7 @@ from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
 MANIFEST = "manifest-"
+STALE = 86_400
 
 
 def _located(path: str) -> tuple[pafs.FileSystem, str]:
@@ -159,9 +162,11 @@ class PublishedWriter(DataSourceArrowWriter):
         for name in found[: -self.keep]:
             files.delete_file(f"{folder}/{name}")
         named = {p["name"].split("/")[0] for name in found[-self.keep :] for p in _manifest(files, folder, name)["parts"]}
-        for name in _names(files, folder):
-            if not name.startswith((".", MANIFEST)) and name not in named:
-                files.delete_dir(f"{folder}/{name}")
+        for f in files.get_file_info(pafs.FileSelector(folder)):
+            spent = not f.base_name.startswith((".", MANIFEST)) and f.base_name not in named
+            stale = f.base_name.startswith(".") and f.mtime is not None and time.time() - f.mtime.timestamp() > STALE
+            if f.type == pafs.FileType.Directory and (spent or stale):
+                files.delete_dir(f.path)
 
 
 def publish(rows: DataFrame, path: str, provenance: dict, violations: DataFrame | None = None, append: bool = False) -> None:
