@@ -94,8 +94,9 @@ class Pieces:
             held[node] = (score, i)
         self.node_score, self.node_id = (np.array(x, dtype=np.int64) for x in zip(*held, strict=True))
         bits = max(4, (4 * len(edges)).bit_length())
-        self.shift, slots = np.uint64(64 - bits), 1 << bits
+        slots = 1 << bits
         kind = np.int32 if len(held) * self.classes < 1 << 31 else np.int64  # a table that fits a cache
+        self.shift = np.uint32(32 - bits) if kind is np.int32 else np.uint64(64 - bits)
         self.slot_key, self.slot_node = np.full(slots, -1, dtype=kind), np.zeros(slots, dtype=np.int32)
         keys = np.array(list(edges), dtype=kind)
         nodes, at = np.array(list(edges.values()), dtype=np.int32), self._slot(keys)
@@ -111,11 +112,13 @@ class Pieces:
         self.first = self._children(np.zeros(self.classes, dtype=np.int32), every)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        if keys.dtype == np.int32:
+            return ((keys.view(np.uint32) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _children(self, nodes: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """The nodes that ``classes`` lead to, -1 where there is none."""
-        keys = nodes.astype(self.slot_key.dtype) * self.classes + classes
+        keys = nodes.astype(self.slot_key.dtype, copy=False) * self.slot_key.dtype.type(self.classes) + classes.astype(self.slot_key.dtype, copy=False)
         at = self._slot(keys)
         found = self.slot_key[at]
         out = np.where(found == keys, self.slot_node[at], -1)
@@ -148,8 +151,8 @@ class Pieces:
             if not single and so_far + unknown > best[start + 1]:
                 best[start + 1], back[start + 1], which[start + 1] = so_far + unknown, start, -1
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """Ids of a text given in chunks, each as soon as it is certain."""
+    def stream(self, chunks: Iterable[str], spelt: bool = True) -> Iterator[int]:
+        """Ids of a text given in chunks, each as soon as it is certain; unless ``spelt``, a character c of no piece is -1 - c."""
         longest, coming = self.longest, iter(chunks)
         window, at = "", 0  # what is retained, and how far starts in it are extended
         best, back, which = [0], [-1], [-1]  # at each position of the window: score, start of the last piece, its id
@@ -161,7 +164,7 @@ class Pieces:
             which += [-1] * n
             if chunk is None:
                 self._extend(window, best, back, which, at, len(window))
-                yield from self._path(window, back, which, len(window))
+                yield from self._path(window, back, which, len(window), spelt)
                 return
             # a start is extended when all characters a piece may need are there
             stop = max(at, len(window) - longest + 1)
@@ -175,16 +178,18 @@ class Pieces:
                 ends.add(back[last])
             meet = ends.pop()
             self.met += meet > 0
-            yield from self._path(window, back, which, meet)
+            yield from self._path(window, back, which, meet, spelt)
             window, best, at = window[meet:], best[meet:], at - meet
             back, which = [x - meet for x in back[meet:]], which[meet:]
 
-    def _path(self, window: str, back: list[int], which: list[int], end: int) -> list[int]:
+    def _path(self, window: str, back: list[int], which: list[int], end: int, spelt: bool) -> list[int]:
         out: list[int] = []
         while end > 0:
             start = back[end]
             if which[end] >= 0:
                 out.append(which[end])
+            elif not spelt:
+                out.append(-1 - ord(window[start]))
             else:
                 out.extend(self.byte_ids[b] for b in reversed(window[start:end].replace(OWN_MARK, MARK).encode()))
             end = start
@@ -195,7 +200,7 @@ class Pieces:
         marked = [MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK) if t else "" for t in texts]
         order = np.argsort([-len(m) for m in marked], kind="stable")  # long ones first, so that lanes end together
         waiting = [int(k) for k in order if marked[k]]
-        found = Found(len(texts))
+        found = Found(marked)
         if waiting:
             Lanes(self, marked, waiting, found).run()
         return found.ids(self)
@@ -211,26 +216,30 @@ class Pieces:
 
 
 class Found:
-    """Pieces as they become final: text, boundary at their end, id; -1 - c for a character c that is in no piece."""
+    """Pieces as they become final, each entered at the boundary of its text where it ends; -1 - c for a character c that is in no piece."""
 
-    def __init__(self, texts: int) -> None:
-        self.texts, self.parts = texts, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    NONE = -(1 << 31)
+
+    def __init__(self, texts: list[str]) -> None:
+        self.base = np.cumsum([0, *map(len, texts)])  # the boundary before a text's first character is the one after the last text's
+        self.which = np.full(int(self.base[-1]) + 1, self.NONE, dtype=np.int32)
+
+    def enter(self, text: np.ndarray, end: np.ndarray, which: np.ndarray) -> None:
+        self.which[self.base[text] + end] = which
 
     def ids(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        text, end, which = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort((text << 40) | end)
-        text, which = text[order], which[order]
-        many = np.ones(len(which), dtype=np.int64)
+        at = np.flatnonzero(self.which != self.NONE)
+        which, bounds = self.which[at], np.searchsorted(at, self.base, "right")
         odd = np.flatnonzero(which < 0)
+        if not len(odd):
+            return which, bounds
+        many = np.ones(len(which), dtype=np.int64)
         codes, of = np.unique(-1 - which[odd], return_inverse=True)
         spelt = [[pieces.byte_ids[b] for b in chr(c).replace(OWN_MARK, MARK).encode()] for c in codes.tolist()]
         many[odd] = np.array([len(x) for x in spelt], dtype=np.int64)[of]
         out = np.repeat(which, many)
-        if len(odd):
-            out[np.repeat(which < 0, many)] = np.concatenate([np.array(spelt[k], dtype=np.int64) for k in of.tolist()])
-        bounds = np.zeros(self.texts + 1, dtype=np.int64)
-        np.cumsum(np.bincount(text, weights=many, minlength=self.texts).astype(np.int64), out=bounds[1:])
-        return out.astype(np.int32), bounds
+        out[np.repeat(which < 0, many)] = np.concatenate([np.array(spelt[k], dtype=np.int32) for k in of.tolist()])
+        return out, np.concatenate([[0], np.cumsum(many)])[bounds]
 
 
 class Lanes:
@@ -365,14 +374,13 @@ class Lanes:
         meet = ends[0]
         lanes = np.flatnonzero(meet > self.done)
         self.pieces.met += int(np.count_nonzero(~over[lanes]))
-        at, kept = meet[lanes], []
+        at = meet[lanes]
         while len(lanes):
             row = at - self.base - 1
-            kept.append((self.text[lanes], at - self.first[lanes], self.last[row, lanes]))
+            self.found.enter(self.text[lanes], at - self.first[lanes], self.last[row, lanes])
             at = at - self.back[row, lanes]
             more = at > self.done[lanes]
             lanes, at = lanes[more], at[more]
-        self.found.parts += [tuple(np.concatenate(x) for x in zip(*kept, strict=True))] if kept else []
         self.done = np.maximum(self.done, meet)
         waste = int(self.done.min(initial=self.clock)) - self.base if n else 0
         self.back, self.last, self.base = self.back[waste:], self.last[waste:], self.base + waste
@@ -381,8 +389,10 @@ class Lanes:
         """Search what is not final of one lane's text by itself."""
         text, gone = int(self.text[lane]), int(self.done[lane] - self.first[lane])
         rest = self.texts[text][gone:]
-        ids = np.fromiter(self.pieces.stream(rest[k : k + CHUNK] for k in range(0, len(rest), CHUNK)), dtype=np.int64)
-        self.found.parts.append((np.full(len(ids), text), gone + 1 + np.arange(len(ids)), ids))
+        chunks = (rest[k : k + CHUNK] for k in range(0, len(rest), CHUNK))
+        ids = np.fromiter(self.pieces.stream(chunks, spelt=False), dtype=np.int32)
+        # in order is enough: no more pieces than characters
+        self.found.enter(np.full(len(ids), text), gone + 1 + np.arange(len(ids)), ids)
 
 
 def _model(path: str) -> bytes:
