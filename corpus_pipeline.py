@@ -62,7 +62,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they restore it; null has null ids and a null number of them."""
-    coded = pieces.encode(docs.select("doc_id", "source", "text"), restored="restored")
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), restored="restored", keep_text=False)
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "restored")
 
 

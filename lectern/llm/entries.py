@@ -62,7 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), restored="restored")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), restored="restored", keep_text=False)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "restored")
 
 

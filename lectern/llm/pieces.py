@@ -44,6 +44,8 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 #: Characters of the texts that are searched side by side, and of a chunk; lanes; see the module's text.
 GROUP, CHUNK, LANES, PENDING, FEW = 1 << 23, 32, 512, 1024, 40
+#: Characters whose ids are gathered at once.
+BLOCK = 1 << 18
 ZIPF, UNIT = 200, 1_000_000
 
 
@@ -197,12 +199,11 @@ class Pieces:
 
     def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts``, one after the other, and where each text's begin (and the last one's end)."""
-        marked = [MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK) if t else "" for t in texts]
-        order = np.argsort([-len(m) for m in marked], kind="stable")  # long ones first, so that lanes end together
-        waiting = [int(k) for k in order if marked[k]]
-        found = Found(marked)
+        order = np.argsort([-len(t) for t in texts], kind="stable")  # long ones first, so that lanes end together
+        waiting = [int(k) for k in order if texts[k]]
+        found = Found(texts)
         if waiting:
-            Lanes(self, marked, waiting, found).run()
+            Lanes(self, texts, waiting, found).run()
         return found.ids(self)
 
     def encode(self, text: str) -> np.ndarray:
@@ -215,31 +216,63 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+def _marked(text: str) -> str:
+    """A text as it is searched; made when it is needed, as the marker takes two bytes a character."""
+    return MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK) if text else ""
+
+
+def _codes(marked: str) -> np.ndarray:
+    return np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+
+
 class Found:
-    """Pieces as they become final, each entered at the boundary of its text where it ends; -1 - c for a character c that is in no piece."""
+    """Pieces as they become final, each entered at the boundary of its text where it ends.
+
+    For a character that is in no piece ``HERE`` stands at its own end; -1 - c for a character c stands anywhere.
+    """
 
-    NONE = -(1 << 31)
+    NONE, HERE = -(1 << 31), 1 - (1 << 31)
 
     def __init__(self, texts: list[str]) -> None:
-        self.base = np.cumsum([0, *map(len, texts)])  # the boundary before a text's first character is the one after the last text's
+        self.texts = texts
+        self.base = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])  # the boundary before a text's first character is the one after the last text's
         self.which = np.full(int(self.base[-1]) + 1, self.NONE, dtype=np.int32)
 
     def enter(self, text: np.ndarray, end: np.ndarray, which: np.ndarray) -> None:
         self.which[self.base[text] + end] = which
 
     def ids(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.which != self.NONE)
-        which, bounds = self.which[at], np.searchsorted(at, self.base, "right")
+        """All ids in order and where each text's begin; a few texts at a time, as what is made on the way is several times the ids."""
+        parts, bounds, first = [np.zeros(0, dtype=np.int32)], np.zeros(len(self.base), dtype=np.int64), 0
+        while first < len(self.texts):
+            stop = max(first + 1, int(np.searchsorted(self.base, self.base[first] + BLOCK, "right")) - 1)
+            values, ends = self._part(pieces, first, stop)
+            parts.append(values)
+            bounds[first + 1 : stop + 1] = bounds[first] + ends
+            first = stop
+        return np.concatenate(parts), bounds
+
+    def _part(self, pieces: Pieces, first: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts from ``first`` to ``stop``, and where each text's end."""
+        base = self.base[first : stop + 1] - self.base[first]
+        held = self.which[self.base[first] + 1 : self.base[stop] + 1]
+        at = np.flatnonzero(held != self.NONE)
+        which, ends = held[at], np.searchsorted(at, base[1:])
+        here = np.flatnonzero(which == self.HERE)
+        cuts = np.searchsorted(at[here], base)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = here[cuts[k] : cuts[k + 1]]
+            which[own] = -1 - _codes(_marked(self.texts[first + k]))[at[own] - base[k]]
         odd = np.flatnonzero(which < 0)
         if not len(odd):
-            return which, bounds
+            return which, ends
         many = np.ones(len(which), dtype=np.int64)
         codes, of = np.unique(-1 - which[odd], return_inverse=True)
         spelt = [[pieces.byte_ids[b] for b in chr(c).replace(OWN_MARK, MARK).encode()] for c in codes.tolist()]
         many[odd] = np.array([len(x) for x in spelt], dtype=np.int64)[of]
         out = np.repeat(which, many)
         out[np.repeat(which < 0, many)] = np.concatenate([np.array(spelt[k], dtype=np.int32) for k in of.tolist()])
-        return out, np.concatenate([[0], np.cumsum(many)])[bounds]
+        return out, np.concatenate([[0], np.cumsum(many)])[ends]
 
 
 class Lanes:
@@ -254,12 +287,14 @@ class Lanes:
         self.pieces, self.texts, self.waiting, self.found = pieces, texts, waiting[::-1], found
         self.reach = pieces.longest
         self.scale = 1 << max(1, (self.reach - 1).bit_length())
-        codes = [np.frombuffer(texts[k].encode("utf-32-le", "surrogatepass"), dtype=np.int32) for k in waiting]
-        gap, sizes = np.zeros(1, dtype=np.int32), [len(c) + 1 for c in codes]  # a 0 ends each text, and is in no piece
-        self.begin = dict(zip(waiting, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True))
-        self.codes = np.concatenate([x for c in codes for x in (c, gap)] + [np.zeros(CHUNK + self.reach, dtype=np.int32)])
-        self.kinds = self.pieces.class_of[self.codes]
-        self.kinds[self.codes == 0] = 0
+        self.size = {k: len(texts[k]) + 1 for k in waiting}
+        starts = np.cumsum([0, *(self.size[k] + 1 for k in waiting)]).tolist()  # class 0, which is in no piece, ends each text
+        self.begin = dict(zip(waiting, starts, strict=False))
+        # of the texts the classes of their characters are held and nothing else
+        self.kinds = np.zeros(starts[-1] + CHUNK + self.reach, dtype=self.pieces.class_of.dtype)
+        for k, start in self.begin.items():
+            codes = _codes(_marked(texts[k]))
+            self.kinds[start : start + len(codes)] = np.where(codes == 0, 0, self.pieces.class_of[codes])
         n = min(LANES, len(waiting))
         self.clock = self.base = 0  # boundaries passed, and the one before the first kept row
         self.text, self.at, self.end, self.done, self.first = (np.zeros(n, dtype=np.int64) for _ in range(5))
@@ -276,7 +311,7 @@ class Lanes:
         for lane in lanes.tolist():
             text = self.waiting.pop()
             self.text[lane], self.at[lane] = text, self.begin[text]
-            self.end[lane] = self.clock + len(self.texts[text])
+            self.end[lane] = self.clock + self.size[text]
         self.done[lanes] = self.first[lanes] = self.clock
         self.best[:, lanes] = self.NONE
         self.best[reach - 1, lanes] = 0
@@ -320,7 +355,7 @@ class Lanes:
         single = np.zeros(CHUNK * n, dtype=bool)
         single[going] = pieces.node_id[node[going]] >= 0
         odd = np.flatnonzero(~single)
-        score[self.slot[odd]], which[self.slot[odd]] = pieces.unknown * self.scale, -1 - self.codes[place[odd]]
+        score[self.slot[odd]], which[self.slot[odd]] = pieces.unknown * self.scale, Found.HERE
         node, size = node[going], 1
         while True:
             whole = np.flatnonzero(pieces.node_id[node] >= 0)
@@ -388,7 +423,7 @@ class Lanes:
     def _aside(self, lane: int) -> None:
         """Search what is not final of one lane's text by itself."""
         text, gone = int(self.text[lane]), int(self.done[lane] - self.first[lane])
-        rest = self.texts[text][gone:]
+        rest = _marked(self.texts[text])[gone:]
         chunks = (rest[k : k + CHUNK] for k in range(0, len(rest), CHUNK))
         ids = np.fromiter(self.pieces.stream(chunks, spelt=False), dtype=np.int32)
         # in order is enough: no more pieces than characters
@@ -400,15 +435,17 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids", restored: str = "") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids", restored: str = "", keep_text: bool = True) -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>) of the piece ids of ``text``.
 
     With ``restored``, a boolean column of that name says whether decoding the ids gives the text back.
+    Without ``keep_text`` the texts are not sent back by the tasks, and their column is left out.
     """
     new = [ids, *([restored] if restored else [])]
     docs = docs.drop(*new)
     model, names = _model(vocabulary), docs.columns  # half a megabyte, travels with the plan
     at = names.index(text)
+    held = [k for k in range(len(names)) if keep_text or k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
@@ -418,12 +455,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id
                 values, bounds = pieces.search([t or "" for t in texts])
                 missing = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()), mask=missing)
-                columns = [*part.columns, lists]
+                columns = [*(part.column(k) for k in held), lists]
                 if restored:
                     columns.append(pa.array([t is None or pieces.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
+                yield pa.RecordBatch.from_arrays(columns, names=[*(names[k] for k in held), *new])
 
-    out = _with(docs, ids, "array<int>")
+    out = _with(docs if keep_text else docs.drop(text), ids, "array<int>")
     return docs.mapInArrow(run, out.add(restored, "boolean") if restored else out)
 
 

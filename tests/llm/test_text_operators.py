@@ -309,6 +309,39 @@ def test_pieces_commit_before_the_end(vocabulary):
     assert first is not None and len(seen) < 20
 
 
+def test_search_takes_little_memory_a_character(vocabulary):
+    """A group of texts, with characters of no piece among them: what is held and made on the way, beside the texts."""
+    import tracemalloc
+
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(DOCS, columns=["text"]).column(0).to_pylist() if t]
+    texts = [t + " 中é" for t in texts * (1 + (1 << 21) // sum(map(len, texts)))]
+    vocabulary.search(texts[:600])
+    tracemalloc.start()
+    ids, bounds = vocabulary.search(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bounds[-1] == len(ids) and peak < (12 << 20) + 8 * sum(map(len, texts))
+
+
+def test_ids_of_many_texts_are_gathered_alike(vocabulary, monkeypatch):
+    """However few texts are gathered at once; texts of no piece, empty ones and a long one among them."""
+    texts = ["", *TEXTS, "中" * 50, "", "a中\x00" * 90, "plain words", ""]
+    ids, bounds = vocabulary.search(texts)
+    for few in (1, 7, 100):
+        monkeypatch.setattr(pieces, "BLOCK", few)
+        again = vocabulary.search(texts)
+        assert again[0].tolist() == ids.tolist() and again[1].tolist() == bounds.tolist()
+    assert [vocabulary.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == texts
+
+
+def test_encode_without_the_texts(spark):
+    rows = docs_of(spark, ["", None, "one two", "中 x"])
+    whole, bare = (pieces.encode(rows, restored="ok", keep_text=k) for k in (True, False))
+    assert bare.columns == [c for c in whole.columns if c != "text"] and sorted(map(str, bare.collect())) == sorted(map(str, whole.drop("text").collect()))
+
+
 def test_pieces_on_tables(spark):
     long = "word after word " * 50_000
     rows = spark.createDataFrame([(3, long), (3, long), (4, "x" * 100_000)], "doc_id int, text string")
