@@ -10,11 +10,12 @@ not fitted, by a bound on the precision that is lower the fewer they are.
 Positives are what the base patterns do not define: addresses with the signs spelt
 out, numbers in local and international writing without a plus, and identity numbers, in
 made lines with and without a word that announces them (``samples``). Negatives are made
-lines of dates, versions, times, prices and order numbers, and every candidate outside base spans in at most ``MAX_SAMPLE``
-documents (smallest hash of doc_id); personal data in forms of its own in these documents
+lines of dates, versions, times, prices and order numbers, and every candidate outside base spans in all
+documents; personal data in forms of its own in these documents
 so counts against itself, which costs recall and not precision. As features are discrete, their table of
-counts is all that fitting needs: one aggregate, bounded by the feature levels. The
-trees become nested CASE expressions.
+counts is all that fitting needs: one aggregate over the whole table, bounded by the feature levels. There are as many made lines
+for any table, so the counts of documents are scaled to ``BASIS`` documents when there are more of them: what is
+found in a text does not depend on how many others there are. The trees become nested CASE expressions.
 
 Defined cases: null and empty texts have no spans; overlapping base spans of
 different kinds all stand; an added span overlaps no base span; added spans may overlap
@@ -45,7 +46,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Words that announce personal data and words that announce other numbers, by the end of what stands before.
 CUES = r"(?i)(?:phone|mobile|cell|call|tel|fax|mail|reach|contact|ssn|social)[^A-Za-z0-9]*(?:me|us|is|at|on|no|number)?[^A-Za-z0-9]*\z"
 OTHERWISE = r"(?i)(?:order|invoice|version|release|date|since|page|isbn|part|price|total|no|model|from|in|on)[^A-Za-z0-9]*\z"
-MAX_SAMPLE, MADE, TREES, RATE, PRECISION = 20_000, 4_000, 16, 0.5, 0.995
+BASIS, MADE, TREES, RATE, PRECISION = 20_000, 4_000, 16, 0.5, 0.995
 FEATURES = ("at", "digits", "groups", "first_group", "last_group", "paren", "dots", "slashes", "zeros", "cue", "length")
 
 
@@ -138,7 +139,7 @@ def samples(spark: SparkSession, n: int = MADE) -> DataFrame:
     return spark.range(1, n + 1).select("id", F.explode(F.array(*lines)).alias("s")).select(F.col("id").alias("doc_id"), "s.text", "s.hit")
 
 
-def fit(counts: list[tuple[tuple[int, ...], int, int]], trees: int = TREES, rate: float = RATE) -> list[tuple]:
+def fit(counts: list[tuple[tuple[int, ...], int, float]], trees: int = TREES, rate: float = RATE) -> list[tuple]:
     """Boosted depth-two trees over (features, positives, negatives); logistic loss, Newton leaves.
 
     A tree is (feature, cut, low, high), each side (feature, cut, value up to the cut, value above).
@@ -185,25 +186,30 @@ def predict(model: list[tuple], x: tuple[int, ...]) -> float:
     return total
 
 
-def train(docs: DataFrame, max_sample: int = MAX_SAMPLE, precision: float = PRECISION, made: int = MADE) -> tuple[list[tuple], float]:
-    """(trees, threshold); the threshold is infinite when no score is that precise."""
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(False).alias("hit")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.unionByName(samples(docs.sparkSession, made)) if made else rows
-    told = candidates(rows).select((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("fitting"), "hit", F.explode(F.transform("wide", _features)).alias("x"))
-    table = told.groupBy("fitting", "x").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")).collect()
-    counts = [(tuple(r["x"]), r["pos"], r["neg"]) for r in sorted(table, key=lambda r: tuple(r["x"])) if r["fitting"]]
-    model = fit(counts) if counts else []
-    held: dict[float, list[int]] = {}
-    for r in table:
-        if not r["fitting"]:
-            cell = held.setdefault(round(predict(model, tuple(r["x"])), 6), [0, 0])
-            cell[0] += r["pos"]
-            cell[1] += r["neg"]
+def train(docs: DataFrame, precision: float = PRECISION, made: int = MADE, basis: int = BASIS) -> tuple[list[tuple], float]:
+    """(trees, threshold); the threshold is infinite when no score is that precise. Trees are fitted to one half of the rows, the threshold to the other."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(False).alias("hit"), F.lit(False).alias("made"))
+    rows = rows.unionByName(samples(docs.sparkSession, made).withColumn("made", F.lit(True))) if made else rows
+    # rows without a doc_id are told apart by their texts
+    half = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(1)), F.lit(2)) == 0
+    told = candidates(rows).select(half.alias("fitting"), "hit", "made", F.posexplode_outer(F.transform("wide", _features)).alias("i", "x"))
+    own = ~F.col("made")
+    sums = (F.count_if("hit").alias("pos"), F.count_if(~F.col("hit") & F.col("made")).alias("neg"), F.count_if(own).alias("own"), F.count_if(own & (F.coalesce("i", F.lit(0)) == 0)).alias("docs"))
+    table = told.groupBy("fitting", "x").agg(*sums).collect()
+    weight = min(1.0, basis / max(1, sum(r["docs"] for r in table)))
+    counts = sorted((tuple(r["x"]), r["pos"], r["neg"] + weight * r["own"], r["fitting"]) for r in table if r["x"])
+    fitted = [c[:3] for c in counts if c[3]]
+    model = fit(fitted) if fitted else []
+    held: dict[float, list[float]] = {}
+    for x, pos, neg, fitting in counts:
+        if not fitting:
+            cell = held.setdefault(round(predict(model, x), 6), [0, 0])
+            cell[0] += pos
+            cell[1] += neg
     return model, calibrated(held, precision)
 
 
-def calibrated(held: dict[float, list[int]], precision: float = PRECISION) -> float:
+def calibrated(held: dict[float, list[float]], precision: float = PRECISION) -> float:
     """The least score from which on the precision is ``precision`` at least, as far as (positives, negatives) by score can tell.
 
     The share of positives is taken as if one more negative had been seen, so few samples never suffice.

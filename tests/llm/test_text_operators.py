@@ -179,6 +179,21 @@ def test_pii_calibration_asks_for_enough():
     assert pii.calibrated({2.0: [30, 0], 1.0: [30, 1], 0.0: [1, 40]}, 0.9) == 1.0 and pii.calibrated({}, 0.9) == float("inf")
 
 
+def test_pii_fits_on_every_document(spark, monkeypatch):
+    """Forms that stand only in documents of the greatest hashes, and only in rows without a doc_id, are among the counts; their weight is that of any table's."""
+    from pyspark.sql import Window
+
+    kinds = (F.when(F.col("no") < 20_000, F.lit("x 1234-5678 y")).otherwise(F.lit("x (12) 345 67 y")), F.concat(F.lit("x 1.2.3/"), F.col("no") + 10**6, F.lit(" y")))
+    ranked = spark.range(21_000).withColumnRenamed("id", "doc_id").withColumn("no", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    docs = ranked.select("doc_id", kinds[0].alias("text")).unionByName(ranked.filter("no <= 400").select(F.lit(None).cast("bigint").alias("doc_id"), kinds[1].alias("text")))
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda counts: seen.extend(counts) or [])
+    pii.train(docs, made=0)
+    forms = {pos[pii.FEATURES.index("paren")] * 10 + pos[pii.FEATURES.index("slashes")]: sum(c[2] for c in seen if c[0] == pos) for pos, *_ in seen}
+    assert set(forms) == {0, 1, 20}
+    assert sum(c[2] for c in seen) == pytest.approx(10_000, rel=0.05) and forms[20] == pytest.approx(500, rel=0.2) and forms[1] == pytest.approx(190, rel=0.25)
+
+
 def test_pii_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.train(empty, made=0) == ([], float("inf"))
