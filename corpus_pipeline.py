@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash, mixing, pieces, pii, quality
-from lectern.llm.state import discard, materialize, replaceable, scratch, small_side
+from lectern.llm.state import discard, materialize, replaceable, scratch, small_batches, small_side
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal rows fare alike; a probability of just ``KEEP_AT`` is kept; without labels every row that has words stays.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.train(docs, quality.graded(labels))
+    with small_batches(spark):
+        model = quality.train(docs, quality.graded(labels))
     # the other columns in one, so that none can clash with the scores; the text is carried once
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     kept = quality.score(docs.select("text", rest), model).filter("kept")
@@ -38,7 +39,8 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     by_text = F.shiftrightunsigned(minhash.text_hash(), 2) + F.lit(1 << 62)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), by_text).alias("doc_id"), minhash.text_hash().alias("h"), "text", F.struct("*").alias("row"))
-    told = minhash.near_duplicates(rows.select("doc_id", "text"), hashed=True)
+    with small_batches(spark):
+        told = minhash.near_duplicates(rows.select("doc_id", "text"), hashed=True)
     marks = told.groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("not kept or times > 1")
     marked = rows.drop("text").join(small_side(materialize(marks, "marks")), ["doc_id", "h"], "left")
     once = marked.filter("kept").groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
@@ -62,7 +64,8 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they restore it; null has null ids and a null number of them."""
-    coded = pieces.encode(docs.select("doc_id", "source", "text"), restored="restored", keep_text=False)
+    with small_batches(spark):
+        coded = materialize(pieces.encode(docs.select("doc_id", "source", "text"), restored="restored", keep_text=False), "stage")
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "restored")
 
 
@@ -77,7 +80,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; every other stage's rows are written once, and read by the next one.
+    """The rows of the last stage over ``documents``; every stage's rows are written once, and read by the next one or by the result.
 
     What a stage wrote for itself, and the rows it read, are deleted when its own rows are there.
     """
@@ -89,4 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if read:
             discard(spark, read)
         read = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    coded = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, read)
+    return coded

@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, k: int = K, list_limit: int = LIST_LIMIT, l
         links = materialize(links.unionByName(verify(likely, texts)), "links")
         groups = materialize(connected_components(links), "groups")
         rest = materialize(apart(rest.unionByName(cross.select("a", "b")).distinct(), groups), "rest")
-    more = verify(rest, texts)
+    # written, as a task that also goes on to the components' Python would hold two workers
+    more = materialize(verify(rest, texts), "links")
     groups = connected_components(links.unionByName(more))
 
     named = materialize(classes.select("f1", "f2", "n_shingles", "rep", "lead").join(groups.withColumnRenamed("node", "rep"), "rep", "left"), "named")

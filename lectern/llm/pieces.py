@@ -44,6 +44,8 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 #: Characters of the texts that are searched side by side, and of a chunk; lanes; see the module's text.
 GROUP, CHUNK, LANES, PENDING, FEW = 1 << 23, 32, 512, 1024, 40
+#: Bytes that a row counts for in a group beside its text.
+ROW = 32
 #: Characters whose ids are gathered at once.
 BLOCK = 1 << 18
 ZIPF, UNIT = 200, 1_000_000
@@ -449,28 +451,41 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
-        for batch in batches:
-            for part in _groups(batch, at):
-                texts = part.column(at).to_pylist()
-                values, bounds = pieces.search([t or "" for t in texts])
-                missing = pa.array([t is None for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()), mask=missing)
-                columns = [*(part.column(k) for k in held), lists]
-                if restored:
-                    columns.append(pa.array([t is None or pieces.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*(names[k] for k in held), *new])
+        for part in _groups(batches, at):
+            texts = part.column(at).to_pylist()
+            values, bounds = pieces.search([t or "" for t in texts])
+            missing = pa.array([t is None for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()), mask=missing)
+            columns = [*(part.column(k) for k in held), lists]
+            if restored:
+                columns.append(pa.array([t is None or pieces.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*(names[k] for k in held), *new])
 
     out = _with(docs if keep_text else docs.drop(text), ids, "array<int>")
     return docs.mapInArrow(run, out.add(restored, "boolean") if restored else out)
 
 
-def _groups(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about ``GROUP`` bytes together; a longer text is one by itself."""
-    sizes, first = np.cumsum([0, *((len(t.as_buffer()) if t.is_valid else 0) for t in batch.column(column))]), 0
-    while first < batch.num_rows:
-        stop = max(first + 1, int(np.searchsorted(sizes, sizes[first] + GROUP, "right")) - 1)
-        yield batch.slice(first, stop - first)
-        first = stop
+def _groups(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, however many they come in, by groups whose texts have about ``GROUP`` bytes together; a longer text is one by itself."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        sizes, first = np.cumsum([0, *(ROW + (len(t.as_buffer()) if t.is_valid else 0) for t in batch.column(column))]), 0
+        while first < batch.num_rows:
+            stop = max(first + (not held), int(np.searchsorted(sizes, sizes[first] + GROUP - total, "right")) - 1)
+            if stop > first:
+                held.append(batch.slice(first, stop - first))
+                total += int(sizes[stop] - sizes[first])
+            first = max(first, stop)
+            if first < batch.num_rows:
+                yield _joined(held)
+                held, total = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "decoded") -> DataFrame:

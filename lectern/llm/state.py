@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lectern.operators.stages import BROADCAST_ROWS, discard, materialize, replaceable, scratch, shared_dir, small_side
+from lectern.operators.stages import BROADCAST_ROWS, discard, materialize, replaceable, scratch, shared_dir, small_batches, small_side
 
-__all__ = ["BROADCAST_ROWS", "discard", "materialize", "replaceable", "scratch", "shared_dir", "small_side"]
+__all__ = ["BROADCAST_ROWS", "discard", "materialize", "replaceable", "scratch", "shared_dir", "small_batches", "small_side"]

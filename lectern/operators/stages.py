@@ -39,6 +39,8 @@ class Progress:
 
 #: Rows up to which a table of a few 8-byte columns is small enough to broadcast (16 MB at 32 bytes).
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch within ``small_batches``; of texts that is some MB.
+BATCH_ROWS = 1000
 #: What ``scratch`` blocks that are open hold.
 _OPEN: list[list[str]] = []
 #: The progress of ``watched`` blocks that are open.
@@ -109,6 +111,23 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             discard(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What is run within the block sends at most ``rows`` rows to Python at once; then the session's setting is as before.
+
+    An executor holds a batch several times over beside its heap, and a Python worker keeps some of what a large one took.
+    Frames that are only returned from the block are run later, with batches of any size.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    if not 0 < int(was) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 @contextmanager
 def watched(on_stage: Callable[[str, int, int], None] | None = None) -> Iterator[Progress]:
     """Gather what the stages that are written within the block do; ``on_stage`` is told each one's name, rows and failed rows when it ends."""

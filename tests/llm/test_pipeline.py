@@ -138,3 +138,44 @@ def test_other_stages_keep_null_and_repeated_ids(spark):
     assert any(r.doc_id is None for r in scored)
     for stage in (corpus_pipeline._personal_data, corpus_pipeline._encode):
         assert Counter(r.doc_id for r in stage(spark, odd, FOLDER).collect()) == Counter(r.doc_id for r in odd.collect())
+
+
+def test_stages_send_small_batches_to_python(spark, monkeypatch):
+    """An executor's memory is not to grow with the rows of a partition; the session's setting is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, sent = spark.conf.get(name), []
+
+    def encode(docs, **_):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[b.num_rows]] * b.num_rows, pa.list_(pa.int32())), pa.array([True] * b.num_rows)], names=["doc_id", "source", "ids", "restored"])
+
+        return docs.mapInArrow(run, "doc_id bigint, source string, ids array<int>, restored boolean")
+
+    def kept(*args, **_):
+        sent.append(spark.conf.get(name))
+        return args
+
+    monkeypatch.setattr(corpus_pipeline.pieces, "encode", encode)
+    docs = spark.range(2500).selectExpr("id as doc_id", "'a' as source", "concat('text ', id) as text").coalesce(1)
+    got = corpus_pipeline._encode(spark, docs, FOLDER).collect()
+    assert len(got) == 2500 and max(r.ids[0] for r in got) <= 1000 and spark.conf.get(name) == was
+    monkeypatch.setattr(corpus_pipeline.quality, "train", kept)
+    monkeypatch.setattr(corpus_pipeline.quality, "score", lambda rows, model: rows.withColumn("kept", corpus_pipeline.F.lit(True)))
+    assert corpus_pipeline._quality(spark, docs, FOLDER).count() == 2500 and sent == ["1000"] and spark.conf.get(name) == was
+
+
+def test_near_dedup_has_one_python_worker_a_task(spark, monkeypatch):
+    """Edges that come from Python are written before the components' Python reads them."""
+    plans, components = [], corpus_pipeline.minhash.connected_components
+
+    def watched(edges, *args):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges, *args)
+
+    monkeypatch.setattr(corpus_pipeline.minhash, "connected_components", watched)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert corpus_pipeline._near_duplicates(spark, docs, FOLDER).count() and plans
+    assert not any("MapInArrow" in p for p in plans)

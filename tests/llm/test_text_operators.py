@@ -357,6 +357,23 @@ def test_encode_without_the_texts(spark):
     assert bare.columns == [c for c in whole.columns if c != "text"] and sorted(map(str, bare.collect())) == sorted(map(str, whole.drop("text").collect()))
 
 
+def test_groups_of_texts_go_over_batches(monkeypatch):
+    """Small batches share a group, large ones are cut; every row is in one group, in order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "GROUP", 1000)
+    texts = ["x" * (7 * k % 90) for k in range(60)] + [None, "", "y" * 5000, "", None] + ["z" * 20] * 40
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["k", "text"])
+    ways = {}
+    for size in (1, 3, 10, 200):
+        parts = list(pieces._groups((rows.slice(k, size) for k in range(0, len(texts), size)), 1))
+        assert [t for p in parts for t in p.column(1).to_pylist()] == texts and [k for p in parts for k in p.column(0).to_pylist()] == [*range(len(texts))]
+        ways[size] = [p.num_rows for p in parts]
+        assert all(sum(len(t or "") for t in p.column(1).to_pylist()) <= 1000 or p.num_rows == 1 for p in parts)
+    assert all(w == ways[200] for w in ways.values()) and 5 < len(ways[1]) < 20
+    assert list(pieces._groups([], 1)) == []
+
+
 def test_pieces_on_tables(spark):
     long = "word after word " * 50_000
     rows = spark.createDataFrame([(3, long), (3, long), (4, "x" * 100_000)], "doc_id int, text string")
