@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from lectern.llm import minhash, mixing, pieces, pii, quality
 from lectern.llm.state import discard, materialize, replaceable, scratch, small_batches, small_side
 
+#: Bytes of texts that a task encodes together: a quarter of what op10 takes, as executors also hold what the other stages left.
+GROUP = 1 << 21
+
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps, each row by its own text; null and empty texts are rejected.
@@ -23,12 +26,13 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal rows fare alike; a probability of just ``KEEP_AT`` is kept; without labels every row that has words stays.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    with small_batches(spark):
-        model = quality.train(docs, quality.graded(labels))
     # the other columns in one, so that none can clash with the scores; the text is carried once
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
-    kept = quality.score(docs.select("text", rest), model).filter("kept")
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    with small_batches(spark):
+        model = quality.train(docs, quality.graded(labels))
+        # written here, as rows that are only returned would be sent to Python in batches of the session's size
+        kept = quality.score(docs.select("text", rest), model).filter("kept")
+        return materialize(kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns)), "kept")
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they restore it; null has null ids and a null number of them."""
     with small_batches(spark):
-        coded = materialize(pieces.encode(docs.select("doc_id", "source", "text"), restored="restored", keep_text=False), "stage")
+        coded = materialize(pieces.encode(docs.select("doc_id", "source", "text"), restored="restored", keep_text=False, group=GROUP), "stage")
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_ids"), "restored")
 
 

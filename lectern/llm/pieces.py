@@ -437,11 +437,12 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids", restored: str = "", keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", ids: str = "ids", restored: str = "", keep_text: bool = True, group: int = GROUP) -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>) of the piece ids of ``text``.
 
     With ``restored``, a boolean column of that name says whether decoding the ids gives the text back.
     Without ``keep_text`` the texts are not sent back by the tasks, and their column is left out.
+    ``group`` is how many bytes of texts are searched together: the ids are the same for any, fewer take less memory and more time.
     """
     new = [ids, *([restored] if restored else [])]
     docs = docs.drop(*new)
@@ -451,7 +452,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
-        for part in _groups(batches, at):
+        for part in _groups(batches, at, group):
             texts = part.column(at).to_pylist()
             values, bounds = pieces.search([t or "" for t in texts])
             missing = pa.array([t is None for t in texts])
@@ -465,14 +466,15 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", id
     return docs.mapInArrow(run, out.add(restored, "boolean") if restored else out)
 
 
-def _groups(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches``, however many they come in, by groups whose texts have about ``GROUP`` bytes together; a longer text is one by itself."""
+def _groups(batches: Iterable[pa.RecordBatch], column: int, group: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, however many they come in, by groups whose texts have about ``group`` bytes together; a longer text is one by itself."""
+    group = group or GROUP
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
         sizes, first = np.cumsum([0, *(ROW + (len(t.as_buffer()) if t.is_valid else 0) for t in batch.column(column))]), 0
         while first < batch.num_rows:
-            stop = max(first + (not held), int(np.searchsorted(sizes, sizes[first] + GROUP - total, "right")) - 1)
+            stop = max(first + (not held), int(np.searchsorted(sizes, sizes[first] + group - total, "right")) - 1)
             if stop > first:
                 held.append(batch.slice(first, stop - first))
                 total += int(sizes[stop] - sizes[first])

@@ -179,3 +179,41 @@ def test_near_dedup_has_one_python_worker_a_task(spark, monkeypatch):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert corpus_pipeline._near_duplicates(spark, docs, FOLDER).count() and plans
     assert not any("MapInArrow" in p for p in plans)
+
+
+def test_quality_is_scored_in_small_batches(spark, monkeypatch):
+    """The rows that the stage returns were scored in batches of its own size, whatever reads them later."""
+
+    def score(rows, model):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([str(b.num_rows)] * b.num_rows), b.column(1), pa.array([True] * b.num_rows)], names=["text", "row", "kept"])
+
+        return rows.mapInArrow(run, "text string, row struct<doc_id: bigint>, kept boolean")
+
+    monkeypatch.setattr(corpus_pipeline.quality, "train", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.quality, "score", score)
+    docs = spark.range(2500).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1)
+    got = corpus_pipeline._quality(spark, docs, FOLDER).collect()
+    assert sorted(r.doc_id for r in got) == [*range(2500)] and max(int(r.text) for r in got) <= 1000
+
+
+def test_encoding_searches_few_bytes_together(spark, monkeypatch):
+    """A task of the stage holds a group of at most 2 MB of texts; the ids are those of larger groups."""
+    docs = spark.range(1500).selectExpr("id as doc_id", "'a' as source", "repeat(concat('some words ', id, ' '), 200) as text").coalesce(1)
+    held, groups, encode = [], corpus_pipeline.pieces._groups, corpus_pipeline.pieces.encode
+
+    def watched(rows, **how):
+        import inspect
+
+        group = inspect.signature(encode).bind(rows, **how)
+        group.apply_defaults()
+        held.extend(sum(len(t) for t in p.column(0).to_pylist()) for p in groups(rows.select("text").toArrow().to_batches(), 0, group.arguments["group"]))
+        return encode(rows, **how)
+
+    monkeypatch.setattr(corpus_pipeline.pieces, "encode", watched)
+    got = {r.doc_id: r.ids for r in corpus_pipeline._encode(spark, docs, FOLDER).collect()}
+    assert len(held) > 1 and max(held) <= 1 << 21 < sum(held)
+    assert got == {r.doc_id: r.ids for r in encode(docs, group=1 << 23).collect()}
