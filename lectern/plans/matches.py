@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as g
@@ -11,18 +11,29 @@ from lectern.operators import matching
 from lectern.sources import table
 
 LEAST_IOU, LEAST_SHARED = 0.4, 0.03
+#: Boxes of a page that are matched in one task; larger pages are spread.
+PAGE = 200_000
+
+
+def _rounded(score: Column) -> Column:
+    """To six places as in the SQL, where the millionfold is rounded: a half that is no binary fraction may fall either way."""
+    return F.round(score * 1e6) / 1e6
 
 
 def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's line items as two detectors' boxes on one page, hundreds a page, matched by IoU."""
     l = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    numbered = l.select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.row_number().over(order).cast("bigint").alias("no"))  # sides are made after the shuffle
     x0, y0 = (F.col("l_partkey") * 37 % 900).cast("double"), (F.col("l_orderkey") * 11 % 700).cast("double")
-    b = l.select("l_suppkey", F.row_number().over(order).cast("bigint").alias("no"), x0.alias("x0"), y0.alias("y0"), (x0 + 30 + F.col("l_quantity")).alias("x1"), (y0 + 25 + F.col("l_linenumber")).alias("y1"))
+    b = numbered.select("l_suppkey", "no", x0.alias("x0"), y0.alias("y0"), (x0 + 30 + F.col("l_quantity")).alias("x1"), (y0 + 25 + F.col("l_linenumber")).alias("y1"))
     a, c = ({k: F.col(f"{n}.{k}") for k in ("x0", "y0", "x1", "y1")} for n in ("p", "r"))
-    blocks = matching.cells(*(F.col(k) for k in ("x0", "y0", "x1", "y1")), LEAST_IOU)
-    pairs = matching.candidates(b.filter("no % 2 = 0"), b.filter("no % 2 = 1"), "l_suppkey", "no", blocks, F.round(g.iou(a, c), 6), LEAST_IOU)
-    return matching.dominant_match(pairs, "l_suppkey")
+    least = LEAST_IOU - 1e-6  # before it is rounded
+    blocks = matching.centre_cells(*(F.col(k) for k in ("x0", "y0", "x1", "y1")), least)
+    iou = g.iou(a, c)
+    meet = (a["x0"] < c["x1"]) & (c["x0"] < a["x1"]) & (a["y0"] < c["y1"]) & (c["y0"] < a["y1"])
+    pairs = lambda d: matching.candidates(d.filter("no % 2 = 0"), d.filter("no % 2 = 1"), "l_suppkey", "no", blocks, _rounded(iou), LEAST_IOU, meet & (iou >= least))
+    return matching.matched(b, pairs, "l_suppkey", matching.large_groups(l, "l_suppkey", PAGE))
 
 
 def matched_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
