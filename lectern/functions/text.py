@@ -67,14 +67,23 @@ def runs(token: Column) -> Column:
     return F.regexp_extract_all(token, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0))
 
 
-def tokens(text: Column) -> Column:
-    """Scoring tokens: NFKC, lower case, bars as spaces, CJK runs as bigrams."""
-    plain = F.replace(F.lower(F.translate(composed(text), INVISIBLE, "")), F.lit("|"), F.lit(" "))
+def plain(text: Column) -> Column:
+    """What scoring tokens are cut from: NFKC, lower case, bars as spaces."""
+    return F.replace(F.lower(F.translate(composed(text), INVISIBLE, "")), F.lit("|"), F.lit(" "))
+
+
+def cut(plain: Column) -> Column:
+    """Words of ``plain`` text, CJK runs as bigrams."""
     split = words(plain)
     expanded = F.flatten(F.transform(split, lambda w: F.flatten(F.transform(runs(w), lambda r: F.when(r.rlike(f"^[{CJK}]"), cjk_bigrams(r)).otherwise(F.array(r))))))
     return F.when(plain.rlike(f"[{CJK}]"), expanded).otherwise(split)
 
 
+def tokens(text: Column) -> Column:
+    """Scoring tokens: NFKC, lower case, bars as spaces, CJK runs as bigrams."""
+    return cut(plain(text))
+
+
 def char_bag(text: Column) -> Column:
     """Lower-case characters that are not white space."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), SPACE, ""), ""), lambda c: c != "")

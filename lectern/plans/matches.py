@@ -11,8 +11,8 @@ from lectern.operators import matching
 from lectern.sources import table
 
 LEAST_IOU, LEAST_SHARED = 0.4, 0.03
-#: Boxes of a page that are matched in one task; larger pages are spread.
-PAGE = 200_000
+#: Boxes of a page, turns of a conversation, that are matched in one task; larger ones are spread. Turns of a part of a conversation that is spread.
+PAGE, TALK, PART = 200_000, 2_000, 500
 
 
 def _rounded(score: Column) -> Column:
@@ -38,11 +38,19 @@ def matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn of a conversation with the answer that shares most of its words, one to one."""
-    c = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.array_distinct(t.tokens(F.col("text"))).alias("words"))
-    shared = F.size(F.array_intersect("p.words", "r.words"))
-    similarity = F.round(shared / (F.size("p.words") + F.size("r.words") - shared), 6)
-    pairs = matching.candidates(c.filter("role = 'user'"), c.filter("role = 'assistant'"), "conv_id", "turn", F.col("words"), similarity, LEAST_SHARED)
-    return matching.dominant_match(pairs, "conv_id")
+    turns = table(spark, sf_dir, "conversations")
+    c = turns.filter("text is not null and turn is not null and role in ('user', 'assistant')").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", t.plain(F.col("text")).alias("text"))
+    both = F.size("p.words") + F.size("r.words")
+    similarity = F.transform(F.array(F.size(F.array_intersect("p.words", "r.words"))), lambda met: _rounded(F.try_divide(met, both - met)))[0]
+
+    def pairs(d: DataFrame) -> DataFrame:
+        parts = F.ceil(F.col("n") / PART) if "n" in d.columns else F.lit(1).cast("bigint")
+        told = d.withColumn("words", F.array_distinct(t.cut(F.col("text")))).drop("text")
+        return matching.candidates(told.filter("role = 'user'"), told.filter("role = 'assistant'"), "conv_id", "turn", matching.dealt(F.col("turn"), parts), similarity, LEAST_SHARED)
+
+    large = matching.large_groups(turns, "conv_id", TALK)
+    # texts are dealt by conversation, and cut where they arrive: words take more room
+    return matching.matched(c.repartition("conv_id"), pairs, "conv_id", large)
 
 
 def _rounds(group: str) -> str:

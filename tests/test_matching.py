@@ -151,3 +151,39 @@ def test_large_pages_are_spread(spark, monkeypatch):
         monkeypatch.setattr(matches, "PAGE", page)
         assert sorted(map(tuple, matches.matched_boxes(spark, FOLDER).collect())) == want
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def shuffled_rows(spark, run):
+    """Rows that the stages of ``run()`` write for shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"shuffled-{id(run)}", "")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in {s for j in jobs for s in j.stageIds})
+
+
+def test_turns_are_not_shuffled_by_word(spark, no_broadcast):
+    n = spark.read.parquet(f"{FOLDER}/conversations.parquet").count()
+    assert 0 < shuffled_rows(spark, lambda: matches.matched_turns(spark, FOLDER).collect()) < 4 * n
+
+
+def test_turns_of_any_conversation_as_the_sql(spark, tmp_path, monkeypatch):
+    """Long conversations, dealt into parts or not, turns without words, turns that are all alike, a half of the millionth."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(c, k, ("user", "assistant", "system")[k % 3 if c != 2 else k % 2], " ".join(rng.choice(words, rng.integers(0, 12)))) for c, n in ((0, 60), (1, 9), (2, 40), (3, 1)) for k in range(n)]
+    rows += [(4, k, ("user", "assistant")[k % 2], ("same Words", " ", "", None)[k // 4]) for k in range(16)] + [(None, 0, "user", "a"), (None, 1, "assistant", "a"), (5, -1, "user", "a b|c"), (5, -2, "assistant", "A c")]
+    rows += [(6, 0, "user", " ".join(f"a{k}" for k in range(333))), (6, 1, "assistant", " ".join(f"a{k}" for k in range(640)))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{tmp_path}/made/*.parquet') TO '{tmp_path}/conversations.parquet'")
+    want = as_sql(matches.matched_turns, tmp_path, "conversations")
+    assert len({r[0] for r in want}) == 6 and (6, 0, 1, 0.520312) in want
+    for talk, part in ((2000, 500), (12, 7), (0, 1)):
+        monkeypatch.setattr(matches, "TALK", talk)
+        monkeypatch.setattr(matches, "PART", part)
+        assert sorted(map(tuple, matches.matched_turns(spark, str(tmp_path)).collect())) == want
